@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, simhash, url_rules
+from . import decontaminate, packing, quality, sharding, simhash, token_counts, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dw),
+its AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
+n AS (SELECT item_id, count(*) AS n_shingles FROM its GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_found FROM its JOIN ds USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_found, n_shingles, n_found / n_shingles AS containment FROM m JOIN n USING (item_id) WHERE n_found >= ceil(0.8 * n_shingles - 1e-9)
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -77,6 +92,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="start")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -97,8 +118,8 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op4_simhash_near_dedup, op5_sharding, op10_url_filters)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_sharding, op7_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3_sql(), "op10_url_filters": OP10_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op3_quality_rules": _op3_sql(), "op10_url_filters": OP10_SQL}
