@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, simhash, token_counts, url_rules
+from . import decontaminate, packing, quality, sharding, simhash, token_counts, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+l AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, nullif(last, page_id) AS refers_to
+FROM p LEFT JOIN l USING (payload_digest)
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -118,8 +130,8 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_sharding, op7_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_sharding, op6_warc, op7_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op3_quality_rules": _op3_sql(), "op10_url_filters": OP10_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op3_quality_rules": _op3_sql(), "op6_warc": OP6_SQL, "op10_url_filters": OP10_SQL}
