@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_rules, warc
+from . import decontaminate, packing, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="start")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -134,7 +139,7 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_sharding, op6_warc, op7_token_counts, op9_suffix_array_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_sharding, op6_warc, op7_token_counts, op8_toxicity, op9_suffix_array_dedup, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
