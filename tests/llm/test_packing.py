@@ -1,4 +1,5 @@
 import functools
+import random
 import zlib
 from collections import defaultdict
 
@@ -39,6 +40,26 @@ def test_encoder_gives_the_tokenizers_ids(path):
             assert np.frombuffer(raw, "<u4").tolist() == direct(path, t)[:-1]
 
 
+def test_ranked_words_are_the_tokenizers(path):
+    rng = random.Random(1)
+    enc = packing.WordEncoder(path)
+    letters = [chr(c) for c in range(33, 0x180)]
+    words = letters + ["".join(rng.choice([rng.choice(letters), chr(rng.randrange(97, 123))]) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    words = [w for w in words if enc.ranked.WORD.fullmatch(w) and "<|" not in w]
+    assert len(words) > 10_000
+    for w, raw in zip(words, enc.ranked.of(words)):
+        assert np.frombuffer(raw, "<u4").tolist() == direct(path, w)[:-1], w
+
+
+def test_bounded_dictionary(path, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    enc = packing.WordEncoder(path)
+    texts = ["the cat sat on the mat", "a dog and a cat", "q" * 50 + " the", "the cat sat on the mat again"]
+    for t in texts * 2:
+        assert np.frombuffer(next(iter(list(enc.encode([t])))), "<u4").tolist() == direct(path, t)[:-1]
+        assert len(enc.words) <= 5
+
+
 def test_bins_take_the_tightest_and_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert bins.add("a", 6) == [] and bins.add("b", 7) == []
