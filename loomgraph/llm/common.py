@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +45,21 @@ def filled(id_: Column) -> Column:
 
 def emptied(id_: Column) -> Column:
     return F.nullif(id_, F.lit(NO_ID))
+
+
+@contextmanager
+def task_memory(*caches: dict) -> Iterator[None]:
+    """Empty what a task has kept and give its memory back when it ends: workers of earlier stages stay, and an executor has several."""
+    try:
+        yield
+    finally:
+        for cache in caches:
+            cache.clear()
+        gc.collect()
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emptied, filled
+from .common import emptied, filled, task_memory
 
 WORDS = 5
 LEAST = 0.8
@@ -72,7 +72,7 @@ class Items:
     """Sketches of items by size partition, and their shingles."""
 
     def __init__(self, items: list[tuple], words: int, least: float):
-        self.words, self.ids, self.shingles, self.need = words, [], [], []
+        self.words, self.ids, self.shingles, self.need, self.cache = words, [], [], [], _hashes
         self.partitions: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item, text in items:
             w = words_of(text)
@@ -130,14 +130,15 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, least: floa
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = Items(shared.value, words, least)
-            for batch in batches:
-                out = []
-                for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                    for k, found in known.found_in(text):
-                        n = len(known.shingles[k][1])
-                        out.append((doc, known.ids[k], found, n, found / n))
-                if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_found", "n_shingles", "containment"])
+            with task_memory(known.cache):
+                for batch in batches:
+                    out = []
+                    for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                        for k, found in known.found_in(text):
+                            n = len(known.shingles[k][1])
+                            out.append((doc, known.ids[k], found, n, found / n))
+                    if out:
+                        yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_found", "n_shingles", "containment"])
 
         return rows.mapInPandas(run, schema)
 

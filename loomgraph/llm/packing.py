@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, emptied, filled, tasks_for
+from .common import cut, emptied, filled, task_memory, tasks_for
 
 CAPACITY = 4096
 OPEN_BINS = 128
 FAN_IN = 32
 ROWS_PER_TASK = 32_000
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 CACHED_CHARS = 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -131,7 +131,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One for each Python worker; its words stay from task to task."""
+    """One for each Python worker; its words are those of one task."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -141,26 +141,30 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """A row for each piece of a document of at most `capacity` tokens; its ids too, if asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        enc = encoder(tokenizer)
+        with task_memory(enc.words):
+            for batch in batches:
+                yield from cut_up(enc, batch)
+
+    def cut_up(enc: WordEncoder, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        end = np.array([end_id], "<u4").tobytes()
+        ids = batch["doc_id"].tolist()
+        texts = ["" if t is None else t for t in batch["text"].tolist()]
+        groups, size = [0], 0
+        for k, t in enumerate(texts):  # a few MB at a time
+            size += len(t)
+            if size > 4_000_000:
+                groups.append(k + 1)
+                size = 0
+        for a, b in zip(groups, [*groups[1:], len(texts)]):
             rows = []
-            ids = batch["doc_id"].tolist()
-            texts = ["" if t is None else t for t in batch["text"].tolist()]
-            groups, size = [0], 0
-            for k, t in enumerate(texts):  # a few MB at a time
-                size += len(t)
-                if size > 8_000_000:
-                    groups.append(k + 1)
-                    size = 0
-            for a, b in zip(groups, [*groups[1:], len(texts)]):
-                for doc, raw in zip(ids[a:b], enc.encode(texts[a:b])):
-                    raw += end
-                    for n, s in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[s : s + 4 * capacity]
-                        rows.append((doc, n, s // 4, len(part) // 4, zlib.crc32(part), *((np.frombuffer(part, "<u4"),) if with_ids else ())))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-                    rows = []
+            for doc, raw in zip(ids[a:b], enc.encode(texts[a:b])):
+                raw += end
+                for n, s in enumerate(range(0, len(raw), 4 * capacity)):
+                    part = raw[s : s + 4 * capacity]
+                    rows.append((doc, n, s // 4, len(part) // 4, zlib.crc32(part), *((np.frombuffer(part, "<u4"),) if with_ids else ())))
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     narrow = docs.select(filled(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = narrow.mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, emptied, filled
+from .common import cut, emptied, filled, task_memory
 
 WORDS = 3
 SEED = 42
@@ -54,8 +54,8 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     ends = (ends - 1)[min(words, len(w)) - 1 :].tolist()
     joined = b" ".join(w)
     counts = np.zeros(64, "int64")
-    for a in range(0, n, 1 << 16):
-        h = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[a : min(n, a + (1 << 16))], ends[a : a + (1 << 16)])], "<u8")
+    for a in range(0, n, 1 << 14):
+        h = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[a : min(n, a + (1 << 14))], ends[a : a + (1 << 14)])], "<u8")
         counts += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
@@ -64,14 +64,15 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     """doc_id, fp (as a signed long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known: dict[str | None, int] = {}
-            out = []
-            for t in batch["text"].tolist():
-                if t not in known:
-                    known[t] = signed(fingerprint(t, words))
-                out.append(known[t])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array(out, "int64")})
+        with task_memory():
+            for batch in batches:
+                known: dict[str | None, int] = {}
+                out = []
+                for t in batch["text"].tolist():
+                    if t not in known:
+                        known[t] = signed(fingerprint(t, words))
+                    out.append(known[t])
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array(out, "int64")})
 
     return docs.select(filled(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
 

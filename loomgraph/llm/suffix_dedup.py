@@ -34,17 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, emptied, filled, shared_dir
+from .common import cut, emptied, filled, shared_dir, task_memory
 from .warc import opened
 
 SPAN = 200
 GRAM = 32
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 M64 = (1 << 64) - 1
 REGION = np.dtype([("h", "<u8"), ("r", "<u8"), ("n", "<u2"), ("count", "<u4")])
 RUN = np.dtype([("h", "<u8"), ("r", "<u8"), ("first", "<u2"), ("last", "<u2")])
-BLOCK = 1_500_000
+BLOCK = 700_000
 
 
 class Hashes:
@@ -307,8 +307,9 @@ def _by_task(blobs: dict[int, list[np.ndarray]]) -> pd.DataFrame:
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(batch["id"].tolist(), batch["text"].tolist())
+    with task_memory():
+        for batch in batches:
+            yield from zip(batch["id"].tolist(), batch["text"].tolist())
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -327,7 +328,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
         for _, _, raw, starts in chunks(_texts(batches)):
             held.append(summed(anchors(raw, starts)[0]))
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 held = [summed(np.concatenate(held))]
                 size = 0
         if held:

@@ -12,7 +12,7 @@ K^(-1/2), a linear squared-hinge machine is fitted by Newton steps, and witnesse
 for ROUNDS rounds. Witnesses with one letter put in stand beside the plain ones.
 
 Scoring. A kernel expansion over landmarks is linear in phi, so the machine is one table of weights for three letters. A text's
-score is the logistic of its highest word; all words of whole texts count, and the words of a worker are kept in a bounded dictionary.
+score is the logistic of its highest word; all words of whole texts count, and the words of a task are kept in a bounded dictionary.
 
 The sample for fitting is bounded: TOXIC and CLEAN labelled documents of at most LONGEST characters, the least by a hash of doc_id.
 
@@ -33,14 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import emptied, filled
+from .common import emptied, filled, task_memory
 
 DECAY, REACH = 0.6, 6
 LETTERS = 26
 LANDMARKS = 256
 ROUNDS = 5
 TOXIC, CLEAN, LONGEST = 1500, 3500, 20_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 SKIPS = [(a, b) for a in range(1, REACH) for b in range(1, REACH - a)]
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 SIGNS = re.compile(r"[\W_]+")
@@ -281,12 +281,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
-_words: dict[int, dict[str, float]] = {}
-
-
-def _rated(model: Model, texts: list[str | None]) -> list[float]:
-    """The probability of each text, by its highest word."""
-    known = _words.setdefault(hash((model.table.tobytes(), model.bias, model.middle)), {})
+def _rated(model: Model, texts: list[str | None], known: dict[str, float]) -> list[float]:
+    """The probability of each text, by its highest word. known: the words of this task so far."""
     out = []
     for k in range(0, len(texts), 500):
         bags = [words_of(t) for t in texts[k : k + 500]]
@@ -305,8 +301,10 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": _rated(shared.value, batch["text"].tolist())})
+        known: dict[str, float] = {}
+        with task_memory(known):
+            for batch in batches:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "score": _rated(shared.value, batch["text"].tolist(), known)})
 
     rows = docs.select(filled(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = rows.mapInPandas(run, "doc_id long, score double").withColumn("doc_id", emptied(F.col("doc_id")))
@@ -322,7 +320,10 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(_rated(shared.value, texts.tolist()), dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, float] = {}
+        with task_memory(known):
+            for texts in batches:
+                yield pd.Series(_rated(shared.value, texts.tolist(), known), dtype="float64")
 
     return docs.where(score(F.col(text_col).cast("string")) < 0.5)
