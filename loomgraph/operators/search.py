@@ -38,11 +38,16 @@ def idf_of(docs: DataFrame, terms: list[str]) -> dict[str, float]:
     return {t: math.log((row["n"] + 1) / (row[f"d{k}"] + 1)) + 1 for k, t in enumerate(terms) if row[f"d{k}"]}
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    """Lower-cased texts and their tokens, made once a row and used by all parts of the score."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    rows = docs.withColumns({"__name": low("name"), "__sig": low("signature"), "__full": F.concat_ws(" ", low("name"), low("docstring"), low("signature"))})
+    return rows.withColumns({"__name_tokens": N.tokens(low("name")), "__doc_tokens": N.tokens(low("docstring")), "__full_tokens": N.tokens(F.col("__full"))})
+
+
 def score(terms: list[str], idfs: dict[str, float], in_degree: Column | None = None) -> Column:
-    """The keyword score of a row with name, docstring, signature and type, as one column expression."""
-    name, doc, sig = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("name", "docstring", "signature"))
-    full = F.concat_ws(" ", name, doc, sig)
-    name_tokens, doc_tokens, full_tokens = N.tokens(name), N.tokens(doc), N.tokens(full)
+    """The keyword score of a prepared row, as one column expression."""
+    name, sig, full, name_tokens, doc_tokens, full_tokens = (F.col(f"__{c}") for c in ("name", "sig", "full", "name_tokens", "doc_tokens", "full_tokens"))
     total, found = F.lit(0.0), F.lit(0)
     for t in terms:
         weight = F.lit(float(idfs.get(t, 1.0)))
@@ -89,7 +94,7 @@ def search(docs: DataFrame, terms: list[str], limit: int = 10, lang: str | None
     if kind in BOOST:
         rows = rows.where(F.col("type") == kind)
     value = score(terms, idf_of(docs, terms) if terms else {}, F.col("in_degree"))
-    return rows.select("id", "ord", value.alias("score")).where("score > 0").orderBy(F.desc("score"), "ord").limit(limit)
+    return prepared(rows).select("id", "ord", value.alias("score")).where("score > 0").orderBy(F.desc("score"), "ord").limit(limit)
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int = 10, least: float = 0.3) -> DataFrame:
