@@ -16,6 +16,9 @@ SOURCES = {
     "g/v.svelte": "<h1>x</h1>\n<script>\nfunction s() {\n  t();\n}\n</script>\n",
     "h/p.proto": "message Ask {\n}\nservice S {\n  rpc Get (Ask) returns (Reply);\n}\n",
     "bad.py": "def (:\n",
+    "k/a.php": "<?php\nuse A\\B;\nclass P extends Q {\n  const TOP = 1;\n  public function go($a) {\n    $this->call($a); // no()\n  }\n}\n",
+    "k/b.cs": "using System;\npublic class C : Base {\n  public int Go(int a) {\n    return Call(a);\n  }\n}\n",
+    "k/c.dart": "import 'x.dart';\nclass D extends E {\n  void go(int a) {\n    call(a);\n  }\n}\n",
     "i/c.c": "#include <stdio.h>\n#define TOP 3\nstatic int run(int a) {\n  go(a);\n}\n",
 }
 
@@ -44,6 +47,9 @@ def test_python():
         ("e/w.go", {("Class", "T"), ("Function", "Go")}, {("Go", "REF:Do", "CALLS")}, set()),
         ("f/r.rb", {("Class", "R"), ("Method", "go?")}, {("R", "REF:Q", "INHERITS"), ("go?", "REF:call", "CALLS")}, {"REF:no"}),
         ("h/p.proto", {("Class", "Ask"), ("Class", "S"), ("Method", "Get")}, set(), set()),
+        ("k/a.php", {("Class", "P"), ("Constant", "TOP"), ("Method", "go")}, {("P", "REF:Q", "INHERITS"), ("go", "REF:this->call", "CALLS")}, {"REF:no"}),
+        ("k/b.cs", {("Class", "C"), ("Method", "Go")}, {("C", "REF:Base", "INHERITS"), ("Go", "REF:Call", "CALLS")}, set()),
+        ("k/c.dart", {("Class", "D"), ("Method", "go")}, {("D", "REF:E", "INHERITS"), ("go", "REF:call", "CALLS")}, set()),
         ("i/c.c", {("Constant", "TOP"), ("Function", "run")}, {("run", "REF:go", "CALLS")}, set()),
     ],
 )
