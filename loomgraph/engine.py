@@ -53,10 +53,9 @@ class Engine:
         files = readers.source_tree(spark, root)
         # the number of a file in the order of folders and names: one short row a file, without contents
         place = files.select("path", "order_key").withColumn("place", F.row_number().over(W.orderBy("order_key")).cast("long"))
-        rows = extract.extract(files).join(place, "path").withColumn("ord", F.col("place") * 1_000_000 + F.col("ord"))
-        nodes = rows.where("kind = 'node'").groupBy("id").agg(F.min_by(F.struct("type", "name", "lineno", "end_lineno", "path"), "ord").alias("n"), F.min("ord").alias("ord"))
-        tokens = ((F.col("n.end_lineno") - F.col("n.lineno") + 1) * 10).alias("token_count")
-        nodes = nodes.select("ord", "id", "n.*", tokens, F.lit("").alias("docstring"), F.lit("").alias("signature"), F.lit(None).cast("string").alias("trait_impl"))
+        rows = extract.extract(files).join(place, "path").withColumn("ord", F.col("place") * 10_000_000 + F.col("ord"))
+        named = ["type", "name", "lineno", "end_lineno", "path", *extract.DETAILS]
+        nodes = rows.where("kind = 'node'").groupBy("id").agg(F.min_by(F.struct(*named), "ord").alias("n"), F.min("ord").alias("ord")).select("ord", "id", "n.*")
         edges = rows.where("kind = 'edge'").select("ord", "source", "target", "relation", "lineno")
         found = resolve.resolve(nodes, edges).where("resolved IS NOT NULL").select("ord", "source", "target", "resolved").dropDuplicates(["ord", "source", "target"])
         edges = edges.join(found, ["ord", "source", "target"], "left")
@@ -144,7 +143,7 @@ class Engine:
         return rows.select("id", "score", F.when(sure, "resolved").otherwise("suggestion").alias("status"))
 
     def context(self, node_id: str, max_output_tokens: int | None = None) -> DataFrame:
-        """Sections of what there is to know of a node, most important first, as long as they fit (longer ones are skipped)."""
+        """Sections of what there is to know of a node, most important first, as long as they fit (longer ones are skipped; the symbol itself always stays)."""
         node = self.nodes.where(F.col("id") == node_id)
         join = lambda df, text: df.agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("text"))
         name = node_id.split("::")[-1]
@@ -161,7 +160,8 @@ class Engine:
             row = part.select(F.lit(k).alias("ord"), F.lit(title).alias("section"), "text").where("text <> ''")
             out = row if out is None else out.unionByName(row)
         fits = graph.greedy_budget(out.select(F.lit(1).alias("key"), F.col("ord"), F.col("section").alias("id"), F.greatest(F.lit(1), N.estimate_tokens(F.col("text"))).alias("token_count")), "key", max_output_tokens or self.config.max_output_tokens)
-        return out.join(fits.select(F.explode(F.split("taken", ",")).alias("section")), "section").orderBy("ord").select("section", "text")
+        kept = fits.select(F.explode(F.split("taken", ",")).alias("section"))
+        return out.join(kept, "section", "left_semi").unionByName(out.where("section = 'symbol'")).dropDuplicates(["section"]).orderBy("ord").select("section", "text")
 
     def quick(self, name: str) -> DataFrame:
         found = self._first(name).first()

@@ -14,7 +14,12 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from loomgraph.functions import details
+
 SCHEMA = "kind string, ord long, id string, type string, name string, lineno int, end_lineno int, source string, target string, relation string"
+#: What more a node says; null for edges.
+DETAILS = {"signature": "string", "docstring": "string", "value": "string", "trait_impl": "string", "return_type": "string", "param_types": "array<string>", "token_count": "int"}
+SCHEMA += "".join(f", {k} {t}" for k, t in DETAILS.items())
 KEYWORDS = set("if for while switch catch return function match loop sizeof new await typeof elif else unless until and or not in is super this self assert yield def fn func class with case when throw delete do try".split())
 CALL = re.compile(r"([A-Za-z_][\w]*(?:(?:::|\.|->)[A-Za-z_]\w*)*)\s*\(")
 #: Marks of generated files, by convention of the tools that write them; calls of such files aren't recorded.
@@ -39,7 +44,7 @@ LANGUAGES = {
     "rust": Language((".rs",), rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|mod)\s+{NAME}|^\s*impl(?:<[^>]*>)?\s+(?:(?P<up>[A-Z]\w*)(?:<[^>]*>)?\s+for\s+)?(?P<impl>[A-Z]\w*)", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+{NAME}", r"^\s*(?:pub\s+)?use\s+(?P<n>[\w:]+)", rf"^\s*(?:pub\s+)?(?:const|static)\s+(?P<n>[A-Z][A-Z0-9_]*)"),
     "typescript": Language((".ts", ".tsx", ".js"), rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|enum)\s+{NAME}(?:\s+extends\s+(?P<up>[A-Z]\w*))?", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{NAME}|^\s*(?:export\s+)?const\s+(?P<n2>[A-Za-z_]\w*)\s*=\s*(?:async\s*)?\([^)]*\)[^=]*=>|^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?P<n3>[A-Za-z_]\w*)\s*\([^)]*\)[^;{{]*\{{", r"^\s*import\b.*?from\s+['\"](?P<n>[^'\"]+)", rf"^\s*(?:export\s+)?const\s+(?P<n>[A-Z][A-Z0-9_]*)\s*[:=]"),
     "java": Language((".java",), rf"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|interface|enum|record|@interface)\s+{NAME}(?:<[^>]*>)?(?:\([^)]*\))?(?:\s+extends\s+(?P<up>[A-Z]\w*))?", rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)+(?:<[^>]*>\s*)?(?:[\w<>\[\],.?]+\s+)?{NAME}\s*\(", r"^\s*import\s+(?:static\s+)?(?P<n>[\w.]+)", rf"^\s*(?:public|private|protected)?\s*static\s+final\s+\S+\s+(?P<n>[A-Z][A-Z0-9_]*)\s*="),
-    "go": Language((".go",), rf"^\s*type\s+{NAME}\s+(?:struct|interface|\w)", rf"^func\s+(?:\([^)]*\)\s*)?{NAME}\s*[\(\[]", r"^\s*(?:import\s+)?(?:\w+\s+)?\"(?P<n>[^\"]+)\"\s*$", rf"^\s*(?:const|var)\s+{NAME}"),
+    "go": Language((".go",), rf"^\s*type\s+{NAME}\s+(?:struct|interface|\w)", rf"^func\s+(?:\(\s*(?:\w+\s+)?\*?(?P<owner>\w+)[^)]*\)\s*)?{NAME}\s*[\(\[]", r"^\s*(?:import\s+)?(?:\w+\s+)?\"(?P<n>[^\"]+)\"\s*$", rf"^\s*(?:const|var)\s+{NAME}"),
     "ruby": Language((".rb", ".rake", ".gemspec"), rf"^\s*(?:class|module)\s+{NAME}(?:\s*<\s*(?P<up>[A-Z]\w*))?", r"^\s*def\s+(?:self\.)?(?P<n>[A-Za-z_]\w*[?!]?)", r"^\s*require(?:_relative)?\s+['\"](?P<n>[^'\"]+)", r"^\s*(?P<n>[A-Z][A-Z0-9_]*)\s*=", "#", "indent"),
     "php": Language((".php",), rf"^\s*(?:abstract\s+|final\s+)*(?:class|interface|trait|enum)\s+{NAME}(?:\s+extends\s+(?P<up>[A-Z]\w*))?", rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?{NAME}", r"^\s*use\s+(?P<n>[\w\\]+)\s*;", r"^\s*(?:public\s+)?const\s+(?P<n>[A-Z]\w*)"),
     "csharp": Language((".cs",), rf"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(?:class|interface|struct|enum|record)\s+{NAME}(?:<[^>]*>)?(?:\s*:\s*(?P<up>[A-Z]\w*))?", rf"^\s*(?:(?:public|private|protected|internal|static|async|virtual|override|sealed|abstract)\s+)+[\w<>\[\],.?]+\s+{NAME}\s*(?:<[^>]*>)?\(", r"^\s*using\s+(?P<n>[\w.]+)\s*;", r"^\s*(?:public|private|internal)?\s*const\s+\S+\s+(?P<n>\w+)"),
@@ -75,11 +80,17 @@ def without_comment(line: str, mark: str) -> str:
 class Rows(list):
     """Nodes and edges of one file, in the order in which they are found."""
 
-    def node(self, id_: str, type_: str, name: str, line: int, end: int) -> None:
-        self.append(("node", len(self), id_, type_, name, line, end, None, None, None))
+    def node(self, id_: str, type_: str, name: str, line: int, end: int, **more) -> None:
+        more = {"signature": "", "docstring": "", "token_count": (end - line + 1) * 10} | more
+        self.append(("node", len(self), id_, type_, name, line, end, None, None, None, *(more.get(k) for k in DETAILS)))
 
     def edge(self, source: str, target: str, relation: str, line: int | None) -> None:
-        self.append(("edge", len(self), None, None, None, line, None, source, target, relation))
+        self.append(("edge", len(self), None, None, None, line, None, source, target, relation, *[None] * len(DETAILS)))
+
+    def close(self, at: int, end: int) -> None:
+        """The last line of a node, once it is known."""
+        row = self[at]
+        self[at] = (*row[:6], end, *row[7:-1], (end - row[5] + 1) * 10)
 
 
 def python_rows(path: str, text: str) -> Rows:
@@ -87,38 +98,58 @@ def python_rows(path: str, text: str) -> Rows:
     out, root = Rows(), f"FILE:{path}"
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError):
         return out
-    out.node(root, "File", path.rsplit("/", 1)[-1], 1, text.count("\n") + 1)
+    out.node(root, "File", path.rsplit("/", 1)[-1], 1, text.count("\n") + 1, token_count=len(text) // 4)
+    imported: dict[str, str] = {}  # a name in this file: what it stands for
+
+    def full(name: str) -> str:
+        first, dot, rest = name.partition(".")
+        return imported.get(first, first) + dot + rest
+
+    def calls(x: ast.AST, own: str) -> None:
+        for c in ast.walk(x):
+            if isinstance(c, ast.Call) and (name := dotted(c.func)):
+                out.edge(own, f"REF:{full(name)}", "CALLS", c.lineno)
+
+    def decorators(x: ast.AST, own: str) -> None:
+        for d in x.decorator_list:
+            if name := dotted(d.func if isinstance(d, ast.Call) else d):
+                out.edge(own, f"REF:{full(name)}", "CALLS", d.lineno)
 
     def visit(body: list, scope: str, in_class: bool) -> None:
         for x in body:
             if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 own = f"{scope}::{x.name}"
-                out.node(own, "Method" if in_class else "Function", x.name, x.lineno, x.end_lineno)
+                out.node(own, "Method" if in_class else "Function", x.name, x.lineno, x.end_lineno, **details.python(x))
                 out.edge(scope, own, "DEFINES", None)
-                for c in ast.walk(x):
-                    if isinstance(c, ast.Call) and (name := dotted(c.func)):
-                        out.edge(own, f"REF:{name}", "CALLS", c.lineno)
+                decorators(x, own)
+                for part in x.body:
+                    calls(part, own)
                 visit(x.body, own, False)
             elif isinstance(x, ast.ClassDef):
                 own = f"{scope}::{x.name}"
-                out.node(own, "Class", x.name, x.lineno, x.end_lineno)
+                out.node(own, "Class", x.name, x.lineno, x.end_lineno, docstring=ast.get_docstring(x) or "")
                 out.edge(scope, own, "DEFINES", None)
+                decorators(x, own)
                 for b in x.bases:
                     if name := dotted(b):
-                        out.edge(own, f"REF:{name}", "INHERITS", x.lineno)
+                        out.edge(own, f"REF:{full(name)}", "INHERITS", x.lineno)
                 visit(x.body, own, True)
             elif isinstance(x, ast.Import):
                 for a in x.names:
+                    if a.asname:
+                        imported[a.asname] = a.name
                     out.edge(scope, f"MODULE:{a.name}", "IMPORTS", x.lineno)
             elif isinstance(x, ast.ImportFrom):
                 for a in x.names:
-                    out.edge(scope, f"MODULE:{x.module or ''}.{a.name}", "IMPORTS", x.lineno)
+                    whole = f"{x.module}.{a.name}" if x.module else a.name
+                    imported[a.asname or a.name] = whole
+                    out.edge(scope, f"MODULE:{whole}", "IMPORTS", x.lineno)
             elif isinstance(x, ast.Assign) and not scope.count("::"):
                 for t in x.targets:
                     if isinstance(t, ast.Name) and t.id.isupper():
-                        out.node(f"{scope}::{t.id}", "Constant", t.id, x.lineno, x.end_lineno)
+                        out.node(f"{scope}::{t.id}", "Constant", t.id, x.lineno, x.end_lineno, value=details.short(ast.unparse(x.value), 200))
                         out.edge(scope, f"{scope}::{t.id}", "DEFINES", None)
             elif isinstance(x, (ast.If, ast.Try)):
                 visit([*x.body, *x.orelse], scope, in_class)
@@ -136,30 +167,77 @@ def dotted(x: ast.AST) -> str | None:
     return None
 
 
+VARIANT = re.compile(r"^\s*([A-Z]\w*)\s*(?:[({,=]|$)")
+LITERAL = re.compile(r"\b([A-Z]\w*)\s*\{")
+RPC = re.compile(r"\brpc\s+\w+\s*\(\s*(?:stream\s+)?([\w.]+)\s*\)\s*returns\s*\(\s*(?:stream\s+)?([\w.]+)\s*\)")
+SET_UP = [re.compile(r"\b(\w+)\.interceptors\.(request|response)\.use\s*\("), re.compile(r"\b(?:app|router|server)\.use\s*\(\s*([^,)\s]+)"), re.compile(r"\b(\w+)\.on\(\s*['\"]([^'\"]+)['\"]")]
+
+
+def set_up(line: str) -> tuple[str, str, str] | None:
+    """Name, signature and description of the interceptor, middleware or event handler that a line registers."""
+    inter, middle, event = (p.search(line) for p in SET_UP)
+    if inter:
+        return f"{inter[1]}_{inter[2]}_interceptor", f"{inter[1]}.interceptors.{inter[2]}.use(...)", f"Configures {inter[2]} interceptor for {inter[1]}"
+    if middle and not middle[1].startswith("("):
+        return "middleware_" + re.sub("[/.]", "_", middle[1]), f"app.use({middle[1]})", f"Registers middleware: {middle[1]}"
+    if event:
+        return f"{event[1]}_on_{event[2].replace(':', '_')}", f"{event[1]}.on('{event[2]}', ...)", f"Handles '{event[2]}' event on {event[1]}"
+    return None
+
+
+def block_end(lines: list[str], k: int) -> int:
+    """How many lines after line k the block ends that begins in it; 0 if none begins there."""
+    depth = 0
+    for n, line in enumerate(lines[k : k + 1000]):
+        depth += line.count("{") - line.count("}")
+        if depth <= 0:
+            return n
+    return 100
+
+
+@dataclass
+class Scope:
+    depth: int  # (or indent) at which it began
+    id: str
+    type: str
+    at: int | None  # the place of its node
+    trait: str | None = None
+    is_enum: bool = False
+    open: bool = True  # its body has begun
+
+
 def scanned_rows(path: str, text: str, lang: Language, first_line: int = 1) -> Rows:
     out, root = Rows(), f"FILE:{path}"
     lines = text.split("\n")
-    out.node(root, "File", path.rsplit("/", 1)[-1], 1, len(lines))
+    out.node(root, "File", path.rsplit("/", 1)[-1], 1, len(lines), token_count=len(text) // 4)
     quiet = any(m in x for x in lines[:30] for m in GENERATED)
     classes, functions, imports, constants = (re.compile(p) for p in (lang.classes, lang.functions, lang.imports, lang.constants))
-    scopes: list[tuple[int, str, str, int | None]] = [(-1, root, "File", None)]  # depth (or indent) at which it began, id, type, place of its node
+    is_rust, is_ts, is_proto = (lang is LANGUAGES[x] for x in ("rust", "typescript", "proto"))
+    scopes = [Scope(-1, root, "File", None)]
     depth, last = 0, first_line
 
     def leave() -> None:
-        *_, at = scopes.pop()
+        at = scopes.pop().at
         if at is not None:
-            out[at] = (*out[at][:6], last, *out[at][7:])
+            out.close(at, last)
 
     for k, raw in enumerate(lines):
         line, number = without_comment(raw, lang.comment), k + first_line
         if not line.strip():
             continue
         level = len(line) - len(line.lstrip()) if lang.blocks == "indent" else depth
-        while len(scopes) > 1 and level <= scopes[-1][0] and not (lang.blocks == "indent" and line.strip() == "end" and level == scopes[-1][0]):
+        if not scopes[-1].open and (classes.match(line) or functions.match(line)):
+            leave()
+        while len(scopes) > 1 and scopes[-1].open and level <= scopes[-1].depth and not (lang.blocks == "indent" and line.strip() == "end" and level == scopes[-1].depth):
             leave()
-        scope, kind, last = scopes[-1][1], scopes[-1][2], number
-        made, at = None, len(out)
-        if m := imports.match(line):
+        top, last = scopes[-1], number
+        scope, kind = top.id, top.type
+        made, at, found = None, len(out), {}
+        if is_ts and (shown := set_up(line)):
+            ends = number + block_end(lines, k)
+            out.node(f"{root}::{shown[0]}", "Configuration", shown[0], number, ends, signature=shown[1], docstring=details.comment_above(lines, k) or shown[2], token_count=max((ends - number + 1) * 10, 50 if "interceptors" in shown[1] else 30))
+            out.edge(root, f"{root}::{shown[0]}", "DEFINES", None)
+        elif m := imports.match(line):
             out.edge(root, f"MODULE:{m['n']}", "IMPORTS", number)
         elif m := classes.match(line):
             found = m.groupdict()
@@ -167,28 +245,49 @@ def scanned_rows(path: str, text: str, lang: Language, first_line: int = 1) -> R
             made = f"{scope}::{name}"
             at = at if found.get("n") else None
             if found.get("n"):
-                out.node(made, "Class", name, number, number)
+                out.node(made, "Class", name, number, number, docstring=details.comment_above(lines, k))
                 out.edge(scope, made, "DEFINES", None)
             if found.get("up"):
                 out.edge(made, f"REF:{found['up']}", "INHERITS", number)
             kind = "Class"
         elif (m := functions.match(line)) and (name := next(v for g, v in m.groupdict().items() if g.startswith("n") and v)) not in KEYWORDS:
+            if owner := m.groupdict().get("owner"):
+                scope, kind = f"{root}::{owner}", "Class"
             made = f"{scope}::{name}"
-            kind = "Method" if kind == "Class" else "Function"
-            out.node(made, kind, name, number, number)
+            kind = "Method" if kind == "Class" and not is_proto else "Function"
+            more = details.rust(name, details.head(lines, k)) if is_rust else details.typescript(name, details.head(lines, k)) if is_ts else {}
+            if is_proto and (m := RPC.search(line)):
+                more = {"signature": f"rpc {name}({m[1]}) returns ({m[2]})"}
+            out.node(made, kind, name, number, number, docstring=details.comment_above(lines, k), trait_impl=top.trait if kind == "Method" else None, **more)
             out.edge(scope, made, "DEFINES", None)
+            if is_proto and m:
+                out.edge(made, f"REF:{m[1]}", "CALLS", None)
+                out.edge(made, f"REF:{m[2]}", "CALLS", None)
         elif m := constants.match(line):
-            out.node(f"{scope}::{m['n']}", "Constant", m["n"], number, number)
+            out.node(f"{scope}::{m['n']}", "Constant", m["n"], number, number, docstring=details.comment_above(lines, k), value=(line.partition("=")[2] or line[m.end() :]).strip().rstrip(";") or None)
             out.edge(scope, f"{scope}::{m['n']}", "DEFINES", None)
-        if not quiet and not imports.match(line):
+        elif top.is_enum and depth == top.depth + 1 and (m := VARIANT.match(line)):
+            out.node(f"{scope}::{m[1]}", "Function", m[1], number, number, signature=f"{scope.split('::')[-1]}::{m[1]}", docstring=details.comment_above(lines, k))
+            out.edge(scope, f"{scope}::{m[1]}", "DEFINES", None)
+        if not quiet and not is_proto and not imports.match(line):
             own = made.rsplit("::", 1)[-1] if made else None
             for c in CALL.finditer(line):
-                last = re.split(r"::|\.|->", c[1])[-1]
-                if last not in KEYWORDS and c[1] not in KEYWORDS and last != own:
+                parts = re.split(r"::|\.|->", c[1])
+                if parts[-1] not in KEYWORDS and c[1] not in KEYWORDS and parts[-1] != own:
                     out.edge(made or scope, f"REF:{c[1]}", "CALLS", number)
+                if is_rust and len(parts) > 1 and parts[-2][0].isupper() and (parts[-1] in details.CONSTRUCTORS or parts[-1].startswith(("with_", "from_"))):
+                    out.edge(made or scope, f"REF:{parts[-2]}", "INSTANTIATES", number)
+            if is_rust and not found and not made:
+                for c in LITERAL.finditer(line):
+                    if c[1] not in details.NOT_LITERALS and not line.lstrip().startswith("impl"):
+                        out.edge(scope, f"REF:{c[1]}", "INSTANTIATES", number)
         opens, closes = line.count("{"), line.count("}")
+        if not top.open and not made:  # a declaration that goes on over several lines
+            top.open = opens > 0
+            if not opens and line.rstrip().endswith(";"):
+                leave()
         if made and (lang.blocks == "indent" or opens > closes or not line.rstrip().endswith((";", "}"))):
-            scopes.append((level, made, kind, at))
+            scopes.append(Scope(level, made, kind, at, found.get("up") if found.get("impl") else None, is_rust and " enum " in f" {line}", lang.blocks == "indent" or opens > 0))
         depth = max(0, depth + opens - closes)
     while len(scopes) > 1:
         leave()
@@ -203,7 +302,7 @@ def svelte_rows(path: str, text: str) -> Rows:
             if row[3] != "File" or not out:
                 out.append((row[0], len(out), *row[2:]))
     if not out:
-        out.node(f"FILE:{path}", "File", path.rsplit("/", 1)[-1], 1, text.count("\n") + 1)
+        out.node(f"FILE:{path}", "File", path.rsplit("/", 1)[-1], 1, text.count("\n") + 1, token_count=len(text) // 4)
     return out
 
 
@@ -225,6 +324,6 @@ def extract(files: DataFrame) -> DataFrame:
                 rows = rows_of(path, content or "")
                 if rows:
                     out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                    yield out.assign(path=path).astype({"lineno": "Int32", "end_lineno": "Int32"})
+                    yield out.assign(path=path).astype({"lineno": "Int32", "end_lineno": "Int32", "token_count": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA + ", path string")

@@ -40,6 +40,9 @@ def test_classes_and_context(engine):
     sections = {r["section"]: r["text"] for r in engine.quick("helper").collect()}
     assert "def helper" in sections["source"] and "deep" in sections["callees"] and "test_helper" in sections["callers"]
     assert list(r["section"] for r in engine.context("FILE:p/a.py::helper", 8).collect())[0] == "symbol"
+    impls = engine.impls("go").collect()
+    assert [r["trait_impl"] for r in impls] == ["Show"]
+    assert "def helper() -> None" in sections["symbol"]
     assert engine.resolve_id("p/a.py").first()["status"] == "resolved"
     assert {r["type"] for r in engine.structure("p/a.py").collect()} == {"Class", "Method", "Function"}
 

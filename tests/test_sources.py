@@ -33,7 +33,7 @@ def found(path):
 def test_python():
     nodes, edges = found("a/x.py")
     assert nodes == [("File", "x.py", 1), ("Constant", "LIMIT", 3), ("Class", "A", 5), ("Method", "go", 6), ("Function", "top", 9), ("Function", "inner", 10)]
-    assert ("A", "REF:B", "INHERITS") in edges and ("go", "REF:q", "CALLS") in edges and ("go", "REF:self.stop", "CALLS") in edges
+    assert ("A", "REF:B", "INHERITS") in edges and ("go", "REF:m.q", "CALLS") in edges and ("go", "REF:self.stop", "CALLS") in edges
     assert ("top", "REF:work", "CALLS") in edges and ("inner", "REF:work", "CALLS") in edges
     assert extract.rows_of("bad.py", SOURCES["bad.py"]) == []
 
@@ -44,9 +44,9 @@ def test_python():
         ("b/y.rs", {("Class", "S"), ("Method", "go"), ("Constant", "MAX"), ("Function", "free")}, {("S", "REF:Show", "INHERITS"), ("go", "REF:helper", "CALLS"), ("go", "REF:Self::other", "CALLS"), ("free", "REF:s.go", "CALLS")}, set()),
         ("c/z.ts", {("Class", "K"), ("Method", "run"), ("Function", "f"), ("Function", "arrow")}, {("K", "REF:Base", "INHERITS"), ("run", "REF:call", "CALLS"), ("f", "REF:g", "CALLS"), ("f", "REF:h", "CALLS"), ("arrow", "REF:k", "CALLS")}, {"REF:no"}),
         ("d/M.java", {("Class", "M"), ("Method", "go"), ("Constant", "TOP")}, {("M", "REF:N", "INHERITS"), ("go", "REF:other.call", "CALLS")}, set()),
-        ("e/w.go", {("Class", "T"), ("Function", "Go")}, {("Go", "REF:Do", "CALLS")}, set()),
+        ("e/w.go", {("Class", "T"), ("Method", "Go")}, {("Go", "REF:Do", "CALLS")}, set()),
         ("f/r.rb", {("Class", "R"), ("Method", "go?")}, {("R", "REF:Q", "INHERITS"), ("go?", "REF:call", "CALLS")}, {"REF:no"}),
-        ("h/p.proto", {("Class", "Ask"), ("Class", "S"), ("Method", "Get")}, set(), set()),
+        ("h/p.proto", {("Class", "Ask"), ("Class", "S"), ("Function", "Get")}, {("Get", "REF:Ask", "CALLS"), ("Get", "REF:Reply", "CALLS")}, {"REF:returns"}),
         ("k/a.php", {("Class", "P"), ("Constant", "TOP"), ("Method", "go")}, {("P", "REF:Q", "INHERITS"), ("go", "REF:this->call", "CALLS")}, {"REF:no"}),
         ("k/b.cs", {("Class", "C"), ("Method", "Go")}, {("C", "REF:Base", "INHERITS"), ("Go", "REF:Call", "CALLS")}, set()),
         ("k/c.dart", {("Class", "D"), ("Method", "go")}, {("D", "REF:E", "INHERITS"), ("go", "REF:call", "CALLS")}, set()),
@@ -65,6 +65,35 @@ def test_block_ends():
     assert ends == {"S": 2, "go": 7, "free": 12, "R": 6, "go?": 5, "K": 6, "run": 5, "f": 9, "arrow": 12}
 
 
+def details(path, text):
+    names = [c.split()[0] for c in extract.SCHEMA.split(", ")]
+    return {r["name"]: r for r in (dict(zip(names, x)) for x in extract.rows_of(path, text)) if r["kind"] == "node"}
+
+
+def test_details():
+    py = details("a.py", 'import os.path as p\nX = 3\nclass A:\n    """Doc."""\n    @p.wrap\n    def go(self, n: dict[str, int], *, k=1) -> "B | None":\n        "Does."\n        p.join()\n')
+    assert py["go"]["signature"] == "def go(self, n: dict[str, int]) -> 'B | None'" and py["go"]["param_types"] == ["Any", "dict[str, int]"]
+    assert (py["go"]["docstring"], py["A"]["docstring"], py["X"]["value"], py["go"]["token_count"]) == ("Does.", "Doc.", "3", 30)
+    rs = details("a.rs", "/// A kind.\npub enum Kind {\n    First,\n    Other(u8),\n}\nimpl Show for Kind {\n    /// Shows it.\n    /// Twice.\n    fn show(&self, m: HashMap<String, u8>,\n        n: &str) -> Result<(), E> {\n        Kind::new(1);\n        let x = Point { x: 1 };\n    }\n}\nconst TOP: u8 = 7;\n")
+    show = rs["show"]
+    assert (show["signature"], show["trait_impl"], show["docstring"]) == ("fn show(...) -> Result<(), E>", "Show", "Shows it.\nTwice.")
+    assert show["param_types"] == ["&self", "HashMap<String, u8>", "&str"] and show["end_lineno"] == 13 and show["token_count"] == 50
+    assert rs["First"]["signature"] == "Kind::First" and rs["Other"]["type"] == "Function" and rs["Kind"]["docstring"] == "A kind." and rs["TOP"]["value"] == "7"
+    links = {(r[7].split("::")[-1], r[8]) for r in extract.rows_of("a.rs", "fn f() {\n    Kind::new(1);\n    let x = Point { x: 1 };\n}\n") if r[9] == "INSTANTIATES"}
+    assert links == {("f", "REF:Kind"), ("f", "REF:Point")}
+    ts = details("a.ts", "class K {\n  run(x: Map<string, number>, y = 1): Promise<void> {\n  }\n  get size(): number {\n  }\n}\nconst arrow = (x) => {\n};\napi.interceptors.request.use((c) => {\n  return c;\n});\napp.use(cors);\nbus.on('a:b', go);\nconst LIMIT = 4;\n")
+    assert ts["run"]["signature"] == "function run(p0: Map<string, number>, p1: any): Promise<void>" and ts["size"]["signature"] == "get size(): number"
+    assert ts["arrow"]["signature"] == "const arrow = (...) => ..." and ts["LIMIT"]["value"] == "4"
+    assert {n: (r["lineno"], r["end_lineno"]) for n, r in ts.items() if r["type"] == "Configuration"} == {"api_request_interceptor": (9, 11), "middleware_cors": (12, 12), "bus_on_a_b": (13, 13)}
+
+
+def test_block_that_ends_after_a_call():
+    assert details("a.java", "class A {\n  public int f() {\n    return b(); }\n  public int g() {\n    return c();\n")["f"]["end_lineno"] == 3
+    rows = extract.rows_of("a.cs", "class A\n{\n  public int F(int a,\n    int b)\n  {\n    Go(a);\n  }\n  public int G()\n  {\n    Do();\n  }\n}\n")
+    assert [(r[7].split("::")[-1], r[8]) for r in rows if r[9] == "CALLS"] == [("F", "REF:Go"), ("G", "REF:Do")]
+    assert {r[4]: r[6] for r in rows if r[0] == "node" and r[3] != "File"} == {"A": 12, "F": 7, "G": 11}
+
+
 def test_svelte_lines():
     assert ("Function", "s", 3) in found("g/v.svelte")[0]
 
