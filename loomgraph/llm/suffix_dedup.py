@@ -6,13 +6,19 @@ with the same anchor are one region (SPAN bytes and one more for each further wi
 their anchor and of their bytes; a region is sorted only if its anchor occurs twice, and equal regions are sorted once, with
 their number. So copies, however many, meet as one region, and unique text never travels.
 
+An anchor with more than HOT different regions (a passage that very many texts share, each with other surroundings) would gather
+them all in one block. Its regions are dealt out as single windows instead, each under its own hash, so that only equal windows
+meet and counting them decides. A first reading finds these anchors: a task names those of which it has two or more different
+regions, so one that is missed has at most HOT regions and one more for each task. Every task reads the list of them; HOT grows
+with the regions named in all, so that the list holds at most MOST_HOT (32 MB), whatever the input.
+
 Sorting. The regions of an anchor come together in a block, whose windows are sorted in two stages: a suffix that is smaller
 than its successor is sorted directly by its first SPAN bytes; the others are induced from it by one scan of the buckets of first bytes, in
 ascending order (a suffix larger than its successor follows from the place of its successor, which stands in an earlier bucket, or earlier in the same
 one). Neighbours in the order with a common prefix of SPAN bytes or more are repeats, as are windows of a region found twice.
 
-Texts are read three times (anchors, regions, removal) and never shuffled. A task sends each distinct region's hashes and count
-once, however often it has it. What the second and third reading need is written to the shared folder by the number of the
+Texts are read four times (hot anchors, anchors, regions, removal) and never shuffled. A task sends each distinct region's hashes and count
+once, however often it has it. What the later readings need is written to the shared folder by the number of the
 task that needs it; a task that doesn't find what it was asked for stops. Input that comes out of a shuffle is written down first, so that a
 task's texts are the same each time.
 
@@ -45,6 +51,9 @@ M64 = (1 << 64) - 1
 REGION = np.dtype([("h", "<u8"), ("r", "<u8"), ("n", "<u2"), ("count", "<u4")])
 RUN = np.dtype([("h", "<u8"), ("r", "<u8"), ("first", "<u2"), ("last", "<u2")])
 BLOCK = 700_000
+HOT = 20_000
+MOST_HOT = 4_000_000
+NO_ANCHORS = np.zeros(0, "<u8")
 
 
 class Hashes:
@@ -81,8 +90,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The regions of texts that stand one after the other in raw, and where they begin; starts: of each text, and the end."""
+def anchors(raw: np.ndarray, starts: np.ndarray, hot: np.ndarray = NO_ANCHORS) -> tuple[np.ndarray, np.ndarray]:
+    """The regions of texts that stand one after the other in raw, and where they begin; starts: of each text, and the end.
+
+    The regions of hot anchors come as single windows, under hashes of their own.
+    """
     none = np.zeros(0, REGION), np.zeros(0, "int64")
     w = SPAN - GRAM + 1
     if len(raw) < SPAN:
@@ -111,7 +123,16 @@ def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out = np.zeros(len(lo), REGION)
     out["h"], out["n"], out["count"] = gram[own[new]], hi - lo + 1, 1
     out["r"] = mixed(hashes.of(lo, hi + SPAN) + (own[new] - lo).astype("u8") + ((hi - lo).astype("u8") << np.uint64(32)))
-    return out, lo
+    if not len(hot) or not (split := np.isin(out["h"], hot)).any():
+        return out, lo
+    n = out["n"][split].astype("int64")
+    first = np.repeat(lo[split], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    single = np.zeros(len(first), REGION)
+    window = hashes.of(first, first + SPAN)
+    single["h"], single["r"], single["n"], single["count"] = mixed(window + np.uint64(1)), mixed(window + np.uint64(2)), 1, 1
+    out, lo = np.concatenate([out[~split], single]), np.concatenate([lo[~split], first])
+    order = np.argsort(lo, kind="stable")
+    return out[order], lo[order]
 
 
 def chunks(rows: Iterator[tuple]) -> Iterator[tuple[list, list[bytes], np.ndarray, np.ndarray]]:
@@ -313,7 +334,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """The texts as (id, text) in tasks that keep theirs, and the folder with the runs of repeated windows for each task."""
+    """The texts as (id, text) in tasks that keep theirs, and the folder with the hot anchors and the runs of repeated windows for each task."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if "Exchange" in texts._jdf.queryExecution().executedPlan().toString():
@@ -322,17 +343,34 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     parts = 2 * tasks
     folder = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, held = TaskContext.get().partitionId(), []
-        size = 0
+    def own_regions(batches: Iterator[pd.DataFrame], hot: np.ndarray) -> np.ndarray:
+        held, size = [], 0
         for _, _, raw, starts in chunks(_texts(batches)):
-            held.append(summed(anchors(raw, starts)[0]))
+            held.append(summed(anchors(raw, starts, hot)[0]))
             size += len(held[-1])
             if size > 1_000_000:
                 held = [summed(np.concatenate(held))]
                 size = 0
-        if held:
-            own = summed(np.concatenate(held))
+        return summed(np.concatenate(held)) if held else np.zeros(0, REGION)
+
+    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The anchors of which this task has two or more different regions."""
+        h = own_regions(batches, NO_ANCHORS)["h"]
+        if len(h):
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.concatenate([first, [len(h)]]))
+            names = h[first[n > 1]].tobytes()
+            yield pd.DataFrame({"blob": [names[k : k + 8] for k in range(0, len(names), 8)], "n": n[n > 1]})
+
+    some = cut(texts.mapInPandas(several, "blob binary, n long"))
+    named = some.agg(F.sum("n")).first()[0] or 0
+    many = some.groupBy("blob").agg(F.sum("n").alias("n")).where(F.col("n") > max(HOT, named // MOST_HOT))
+    hot = _ask(spark, many.select(F.lit(0).alias("task"), "blob"), f"{folder}/hot", 1)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        own = own_regions(batches, _asked(hot, 0, NO_ANCHORS.dtype))
+        if len(own):
             part = (own["h"] % np.uint64(parts)).astype("int64")
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -366,11 +404,12 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     wanted = _ask(spark, met.where("kind = 0").select("task", "blob"), f"{folder}/regions", tasks)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = _asked(wanted, TaskContext.get().partitionId(), REGION)
+        task = TaskContext.get().partitionId()
+        ask, split = _asked(wanted, task, REGION), _asked(hot, 0, NO_ANCHORS.dtype)
         ask = ask[np.argsort(ask["r"], kind="stable")]
         sent = np.zeros(len(ask), bool)
         for _, _, raw, starts in chunks(_texts(batches)):
-            regions, lo = anchors(raw, starts)
+            regions, lo = anchors(raw, starts, split)
             at = find(ask, regions)
             here = np.flatnonzero(at >= 0)
             here = here[~sent[at[here]]]
@@ -418,15 +457,16 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
 
     sent = texts.mapInPandas(send, "part int, heads binary, bytes binary")
     runs = sent.groupBy("part").cogroup(met.where("kind = 1").groupBy("part")).applyInPandas(sort, "task int, blob binary")
-    return texts, _ask(spark, runs, f"{folder}/runs", tasks)
+    _ask(spark, runs, f"{folder}/runs", tasks)
+    return texts, folder
 
 
 def spans(texts: Iterator[tuple], folder: str, task: int) -> Iterator[tuple]:
     """(id, bytes, removed parts) of each text of a task."""
-    runs = _asked(folder, task, RUN)
+    runs, hot = _asked(f"{folder}/runs", task, RUN), _asked(f"{folder}/hot", 0, NO_ANCHORS.dtype)
     runs = runs[np.lexsort((runs["first"], runs["r"]))]
     for ids, raws, raw, starts in chunks(texts):
-        regions, lo = anchors(raw, starts)
+        regions, lo = anchors(raw, starts, hot)
         a, b = np.searchsorted(runs["r"], regions["r"], "left"), np.searchsorted(runs["r"], regions["r"], "right")
         by: dict[int, list] = {}
         hit = np.flatnonzero(b > a)

@@ -84,6 +84,24 @@ def test_small_blocks(spark, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.digests(docs).collect()), key=str) == brute(rows)
 
 
+def test_hot_anchors(spark, monkeypatch):
+    """Anchors with many different regions come as single windows; in some tasks such an anchor has only one region."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    passage = prose(80)
+    rows = [(k, f"{prose(30)} {passage} {prose(30)}") for k in range(40)] + made_up()[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for hot, n in ((2, 3), (8, 12), (0, 1)):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        texts, folder = suffix_dedup.marked(docs.repartition(n))
+        assert len(suffix_dedup._asked(f"{folder}/hot", 0, suffix_dedup.NO_ANCHORS.dtype)) > 0
+        assert sorted(map(tuple, suffix_dedup.digests(docs.repartition(n)).collect()), key=str) == want
+    monkeypatch.setattr(suffix_dedup, "MOST_HOT", 1)  # the list is bounded
+    texts, folder = suffix_dedup.marked(docs.repartition(3))
+    assert len(suffix_dedup._asked(f"{folder}/hot", 0, suffix_dedup.NO_ANCHORS.dtype)) <= 1
+
+
 def test_sf(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op9_suffix_array_dedup(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(rows)
