@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, near-dedup, suffix-array dedup, decontamination, packing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last keep the columns of documents;
-the last gives a row for each packed piece. Near-dedup takes the fingerprints and radius of op4, so a group is linked in the same way.
+the last gives a row for each packed piece. Near-dedup links texts with a five-word Jaccard of at least 0.8; op4 keeps its own fingerprints and radius.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
+from loomgraph.llm import decontaminate, near_text, packing, suffix_dedup, toxicity
 from loomgraph.llm.common import shared_dir
 from loomgraph.llm.queries import table, tokenizer_path
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_text.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,126 @@
+"""Near copies by five-word shingles: texts whose sets of shingles have a Jaccard similarity of at least 0.8 are linked.
+
+Candidates come from MinHash: BANDS x ROWS least values of multiplied shingle hashes, and texts meet where a band of ROWS is equal.
+Two texts at 0.8 share no band with probability (1 - 0.8^4)^24 = 3e-6, and less above. Each candidate is decided by its exact
+Jaccard over the two texts, so no pair below the bar is linked.
+
+Equal texts are one node. A bucket is first compared with its least text only; texts that this puts into one component aren't
+compared again, and the others of a bucket meet in cells of hash blocks of CELL texts, so no task holds the pairs of a bucket.
+Sizes of sets that rule out 0.8 are dropped before texts are read.
+
+Results for odd inputs: texts without words (null, empty) are copies of each other; fewer words than a shingle: the whole sequence
+is the only shingle. Rows are told apart by id and text: of a component the row of the least id stays (null ids last), and only one
+of the rows that are equal in both; rows that share an id, or have none, stay if their texts aren't near copies.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, task_memory
+from .simhash import SEED, components
+
+WORDS = 5
+BANDS, ROWS = 24, 4
+CELL = 1_000
+FACTORS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, "u8")[:, None] | np.uint64(1)
+
+
+def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
+    """The ASCII rules of simhash.fingerprint."""
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def alike(a: set[bytes], b: set[bytes]) -> bool:
+    both = len(a & b)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def bands(found: set[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    h = np.fromiter((xxh64_intdigest(s, SEED) for s in found), "u8", len(found))
+    least = np.full(BANDS * ROWS, 2**64 - 1, "u8")
+    for k in range(0, len(h), 2048):
+        least = np.minimum(least, (FACTORS * h[k : k + 2048]).min(axis=1))
+    raw = least.tobytes()
+    return np.array([xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)], "u8").view("i8")
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """key, n (shingles), bands of every row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with task_memory():
+            for batch in batches:
+                known: dict[bytes, tuple[int, np.ndarray]] = {}
+                for key, text in zip(batch["key"], batch["text"]):
+                    if key not in known:
+                        found = shingles(text)
+                        known[key] = len(found), bands(found)
+                yield pd.DataFrame({"key": list(known), "n": [n for n, _ in known.values()], "bands": [b for _, b in known.values()]})
+
+    return docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "key binary, n long, bands array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs u, v whose texts are alike. texts: key, text, one row a key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen = None, set()
+        with task_memory():
+            for batch in batches:
+                good = []
+                for v, a, b in zip(batch["v"], batch["a"], batch["b"]):
+                    if v != last:  # rows often come in the order of v
+                        last, seen = v, shingles(b)
+                    good.append(alike(shingles(a), seen))
+                yield batch.loc[good, ["u", "v"]]
+
+    both = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
+
+
+def links(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """u, v: links that join all near copies found into the same components. Nodes are text_key()."""
+    prints = cut(signatures(docs, text_col).dropDuplicates(["key"]))
+    members = prints.select("key", "n", F.posexplode("bands").alias("band", "h"))
+    full = members.groupBy("band", "h").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("least")).where("size > 1")
+    members = cut(members.join(full, ["band", "h"]))
+    keyed = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    texts = cut(keyed.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    fits = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+    stars = members.where((F.col("key") != F.col("least.key")) & fits(F.col("n"), F.col("least.n"))).select(F.col("key").alias("u"), F.col("least.key").alias("v")).distinct()
+    first = cut(verified(stars, texts))
+    roots = components(first).select(F.col("node").alias("key"), "root")
+
+    rooted = members.join(roots, "key", "left").select("band", "h", "key", "n", "size", F.coalesce("root", "key").alias("root"))
+    split = rooted.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "h")
+    count = F.ceil(F.col("size") / CELL).cast("int")
+    rooted = rooted.join(split, ["band", "h"], "left_semi").withColumn("block", F.pmod(F.xxhash64("key"), count).cast("int"))
+    cells = rooted.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("other")).select("band", "h", "key", "n", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    a, b = (cells.select("band", "h", "x", "y", *[F.col(c).alias(c + side) for c in ("key", "n", "root")]) for side in "ab")
+    met = a.join(b, ["band", "h", "x", "y"]).where((F.col("keya") > F.col("keyb")) & (F.col("roota") != F.col("rootb")) & fits(F.col("na"), F.col("nb")))
+    rest = met.select(F.col("keya").alias("u"), F.col("keyb").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    return first.unionByName(verified(rest, texts))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that have a near copy of a smaller id; all columns stay."""
+    roots = components(links(docs, text_col)).select(F.col("node").alias("key"), "root")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key")).groupBy("id", "key").agg(F.count("*").alias("rows"))
+    rows = rows.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "key", "rows")).alias("kept"))
+    keep = cut(rows.select(F.col("kept.id").alias("__id"), F.col("kept.key").alias("__key"), "kept.rows"))
+    out = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key")), "left_semi")
+    return out if keep.where("rows > 1").isEmpty() else out.withColumn("__key", text_key(F.col(text_col))).dropDuplicates([id_col, "__key"]).drop("__key")

@@ -1,0 +1,62 @@
+import random
+
+import corpus_pipeline
+from loomgraph.llm import near_text
+
+
+def brute(rows):
+    """The rows kept: the least id of each component of texts with a 5-word Jaccard of at least 0.8."""
+    sets = [near_text.shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) / union >= 0.8:
+                root[find(i)] = find(j)
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best[find(k)] = min(i, best.get(find(k), i))
+    return sorted(best.values())
+
+
+def family(rng):
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        for edits in (0, 1, 2, 3, 6, 10):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    return list(enumerate(rows + ["", " \n", "a b", "A  b", "a b c"]))
+
+
+def test_stage_drops_near_copies_of_five_words(spark):
+    rows = family(random.Random(4))
+    want = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == want and len(want) < len(rows) - 50
+
+
+def test_cells_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "CELL", 2)
+    rows = family(random.Random(6))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_text.one_of_each(docs).collect()) == brute(rows)
+
+
+def test_odd_rows(spark):
+    texts = ["q r s t u v", "other words that are no copy", "q r s t u v", None, ""]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(7, "seven one two"), (7, "something else"), (7, "something else"), (8, "Seven  one two")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in near_text.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(None, texts[0].split()), (None, texts[1].split()), (None, []), (7, ["seven", "one", "two"]), (7, ["something", "else"])], key=str)
+    assert near_text.one_of_each(docs.limit(0)).count() == 0
