@@ -3,9 +3,10 @@
 Groups (equal texts) are packed whole, largest first, each into the shard with the least remaining capacity that holds it; a
 balanced tree keeps the remaining capacities in order. The packing runs on the driver over a bounded list, whatever the input:
 the groups above 1/LARGE of a shard's mean (at most LARGE x shards of them) one by one, and all smaller groups in BLOCKS
-hash blocks, each an item of its own. With a number of shards in place of a capacity, the smallest capacity that needs no more
-shards is searched for. Slots are numbered in salted sub-groups of a shard with offsets from their counts, so no task holds a
-shard and a group of copies is no hot key.
+hash blocks, each an item of its own. With a number of shards in place of a capacity, each group above the mean of what
+remains has a shard of its own, and the smallest capacity that needs no more than the other shards is searched for. Slots are
+numbered in salted sub-groups of a shard with offsets from their counts, so no task holds a shard and a group of copies is no
+hot key.
 
 Results for odd inputs: a null text counts as an empty one (equal to it, size 8); repeated rows are rows of their own; a group
 larger than the capacity gets a shard of its own; an empty table gives no rows. Only the id and text columns are read.
@@ -86,20 +87,42 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def even_shards(sizes: list[int], shards: int) -> list[int]:
-    """Best-fit-decreasing at the least capacity found to need at most `shards` bins."""
-    total = sum(sizes)
-    low, high = max([-(-total // shards), *sizes]), 2 * max([-(-total // shards), *sizes], default=1) + 1
-    best = None
-    while best is None or low < high and high - low > max(1, total // shards // 100_000):
+    """Each item above the mean of what remains has a shard of its own; the others go by best-fit-decreasing at the least capacity found to need at most the other shards."""
+    order, left, alone = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)), sum(sizes), 0
+    while alone < min(shards - 1, len(order)) and sizes[order[alone]] * (shards - alone) > left:
+        left -= sizes[order[alone]]
+        alone += 1
+    rest, shards = sorted(order[alone:]), shards - alone
+    few = [sizes[k] for k in rest]
+    low = -(-left // shards)
+    high, best = 2 * low + 1, None
+    while best is None or low < high and high - low > left // shards // 100_000:
         middle = high if best is None else (low + high) // 2
-        found = best_fit_decreasing(sizes, middle)
+        found = best_fit_decreasing(few, middle)
         if max(found, default=0) < shards:
             best, high = found, middle
         elif best is None:
             high *= 2
         else:
             low = middle + 1
-    return best
+    bins = [[] for _ in range(shards)]
+    for k, b in zip(rest, best):
+        bins[b].append(k)
+    for b in range(max(best, default=0) + 1, shards):  # few large items may need fewer bins: the fullest are halved
+        full = max((x for x in bins if len(x) > 1), key=lambda x: sum(sizes[k] for k in x), default=None)
+        if full is None:
+            break
+        halves, loads = (full, bins[b]), [0, 0]
+        items, full[:] = sorted(full, key=lambda k: (-sizes[k], k)), []
+        for k in items:
+            h = loads[0] > loads[1]
+            halves[h].append(k)
+            loads[h] += sizes[k]
+    out = [0] * len(sizes)
+    for b, x in enumerate([*([k] for k in order[:alone]), *bins]):
+        for k in x:
+            out[k] = b
+    return out
 
 
 def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:

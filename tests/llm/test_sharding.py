@@ -51,3 +51,24 @@ def test_odd_rows(spark):
     assert len(got) == 6 and all(len(s) == 1 for s in by.values())
     assert [r["size"] for r in got if r["doc_id"] == 1] == [8]
     assert sharding.shard(docs.limit(0), shards=24).count() == 0
+
+
+def test_a_group_of_a_third_of_all_rows(spark):
+    rng = random.Random(7)
+    texts = ["copy " * 20] * 1000 + ["%09d" % k * rng.randint(1, 20) for k in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    load = {}
+    for r in sharding.shard(docs, shards=24).collect():
+        load.setdefault(r["shard"], []).append(r["size"])
+    assert sorted(load) == list(range(24))
+    rest = sorted(sum(x) for x in load.values())[:-1]
+    assert max(sum(x) for x in load.values()) == 1000 * 108
+    assert max(rest) - min(rest) < 0.02 * sum(rest) / 23
+
+
+def test_even_shards_with_large_items():
+    for sizes in ([], [5], [100, 1, 1, 1], [1000, 500, *[3] * 600], [10**9, *[7] * 5000], [9, 9, 9, 9, 9]):
+        got = sharding.even_shards(sizes, 4)
+        load = [sum(s for s, b in zip(sizes, got) if b == k) for k in range(4)]
+        assert len(got) == len(sizes) and sum(load) == sum(sizes)
+        assert sum(1 for x in load if x) == min(4, len(sizes))
