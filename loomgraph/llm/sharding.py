@@ -1,9 +1,11 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Groups (equal texts) are packed whole, largest first, each into the shard with the least remaining capacity that holds it; a
-balanced tree keeps the remaining capacities in order. The packing runs on the driver over a bounded list, whatever the input:
-the groups above 1/LARGE of a shard's mean (at most LARGE x shards of them) one by one, and all smaller groups in BLOCKS
-hash blocks, each an item of its own. With a number of shards in place of a capacity, each group above the mean of what
+balanced tree keeps the remaining capacities in order. The packing runs over bounded lists, whatever the input: the groups above
+1/LARGE of a shard's mean (at most LARGE x shards of them) one by one, and all smaller groups in hash blocks, each an item of its
+own. At a fixed capacity the number of blocks follows from the bytes, BLOCKS_PER_SHARD or more for each shard's worth; beyond
+SHARDS_PER_HEAP shards' worth the groups are dealt by hash into heaps of that many, each packed by a task (so each heap may leave
+one shard part full), and below that on the driver. With a number of shards in place of a capacity, each group above the mean of what
 remains has a shard of its own, and the smallest capacity that needs no more than the other shards is searched for. Slots are
 numbered in salted sub-groups of a shard with offsets from their counts, so no task holds a shard and a group of copies is no
 hot key.
@@ -16,13 +18,16 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, emptied, filled, tasks_for
+from .common import NO_ID, cut, emptied, filled, tasks_for
 
 LARGE = 200
 BLOCKS = 16_384
+BLOCKS_PER_SHARD = 256
+SHARDS_PER_HEAP = 256
 ROWS_PER_SLOT_TASK = 4_000
 
 
@@ -125,26 +130,47 @@ def even_shards(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
+def packed_heaps(items: DataFrame, capacity: int) -> DataFrame:
+    """items with the bin of each within its heap; a task holds one heap."""
+
+    def run(heap: pd.DataFrame) -> pd.DataFrame:
+        heap = heap.sort_values(["text_key", "block"], na_position="first")
+        return heap.assign(bin=best_fit_decreasing(heap["size"].tolist(), capacity))
+
+    return items.groupBy("heap").applyInPandas(run, "heap int, text_key string, block int, size long, bin int")
+
+
 def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row. Give the number of shards, or a capacity in bytes to use as few as can be."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(filled(F.col(id_col)).alias("doc_id"), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("text_key"))
-    block = F.pmod(F.xxhash64("text_key"), F.lit(BLOCKS)).cast("int")
     groups = rows.groupBy("text_key").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     total = rows.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
     if not total["n"]:
         return rows.select(emptied(F.col("doc_id")).alias("doc_id"), "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    heaps = tasks_for(total["s"], SHARDS_PER_HEAP * capacity) if capacity else 1
+    blocks = max(BLOCKS, BLOCKS_PER_SHARD * tasks_for(total["s"], heaps * capacity)) if capacity else BLOCKS
+    heap, block = F.pmod(F.xxhash64(F.lit(1), "text_key"), F.lit(heaps)).cast("int"), F.pmod(F.xxhash64("text_key"), F.lit(blocks)).cast("int")
     large_at = max(1, (capacity or total["s"] // shards) // LARGE)
     large_key = F.when(F.col("size") >= large_at, F.col("text_key"))
-    items = groups.groupBy(large_key.alias("text_key"), F.when(F.col("size") < large_at, block).alias("block")).agg(F.sum("size").alias("size")).collect()  # at most BLOCKS + total/large_at rows
-    items.sort(key=lambda r: (r["text_key"] or "", -1 if r["block"] is None else r["block"]))
-    sizes = [r["size"] for r in items]
-    bins = best_fit_decreasing(sizes, capacity) if capacity else even_shards(sizes, shards)
-    whole = spark.createDataFrame([(r["text_key"], b) for r, b in zip(items, bins) if r["text_key"]], "text_key string, whole_shard int")
-    mixed = spark.createDataFrame([(r["block"], b) for r, b in zip(items, bins) if r["text_key"] is None], "block int, block_shard int")
-    # both sides are bounded by BLOCKS and by LARGE x shards rows of under 100 bytes
-    placed = rows.withColumn("block", block).join(F.broadcast(whole), "text_key", "left").join(F.broadcast(mixed), "block", "left")
+    items = groups.groupBy(heap.alias("heap"), large_key.alias("text_key"), F.when(F.col("size") < large_at, block).alias("block")).agg(F.sum("size").alias("size"))
+    if heaps == 1:
+        items = items.collect()  # at most blocks + total/large_at rows
+        items.sort(key=lambda r: (r["text_key"] or "", -1 if r["block"] is None else r["block"]))
+        sizes = [r["size"] for r in items]
+        bins = best_fit_decreasing(sizes, capacity) if capacity else even_shards(sizes, shards)
+        whole = F.broadcast(spark.createDataFrame([(r["text_key"], b) for r, b in zip(items, bins) if r["text_key"]], "text_key string, whole_shard int"))
+        mixed = F.broadcast(spark.createDataFrame([(0, r["block"], b) for r, b in zip(items, bins) if r["text_key"] is None], "heap int, block int, block_shard int"))
+        # both sides are bounded by the blocks and by the large groups of a heap, rows of under 100 bytes
+    else:
+        packed = cut(packed_heaps(items, capacity))
+        used = packed.groupBy("heap").agg((F.max("bin") + 1).alias("used"))
+        first = used.select("heap", F.expr("coalesce(sum(used) over (order by heap rows between unbounded preceding and 1 preceding), 0)").alias("first"))
+        packed = packed.join(first, "heap").withColumn("shard", (F.col("first") + F.col("bin")).cast("int"))
+        whole = packed.where("text_key is not null").select("text_key", F.col("shard").alias("whole_shard"))
+        mixed = packed.where("text_key is null").select("heap", "block", F.col("shard").alias("block_shard"))
+    placed = rows.withColumns({"heap": heap, "block": block}).join(whole, "text_key", "left").join(mixed, ["heap", "block"], "left")
     parts = tasks_for(total["n"], ROWS_PER_SLOT_TASK)
     salt = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int")
     placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("whole_shard", "block_shard").alias("shard"), salt.alias("part"))

@@ -72,3 +72,22 @@ def test_even_shards_with_large_items():
         load = [sum(s for s, b in zip(sizes, got) if b == k) for k in range(4)]
         assert len(got) == len(sizes) and sum(load) == sum(sizes)
         assert sum(1 for x in load if x) == min(4, len(sizes))
+
+
+def test_capacity_holds_beyond_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCKS", 4)
+    monkeypatch.setattr(sharding, "SHARDS_PER_HEAP", 8, raising=False)
+    rng = random.Random(9)
+    texts = ["%08d" % (k % 19_000) for k in range(20_000)] + ["%04d" % k * rng.randint(5, 200) for k in range(100)] + ["giant " * 10] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    load, where, slots = {}, {}, {}
+    for r in sharding.shard(docs, capacity=4000).collect():
+        t = texts[r["doc_id"]]
+        assert where.setdefault(t, r["shard"]) == r["shard"]
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    total = sum(len(t) + 8 for t in texts)
+    assert sum(load.values()) == total and sorted(load) == list(range(len(load)))
+    assert [s for s, x in load.items() if x > 4000] == [where["giant " * 10]] and load[where["giant " * 10]] == 6800
+    assert len(load) <= 1.2 * total / 4000
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
