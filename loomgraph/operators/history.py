@@ -60,17 +60,21 @@ def symbol_churn(lines: DataFrame, spans: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.countDistinct("sha").alias("commits"), F.sum("a").alias("added"), F.sum("r").alias("removed"))
 
 
-def co_change(changes: DataFrame, item: str, least: int = 2, most_in_commit: int = 1000) -> DataFrame:
+def co_change(changes: DataFrame, item: str, least: int = 2, most_in_commit: int | None = None, cell: int = 1000) -> DataFrame:
     """Pairs changed in the same commit at least `least` times.
 
-    Pairs grow with the square of a commit's items; a commit of more than most_in_commit items is a bulk edit and says nothing of
-    coupling, so it is left out (a documented parameter, as in version-control tools).
+    All commits count unless most_in_commit is given. Pairs grow with the square of a commit's items, so a commit of more than
+    `cell` items is dealt into hash blocks of about that many, and each two blocks meet under a key of their own.
     """
     own = changes.select("sha", item).distinct()
-    sizes = own.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_in_commit)).select("sha")
-    own = own.join(sizes, "sha", "left_semi")
-    a, b = own.select("sha", F.col(item).alias("a")), own.select("sha", F.col(item).alias("b"))
-    return a.join(b, "sha").where("a < b").groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    sizes = own.groupBy("sha").agg(F.count("*").alias("n")).where("n >= 2")
+    sizes = sizes.where(F.col("n") <= most_in_commit) if most_in_commit else sizes
+    blocks = F.ceil(F.col("n") / cell).cast("int")
+    own = own.join(sizes, "sha").select("sha", F.col(item).alias("item"), F.pmod(F.xxhash64(item), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    own = own.select("sha", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "item", "block")
+    a, b = (own.select("sha", "x", "y", F.col("item").alias(side), F.col("block").alias("block_" + side)) for side in "ab")
+    met = a.join(b, ["sha", "x", "y"]).where("a < b AND (x = y OR block_a <> block_b)")
+    return met.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 
 def impact(lines: DataFrame, spans: DataFrame, limit: int = 50) -> DataFrame:
