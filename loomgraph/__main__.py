@@ -15,7 +15,7 @@ def main(args: list[str]) -> int:
     if args[0] == "index":
         Engine.index(spark, args[1]).save(args[2])
         return 0
-    e = Engine(spark.read.parquet(f"{args[1]}/nodes"), spark.read.parquet(f"{args[1]}/edges"))
+    e = Engine.load(spark, args[1])
     tools = {"callers": lambda: e.callers(args[2]), "callees": lambda: e.callees(args[2]), "search": lambda: e.search(args[2:]), "flow": lambda: e.flow(args[2]), "quick": lambda: e.quick(args[2]), "impls": lambda: e.impls(args[2]), "structure": lambda: e.structure(args[2])}
     print(render(tools[args[0]](), " ".join(args)))
     return 0

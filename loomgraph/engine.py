@@ -15,6 +15,7 @@ from loomgraph.functions import extract
 from loomgraph.functions import names as N
 from loomgraph.operators import crosslang, graph, history, resolve, search
 from loomgraph.sources import readers
+from loomgraph.storage import cut, numbered
 
 REF = re.compile(r"^[A-Za-z0-9_][A-Za-z0-9_./~^@{}-]*(\.\.\.?[A-Za-z0-9_./~^@{}-]+)?$")
 
@@ -51,8 +52,7 @@ class Engine:
     def index(cls, spark: SparkSession, root: str, **more) -> Engine:
         """Scan, extract, keep the first node of each id, resolve references, count what ends at each node."""
         files = readers.source_tree(spark, root)
-        # the number of a file in the order of folders and names: one short row a file, without contents
-        place = files.select("path", "order_key").withColumn("place", F.row_number().over(W.orderBy("order_key")).cast("long"))
+        place = numbered(files.select("path", "order_key"), "place", "order_key").drop("order_key")  # without contents
         rows = extract.extract(files).join(place, "path").withColumn("ord", F.col("place") * 10_000_000 + F.col("ord"))
         named = ["type", "name", "lineno", "end_lineno", "path", *extract.DETAILS]
         nodes = rows.where("kind = 'node'").groupBy("id").agg(F.min_by(F.struct(*named), "ord").alias("n"), F.min("ord").alias("ord")).select("ord", "id", "n.*")
@@ -65,7 +65,9 @@ class Engine:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **more) -> Engine:
-        return cls(*schema.read_graph(spark, path), **more)
+        """A graph that `save` wrote, or a graph document (.json, or a folder of export_graph)."""
+        read = schema.saved_graph if schema.is_saved(spark, path) else schema.read_graph
+        return cls(*read(spark, path), **more)
 
     def save(self, path: str) -> None:
         schema.write_graph(self.documents(), self.edges, path)

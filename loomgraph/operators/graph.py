@@ -182,11 +182,20 @@ def prioritised(nodes: DataFrame) -> DataFrame:
 
 
 def greedy_budget(items: DataFrame, key: str, budget: int) -> DataFrame:
-    """In order, take what still fits and skip (not stop at) what doesn't. items: key, ord, id, token_count; a key's list is bounded by its callees."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "id", F.col("token_count").cast("int").alias("t"))))
+    """In order, take what still fits and skip (not stop at) what doesn't. items: key, ord, id, token_count.
+
+    What is left only shrinks, so of the items of one size a prefix is taken, of at most budget / size of them: no more is gathered
+    than budget * ln(budget) items a key, whatever the key has.
+    """
+    size = F.col("token_count").cast("int")
+    rank = F.row_number().over(W.partitionBy(key, "t").orderBy("ord", "id"))
+    able = items.withColumn("t", size).where((F.col("t") > 0) & (F.col("t") <= budget)).withColumn("k", rank).where((F.col("k") <= budget) & (F.col("k") * F.col("t") <= budget))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "id", "t")))
     start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<string>").alias("ids"))
-    fold = F.aggregate("all", start, lambda s, x: F.when((x["t"] > 0) & (x["t"] <= s["left"]), F.struct((s["left"] - x["t"]).alias("left"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s))
-    return items.groupBy(key).agg(ordered.alias("all")).withColumn("s", fold).select(key, F.col("s.left").alias("budget_left"), F.array_join("s.ids", ",").alias("taken"))
+    fold = F.aggregate("all", start, lambda s, x: F.when(x["t"] <= s["left"], F.struct((s["left"] - x["t"]).alias("left"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s))
+    taken = able.groupBy(key).agg(ordered.alias("all")).withColumn("s", fold).select(F.col(key).alias("__key"), "s")
+    keys = items.select(key).distinct().join(taken, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return keys.select(key, F.coalesce("s.left", F.lit(budget)).alias("budget_left"), F.coalesce(F.array_join("s.ids", ","), F.lit("")).alias("taken"))
 
 
 def examples(nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:

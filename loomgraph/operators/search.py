@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names as N
+from loomgraph.storage import cut, numbered
 
 # Boosts by type for keyword and for vector search.
 BOOST = {"Function": 0.5, "Method": 0.5, "Class": 0.4, "Constant": 0.1, "File": 0.0}
@@ -120,5 +120,5 @@ def fuse(a: DataFrame, b: DataFrame, k: int = 60) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
-    """Rank from 0 of a list already cut to a limit."""
-    return df.withColumn("rank", F.row_number().over(W.orderBy(*order)) - 1)
+    """Rank from 0 in an order."""
+    return numbered(df, "rank", *order)

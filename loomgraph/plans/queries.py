@@ -152,12 +152,12 @@ def flow_backward(t):
     return _shown(graph.reachable(back, _start(t, "customer_3"), ["CALLS", "CALLS_RESOLVED"], fan_out=10))
 
 
-@query("""WITH c AS (SELECT source, id, token_count AS t, row_number() OVER (PARTITION BY source ORDER BY o, id) AS k FROM (SELECT source, target AS id, min(ord) AS o FROM edges WHERE relation = 'CALLS_RESOLVED' AND source LIKE '%::customer\\_%' ESCAPE '\\' GROUP BY 1, 2) JOIN (SELECT id, token_count FROM nodes) USING (id)),
+@query("""WITH c AS (SELECT source, id, token_count AS t, row_number() OVER (PARTITION BY source ORDER BY o, id) AS k FROM (SELECT source, target AS id, min(ord) AS o FROM edges WHERE relation = 'CALLS_RESOLVED' GROUP BY 1, 2) JOIN (SELECT id, token_count FROM nodes) USING (id)),
 f AS (SELECT source, 0::BIGINT AS k, 100 AS budget_left, '' AS taken FROM (SELECT DISTINCT source FROM c)
  UNION ALL SELECT f.source, c.k, CASE WHEN c.t > 0 AND c.t <= f.budget_left THEN f.budget_left - c.t ELSE f.budget_left END, CASE WHEN c.t > 0 AND c.t <= f.budget_left THEN CASE WHEN f.taken = '' THEN c.id ELSE f.taken || ',' || c.id END ELSE f.taken END FROM f JOIN c ON c.source = f.source AND c.k = f.k + 1)
 SELECT source, arg_max(budget_left, k) AS budget_left, arg_max(taken, k) AS taken FROM f GROUP BY source""")
 def flow_budget(t):
-    calls = t["edges"].where("relation = 'CALLS_RESOLVED' AND source LIKE '%::customer\\\\_%'").groupBy("source", F.col("target").alias("id")).agg(F.min("ord").alias("ord"))
+    calls = t["edges"].where("relation = 'CALLS_RESOLVED'").groupBy("source", F.col("target").alias("id")).agg(F.min("ord").alias("ord"))
     return graph.greedy_budget(calls.join(t["nodes"].select("id", "token_count"), "id"), "source", 100)
 
 
@@ -251,11 +251,13 @@ def composite_vec(t):
     return t["vecs"].select("id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("""WITH a AS (SELECT id, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM vecs WHERE vec_id < 40), b AS (SELECT id, row_number() OVER (ORDER BY in_degree DESC, id) - 1 AS rank FROM vecs WHERE vec_id BETWEEN 20 AND 59)
+@query("""WITH q AS (SELECT vector AS v FROM vecs WHERE vec_id = 0), a AS (SELECT id, row_number() OVER (ORDER BY list_cosine_similarity(vector::DOUBLE[], v::DOUBLE[]) DESC, id) - 1 AS rank FROM vecs, q),
+b AS (SELECT id, row_number() OVER (ORDER BY in_degree DESC, id) - 1 AS rank FROM vecs)
 SELECT id, round(coalesce(1 / (60 + a.rank + 1), 0) + coalesce(1 / (60 + b.rank + 1), 0), 6) AS score FROM a FULL JOIN b USING (id)""")
 def rrf(t):
-    a = search.ranked(t["vecs"].where("vec_id < 40"), "vec_id")
-    b = search.ranked(t["vecs"].where("vec_id BETWEEN 20 AND 59"), F.desc("in_degree"), "id")
+    q = F.array(*[F.lit(float(x)) for x in t["vecs"].where("vec_id = 0").first()["vector"]])
+    a = search.ranked(t["vecs"].select("id", N.cosine(F.col("vector"), q).alias("cosine")), F.desc("cosine"), "id")
+    b = search.ranked(t["vecs"].select("id", "in_degree"), F.desc("in_degree"), "id")
     return search.fuse(a, b).withColumn("score", F.round("score", 6))
 
 
@@ -299,7 +301,7 @@ def change_impact(t):
     return history.impact(t["lines"], t["spans"])
 
 
-@query("""WITH own AS (SELECT DISTINCT user_id % 500 AS sha, event_type || '/' || CAST(event_id % 50 AS STRING) AS item FROM events), ok AS (SELECT sha FROM own GROUP BY sha HAVING count(*) BETWEEN 2 AND 1000)
+@query("""WITH own AS (SELECT DISTINCT user_id % 500 AS sha, event_type || '/' || CAST(event_id % 50 AS STRING) AS item FROM events), ok AS (SELECT sha FROM own GROUP BY sha HAVING count(*) >= 2)
 SELECT x.item AS a, y.item AS b, count(*) AS together FROM own x JOIN own y ON x.sha = y.sha AND x.item < y.item WHERE x.sha IN (SELECT sha FROM ok) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def cochange(t):
     return history.co_change(t["events"].select((F.col("user_id") % 500).alias("sha"), F.concat_ws("/", "event_type", (F.col("event_id") % 50).cast("string")).alias("item")), "item")
@@ -435,7 +437,7 @@ SOURCES = {
     "extract_typescript": ("ts", "export class K extends Base {\n  run(x: number): void {\n    call(x);\n  }\n}\nexport function top() {\n}\n", [("Class", "K", 1), ("Method", "run", 2), ("Function", "top", 6)]),
     "extract_java": ("java", "public class M extends N {\n  public void go(int a) {\n    other.call();\n  }\n}\n", [("Class", "M", 1), ("Method", "go", 2)]),
     "extract_go": ("go", "package p\ntype T struct {\n}\nfunc Go(x int) {\n\tDo(x)\n}\n", [("Class", "T", 2), ("Function", "Go", 4)]),
-    "extract_proto": ("proto", "message Ask {\n}\nservice S {\n  rpc Get (Ask) returns (Reply);\n}\n", [("Class", "Ask", 1), ("Class", "S", 3), ("Method", "Get", 4)]),
+    "extract_proto": ("proto", "message Ask {\n}\nservice S {\n  rpc Get (Ask) returns (Reply);\n}\n", [("Class", "Ask", 1), ("Class", "S", 3), ("Function", "Get", 4)]),
 }
 
 

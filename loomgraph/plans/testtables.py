@@ -35,8 +35,14 @@ TABLES = {
 }
 
 
+_made: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The test tables and the engine's tables, as lazy DataFrames."""
+    """The test tables and the engine's tables, as lazy DataFrames; analysed once for each application and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key in _made:
+        return _made[key]
     found = {}
     for name in BASE:
         found[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +50,7 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     for name, sql in TABLES.items():
         found[name] = spark.sql(sql.replace('"end"', "`end`"))
         found[name].createOrReplaceTempView(name)
+    _made[key] = found
     return found
 
 

@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import schema
+from loomgraph.engine import Engine
 from loomgraph.functions import extract
 from loomgraph.sources import readers
 
@@ -120,7 +122,13 @@ def test_graph_gate(spark, tmp_path):
     nodes, edges = schema.read_graph(spark, str(tmp_path / "g.json"))
     assert nodes.collect()[0]["name"] == "a.py" and edges.collect()[0]["target"] == "REF:x"
     schema.write_graph(nodes, edges, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/nodes")).count() == 1
+    broken = nodes.withColumn("name", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        schema.write_graph(broken, edges, str(tmp_path / "out"))
+    kept = Engine.load(spark, str(tmp_path / "out"))
+    assert [r["id"] for r in kept.nodes.collect()] == ["FILE:a.py"] and kept.edges.count() == 1
+    schema.export_graph(nodes, edges, str(tmp_path / "doc"))
+    assert [r["name"] for r in Engine.load(spark, str(tmp_path / "doc")).nodes.collect()] == ["a.py"]
     (tmp_path / "h.json").write_text(json.dumps(graph | {"schema_version": 2}))
     with pytest.raises(ValueError, match="version"):
         schema.read_graph(spark, str(tmp_path / "h.json"))
