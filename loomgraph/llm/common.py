@@ -4,26 +4,36 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.storage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (local tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
-    return sc.getCheckpointDir()
+__all__ = ["NO_ID", "cut", "emptied", "filled", "let", "removed", "settled", "shared_dir", "task_memory", "tasks_for"]
+#: Plan nodes that give each task the same rows in the same order whenever it runs.
+SETTLED = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation", "Union"}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to shared storage and go on from there: later steps neither recompute it nor depend on an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settled(df: DataFrame) -> DataFrame:
+    """df, written first unless it is a plain reading of stored rows: after a shuffle a repeated task may get its rows in another order."""
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() not in SETTLED:
+            return cut(df)
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return df
+
+
+def removed(folder: str) -> None:
+    """Delete a folder of shared storage whose rows no later step reads."""
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

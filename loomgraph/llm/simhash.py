@@ -1,24 +1,37 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-A fingerprint has a bit set where over half of the text's shingle hashes have it. To find all pairs within `radius` bits, each
-bit position i gets a nonzero vector m(i) of radius + 1 bits; the table of each nonzero vector v keeps the positions where
-<m(i), v> is odd. Any `radius` positions leave some v orthogonal to all their vectors, and in that table the differing bits
-are masked out: every pair within the radius collides somewhere, for certain.
-
-Equal fingerprints are one node, so copies never meet each other. For radius 2 a collision is decided without pairing up a
-bucket: each fingerprint that collides in some table is joined to its values with at most one bit flipped, and two are
-within 2 bits exactly if they share such a value. Those groups hold at most 65 fingerprints, whatever the bucket's size, so
-neither a bucket nor its pairs are ever gathered. Components come from rounds of hooking to the least neighbour and pointer jumping, each
-written to shared storage.
-
-Results for odd inputs: a text without words (null, empty) has fingerprint zero and is linked like any other; fewer words than
-a shingle: the whole sequence is the only shingle; repeated rows keep a row each; null ids are kept and never name a component
-unless all of it has none; an empty table gives no rows. Only the id and text columns are read.
+A fingerprint has a bit set where over half of the hashes of a text's features (by weight) have it. To find all pairs within
+`radius` bits, each bit position i gets a nonzero vector m(i) of radius + 1 bits; the table of each nonzero vector v keeps the
+positions where <m(i), v> is odd. Any `radius` positions leave some v orthogonal to all their vectors, and in that table the
+differing bits are masked out: every pair within the radius collides somewhere, for certain. Equal fingerprints are one node, so
+copies never meet each other.
+
+near_duplicates() links fingerprints of word shingles within 2 bits. Two fingerprints of a bucket can differ only where its table
+masks bits out, and are within 2 bits exactly if they share a value with at most one of these bits flipped. So a bucket is
+decided by groups of such values, of at most 31 fingerprints whatever the bucket's size; the pairs of a bucket are never formed.
+
+one_of_each() is for texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8: they differ in few words, so
+it takes PRINTS fingerprints of their words (weights: roots of the counts), the tables of RADIUS bits over each, and decides
+each collision by the distance, the sizes and then the exact Jaccard of the two texts. Nothing below the bar is linked; a pair above it
+is missed if all its fingerprints are further apart than RADIUS (README: measured recall). A bucket is first compared with its least text
+only; texts that this puts into one component aren't compared again, and the others of a bucket meet in cells of CELL texts, so no
+task holds a bucket.
+
+Components come from rounds of hooking to the least neighbour and pointer jumping, each written to shared storage.
+
+Results for odd inputs: a text without words (null, empty) has fingerprint zero and is linked like any other (one_of_each: is a copy
+of the other texts without words); fewer words than a shingle: the whole sequence is the only shingle; repeated rows keep a row each;
+null ids are kept and never name a component unless all of it has none; an empty table gives no rows; columns of any name may be there.
+one_of_each tells rows apart by id and text: of a component the row of the least id stays (null ids last), and only one of the rows
+that are equal in both; rows that share an id, or have none, stay if their texts aren't near copies.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -29,6 +42,11 @@ from .common import cut, emptied, filled, task_memory
 
 WORDS = 3
 SEED = 42
+M64 = (1 << 64) - 1
+JACCARD_WORDS = 5
+PRINTS, RADIUS = 6, 4
+CELL = 1_000
+CACHED_WORDS = 200_000
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -77,14 +95,25 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     return docs.select(filled(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
+def tables(prints: list[Column], radius: int) -> Column:
+    """(table, key, free) of every table over each fingerprint; free: the bits that the table masks out."""
+    made = [(f * len(ms) + k, fp, m) for ms in [masks(radius)] for f, fp in enumerate(prints) for k, m in enumerate(ms)]
+    return F.array(*[F.struct(F.lit(t).alias("table"), fp.bitwiseAND(F.lit(signed(m))).alias("key"), F.lit(signed(~m & M64)).alias("free")) for t, fp, m in made])
+
+
+def collisions(rows: DataFrame, prints: list[Column], radius: int) -> DataFrame:
+    """rows (one for each distinct text or fingerprint) with table, key, free and size of each bucket of two or more that they are in."""
+    keys = rows.select("*", F.explode(tables(prints, radius)).alias("t")).select(*rows.columns, "t.*")
+    full = keys.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
+    return keys.join(full, ["table", "key"])
+
+
 def links_within_two(fps: DataFrame) -> DataFrame:
     """u > v: links that join all fingerprints within 2 bits of each other into the same components. fps: distinct fp."""
-    keep = F.array(*[F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks(2))])
-    keys = fps.select("fp", F.explode(keep).alias("k")).select("fp", "k.*")
-    full = keys.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    colliding = keys.join(full, ["table", "key"], "left_semi").select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
-    groups = colliding.select("fp", F.explode(near).alias("value")).groupBy("value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    met = collisions(fps.select("fp"), [F.col("fp")], 2)
+    flips = F.array(F.lit(0).cast("long"), *[F.col("free").bitwiseAND(F.lit(signed(1 << i))) for i in range(64)])
+    near = met.select("table", "fp", F.explode(F.transform(F.array_distinct(flips), lambda x: F.col("fp").bitwiseXOR(x))).alias("value"))
+    groups = near.groupBy("table", "value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     linked = groups.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v"))
     return linked.where("u != v").distinct()
 
@@ -124,9 +153,117 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     return prints.join(names, "fp").select(emptied(F.col("doc_id")).alias("doc_id"), hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that have a near-duplicate of a smaller id; all columns stay. Of rows with the same id one stays."""
-    found = near_duplicates(docs, words, id_col, text_col).select("doc_id", "component_id")
-    keep = cut(found.where("component_id <=> doc_id").groupBy("doc_id").count())
-    out = docs.join(keep.select(F.col("doc_id").alias("__keep")), F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return out.dropDuplicates([id_col]) if not keep.where("count > 1").isEmpty() else out
+def shingles(text: str | None, words: int = JACCARD_WORDS) -> set[bytes]:
+    """The ASCII rules of fingerprint()."""
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def alike(a: set[bytes], b: set[bytes]) -> bool:
+    both = len(a & b)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def word_fingerprints(text: str | None, known: dict[bytes, np.ndarray]) -> np.ndarray:
+    """PRINTS fingerprints of a text's distinct words, weighted by the roots of their counts (signed). known: bits of words, bounded."""
+    from xxhash import xxh64_digest
+
+    counts = Counter((text or "").encode("utf-8", "replace").lower().split())
+    if not counts:
+        return np.zeros(PRINTS, "i8")
+    total, whole = np.zeros(64 * PRINTS, "int64"), 0
+    words = list(counts)
+    for a in range(0, len(words), 1 << 13):
+        part = words[a : a + (1 << 13)]
+        rows = []
+        for w in part:
+            found = known.get(w)
+            if found is None:
+                found = np.frombuffer(b"".join(xxh64_digest(w, k) for k in range(PRINTS)), "u1")
+                if len(known) < CACHED_WORDS and len(w) < 64:
+                    known[w] = found
+            rows.append(found)
+        weights = np.array([isqrt(256 * counts[w]) for w in part], "int64")
+        total += weights @ np.unpackbits(np.stack(rows), axis=1)
+        whole += int(weights.sum())
+    return np.packbits(2 * total > whole).view(">i8").astype("i8")
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """key, n (shingles) and the fingerprints f0, f1, ... of every row."""
+    columns = [f"f{k}" for k in range(PRINTS)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: dict[bytes, np.ndarray] = {}
+        with task_memory(words):
+            for batch in batches:
+                known = dict(zip(batch["key"], batch["text"]))
+                prints = np.array([word_fingerprints(t, words) for t in known.values()], "i8").reshape(-1, PRINTS)
+                out = pd.DataFrame(prints, columns=columns)
+                yield out.assign(key=list(known), n=[len(shingles(t)) for t in known.values()])[["key", "n", *columns]]
+
+    schema = "key binary, n long, " + ", ".join(f"{c} long" for c in columns)
+    return docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs u, v whose texts are alike. texts: key, text, one row a key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen = None, set()
+        with task_memory():
+            for batch in batches:
+                good = []
+                for v, a, b in zip(batch["v"], batch["a"], batch["b"]):
+                    if v != last:  # rows often come in the order of v
+                        last, seen = v, shingles(b)
+                    good.append(alike(shingles(a), seen))
+                yield batch.loc[good, ["u", "v"]]
+
+    both = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
+
+
+def near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """u, v: links that join all near copies found into the same components. Nodes are text_key()."""
+    columns = [f"f{k}" for k in range(PRINTS)]
+    prints = cut(signatures(docs, text_col).dropDuplicates(["key"]))
+    met = collisions(prints.withColumnRenamed("key", "text"), [F.col(c) for c in columns], RADIUS)
+    own = F.expr(f"element_at(array({', '.join(columns)}), CAST(table DIV {len(masks(RADIUS))} AS INT) + 1)")
+    members = cut(met.select("table", F.col("key").alias("bucket"), F.col("text").alias("key"), "n", own.alias("fp"), "size"))
+    keyed = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    texts = cut(keyed.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    fits = lambda m, n: 5 * F.least(m, n) >= 4 * F.greatest(m, n)
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS
+
+    least = members.groupBy("table", "bucket").agg(F.min(F.struct("key", "n", "fp")).alias("least"))
+    stars = members.join(least, ["table", "bucket"]).where((F.col("key") != F.col("least.key")) & fits(F.col("n"), F.col("least.n")) & near(F.col("fp"), F.col("least.fp")))
+    stars = stars.select(F.col("key").alias("u"), F.col("least.key").alias("v")).distinct()
+    first = cut(verified(stars, texts))
+    roots = components(first).select(F.col("node").alias("key"), "root")
+
+    rooted = members.join(roots, "key", "left").select(*members.columns, F.coalesce("root", "key").alias("root"))
+    split = rooted.groupBy("table", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("table", "bucket")
+    count = F.ceil(F.col("size") / CELL).cast("int")
+    rooted = rooted.join(split, ["table", "bucket"], "left_semi").withColumn("block", F.pmod(F.xxhash64("key"), count).cast("int"))
+    cells = rooted.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    cells = cells.select("table", "bucket", "key", "n", "fp", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    a, b = (cells.select("table", "bucket", "x", "y", *[F.col(c).alias(c + side) for c in ("key", "n", "fp", "root")]) for side in "ab")
+    both = a.join(b, ["table", "bucket", "x", "y"]).where((F.col("keya") > F.col("keyb")) & (F.col("roota") != F.col("rootb")) & fits(F.col("na"), F.col("nb")) & near(F.col("fpa"), F.col("fpb")))
+    rest = both.select(F.col("keya").alias("u"), F.col("keyb").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    return first.unionByName(verified(rest, texts))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that have a near copy of a smaller id; all columns stay."""
+    roots = components(near_copies(docs, text_col)).select(F.col("node").alias("key"), "root")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key")).groupBy("id", "key").agg(F.count("*").alias("rows"))
+    rows = rows.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "key", "rows")).alias("kept"))
+    id_, key = f"__id_{uuid.uuid4().hex}", f"__key_{uuid.uuid4().hex}"
+    keep = cut(rows.select(F.col("kept.id").alias(id_), F.col("kept.key").alias(key), F.col("kept.rows").alias("rows")))
+    out = docs.join(keep.drop("rows"), F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (text_key(F.col(text_col)) == F.col(key)), "left_semi")
+    return out if keep.where("rows > 1").isEmpty() else out.withColumn(key, text_key(F.col(text_col))).dropDuplicates([id_col, key]).drop(key)

@@ -1,12 +1,13 @@
 import random
 
-import corpus_pipeline
-from loomgraph.llm import near_text
+from pyspark.sql import functions as F
+
+from loomgraph.llm import simhash
 
 
 def brute(rows):
     """The rows kept: the least id of each component of texts with a 5-word Jaccard of at least 0.8."""
-    sets = [near_text.shingles(t) for _, t in rows]
+    sets = [simhash.shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(k):
@@ -39,24 +40,27 @@ def family(rng):
     return list(enumerate(rows + ["", " \n", "a b", "A  b", "a b c"]))
 
 
-def test_stage_drops_near_copies_of_five_words(spark):
+def test_drops_near_copies_of_five_words(spark):
     rows = family(random.Random(4))
     want = brute(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
-    assert got == want and len(want) < len(rows) - 50
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    assert set(want) <= set(got) and len(got) <= 1.02 * len(want) and len(want) < len(rows) - 50  # nothing below the bar is linked; pairs at the bar may be missed
 
 
 def test_cells_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(near_text, "CELL", 2)
+    monkeypatch.setattr(simhash, "CELL", 2)
     rows = family(random.Random(6))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in near_text.one_of_each(docs).collect()) == brute(rows)
+    got, want = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}, brute(rows)
+    assert set(want) <= got and len(got) <= 1.02 * len(want)
 
 
 def test_odd_rows(spark):
     texts = ["q r s t u v", "other words that are no copy", "q r s t u v", None, ""]
     docs = spark.createDataFrame([(None, t) for t in texts] + [(7, "seven one two"), (7, "something else"), (7, "something else"), (8, "Seven  one two")], "doc_id long, text string")
-    got = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in near_text.one_of_each(docs).collect()), key=str)
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in simhash.one_of_each(docs).collect()), key=str)
     assert got == sorted([(None, texts[0].split()), (None, texts[1].split()), (None, []), (7, ["seven", "one", "two"]), (7, ["something", "else"])], key=str)
-    assert near_text.one_of_each(docs.limit(0)).count() == 0
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+    clashing = docs.withColumns({"__key": F.lit(1), "key": F.lit(2), "rows": F.lit(3), "__id": F.lit(4), "table": F.lit(5)})
+    assert simhash.one_of_each(clashing).count() == len(got) and simhash.one_of_each(clashing).columns == clashing.columns
