@@ -1,20 +1,22 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 An item is in a document if the document has at least `least` of the item's distinct word shingles. Items are partitioned by
-size (the power of two above their number of distinct shingles). A partition keeps, for each item of n shingles, the
-n - ceil(least * n) + 1 smallest shingle hashes: its bottom-k MinHash. A document that contains the item lacks at most
-n - ceil(least * n) shingles, so it has one of these for certain: no pair is lost, however long the document. A document is
-probed only with the partitions whose items are small enough for it to hold. Candidate pairs are then verified by counting the
-item's shingles among the document's, by their words.
+size (the power of two above their number of distinct shingles). In a partition, the sketch of an item of n shingles is its
+n - ceil(least * n) + 1 smallest shingle hashes (bottom-k MinHash), and the sketch of a document is all its shingle hashes up to
+the partition's bound, the largest hash in any of its items' sketches (MinHash of a fixed rate, as documents are of any length). A
+document that contains the item lacks at most n - ceil(least * n) shingles, so the two sketches share a hash for certain: no
+pair is lost, however long the document. Only partitions whose items are small enough for the document to hold are searched.
+Candidate pairs are then verified by counting the item's shingles among the document's, by their words.
 
 Words are runs of letters, digits and underscores, lower-cased. An item of fewer words than a shingle has one shingle of all its
 words; an item without words is in no document.
 
-The sketches and shingles of at most ITEMS_AT_ONCE items are broadcast (about 0.3 MB for 1000 items of 40 words); a larger benchmark takes several
-passes over the documents, whose pairs add up.
+The sketches and shingles of at most ITEMS_AT_ONCE items and CHARS_AT_ONCE characters are broadcast (about 0.3 MB for 1000 items of
+40 words); a larger benchmark takes several passes over the documents, whose pairs add up.
 
 Results for odd inputs: a null or empty text holds no item; null ids are kept; repeated documents and items give a row for each pair; an empty
-table on either side gives no rows. Only the id and text columns are read.
+table on either side gives no rows; texts of any length are searched whole. Only the id and text columns are read. without_items
+decides each row by its own text, so rows that share an id, or have none, stand for themselves, and other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from .common import emptied, filled, task_memory
 WORDS = 5
 LEAST = 0.8
 ITEMS_AT_ONCE = 20_000
+CHARS_AT_ONCE = 16_000_000
 FILTER_BITS = 22
 WORD = re.compile(r"\w+")
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -92,10 +95,16 @@ class Items:
                 part[x].append(k)
         self.lengths = sorted({n for n, _ in self.partitions})
         self.least_of = {p: min(self.need[k] for ks in hashes.values() for k in ks) for p, hashes in self.partitions.items()}
+        self.bound = {p: np.uint64(max(hashes)) for p, hashes in self.partitions.items()}
         self.filter = {n: np.zeros(1 << FILTER_BITS, bool) for n in self.lengths}
         for (n, _), hashes in self.partitions.items():
             self.filter[n][(np.fromiter(hashes, "u8", len(hashes)) >> np.uint64(64 - FILTER_BITS)).astype("int64")] = True
 
+    def sketches(self, h: np.ndarray, n: int) -> dict[tuple[int, int], list[int]]:
+        """For each partition whose items a document of the shingle hashes h may hold: the document's sketch, without hashes that no item's sketch can have."""
+        known = h[self.filter[n][(h >> np.uint64(64 - FILTER_BITS)).astype("int64")]]
+        return {p: known[known <= self.bound[p]].tolist() for p in self.partitions if p[0] == n and self.least_of[p] <= len(h)} if len(known) else {}
+
     def found_in(self, text: str | None) -> list[tuple[int, int]]:
         """(item's number, shingles found) of each item that the text contains."""
         w = words_of(text)
@@ -103,12 +112,7 @@ class Items:
         out = []
         for n in self.lengths:
             h = shingle_hashes(hashes, n)
-            at = np.flatnonzero(self.filter[n][(h >> np.uint64(64 - FILTER_BITS)).astype("int64")])
-            if not len(at):
-                continue
-            probes = h[at].tolist()
-            fits = [hs for p, hs in self.partitions.items() if p[0] == n and self.least_of[p] <= len(h)]
-            candidates = {k for x in probes for hs in fits for k in hs.get(x, ())}
+            candidates = {k for p, sketch in self.sketches(h, n).items() for x in sketch for k in self.partitions[p].get(x, ())}
             if candidates:
                 there = {tuple(w[k : k + n]) for k in range(len(h))}
                 for k in sorted(candidates):
@@ -118,16 +122,26 @@ class Items:
         return out
 
 
+def passes(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str, at_once: int) -> Iterator:
+    """Broadcasts of the benchmark, at_once items and CHARS_AT_ONCE characters at most in each (or one item)."""
+    sc, held, chars = docs.sparkSession.sparkContext, [], 0
+    stated = items.select(filled(F.col(item_col)), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull())
+    for r in stated.toLocalIterator():
+        if held and (len(held) == at_once or chars + len(r[1]) > CHARS_AT_ONCE):
+            yield sc.broadcast(held)
+            held, chars = [], 0
+        held.append(tuple(r))
+        chars += len(r[1])
+    if held:
+        yield sc.broadcast(held)
+
+
 def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """doc_id, item_id, n_found, n_shingles, containment of every pair with a containment of at least `least`."""
     schema = "doc_id long, item_id long, n_found long, n_shingles long, containment double"
     rows = docs.select(filled(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sc, held, passes = docs.sparkSession.sparkContext, [], []
-    stated = items.select(filled(F.col(item_col)), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull())
-
-    def one_pass(part: list[tuple]) -> DataFrame:
-        shared = sc.broadcast(part)
 
+    def one_pass(shared) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = Items(shared.value, words, least)
             with task_memory(known.cache):
@@ -142,19 +156,25 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, least: floa
 
         return rows.mapInPandas(run, schema)
 
-    for r in stated.toLocalIterator():  # the benchmark, at most at_once items at a time
-        held.append(tuple(r))
-        if len(held) == at_once:
-            passes.append(one_pass(held))
-            held = []
-    passes.append(one_pass(held))
-    out = passes[0]
-    for other in passes[1:]:
-        out = out.unionByName(other)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for k, shared in enumerate(passes(docs, items, item_col, item_text_col, at_once)):
+        out = out.unionByName(one_pass(shared)) if k else one_pass(shared)
     return out.withColumns({"doc_id": emptied(F.col("doc_id")), "item_id": emptied(F.col("item_id"))})
 
 
-def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that contain none of the items; all columns stay."""
-    found = contained(docs, items, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+def without_items(docs: DataFrame, items: DataFrame, words: int = WORDS, least: float = LEAST, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+    """The rows of docs whose text contains none of the items; all columns stay. Rows are judged where they are read, without a shuffle."""
+
+    def clean_of(shared):
+        @F.pandas_udf("boolean")
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known = Items(shared.value, words, least)
+            with task_memory(known.cache):
+                for texts in batches:
+                    yield pd.Series([not known.found_in(t) for t in texts.tolist()], dtype="bool")
+
+        return clean
+
+    for shared in passes(docs, items, item_col, item_text_col, at_once):
+        docs = docs.where(clean_of(shared)(F.col(text_col).cast("string")))
+    return docs

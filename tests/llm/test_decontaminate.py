@@ -50,4 +50,9 @@ def test_against_brute_force(spark):
         assert sorted(tuple(r)[:4] for r in got if r["doc_id"] is not None) == want
     kept = {r["doc_id"] for r in decontaminate.without_items(d, i).collect()} - {None}
     assert kept == set(range(len(docs))) - {w[0] for w in want}
+    twins = spark.createDataFrame([(None, "fine text", 1), (None, items[0], 2), (7, "other fine text", 3), (7, items[0], 4), (7, "other fine text", 5)], "doc_id long, text string, __leak int")
+    assert sorted(r["__leak"] for r in decontaminate.without_items(twins, i, at_once=7).collect()) == [1, 3, 5]
+    long = spark.createDataFrame([(1, " ".join(prose(300_000)) + " " + items[0]), (2, " ".join(prose(300_000)))], "doc_id long, text string")
+    only = spark.createDataFrame([(0, "zeta eta theta iota kappa lamda mu nu"), (1, items[0])], "item_id long, text string")
+    assert (1, 1) in {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(long, only).collect()}
     assert decontaminate.contained(d.limit(0), i).count() == 0 and decontaminate.contained(d, i.limit(0)).count() == 0
