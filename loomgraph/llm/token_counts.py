@@ -13,13 +13,14 @@ The newline, or the joint between two fields, belongs to the part before it. For
 document's.
 
 Results for odd inputs: a null or empty text has one empty part with no tokens; an empty part has none; repeated rows keep rows
-of their own; null ids are kept; an empty table gives no rows. Whole texts are encoded, of any length. Only the id and text
+of their own; null ids are kept; an empty table gives no rows. Whole texts are encoded, of any length, and so are runs of any character. Only the id and text
 columns are read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,10 @@ from .common import emptied, filled
 
 RULES = ("start", "most", "share")
 _loaded: dict[tuple[str, str], tuple] = {}
+# white space as the pattern's \\s has it; runs of LONG or more are encoded apart, as the pattern's engine recurses once a character
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 10_000
+LONG_RUN = re.compile(f"[{SPACES}]{{{LONG},}}")
 
 
 def vocabulary(path: str, pattern: str):
@@ -47,13 +52,25 @@ def vocabulary(path: str, pattern: str):
     return _loaded[path, pattern]
 
 
+def token_ids(text: str, encoding) -> list[int]:
+    """The ids of a text. In a long run of white space, all but its last character are one piece of the pattern (at the text's end: all of it), so it is encoded as one."""
+    out, at = [], 0
+    for m in LONG_RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """First character and the character after the last, of each token."""
     encoding, lengths = vocabulary(path, pattern)
     if not text:
         return np.zeros(0, "int64"), np.zeros(0, "int64")
-    ends = np.cumsum(lengths[np.array(encoding.encode_ordinary(text), "int64")])
-    raw = np.frombuffer(text.encode("utf-8", "replace"), "u1")
+    text = text.encode("utf-8", "replace").decode()
+    ends = np.cumsum(lengths[np.array(token_ids(text, encoding), "int64")])
+    raw = np.frombuffer(text.encode(), "u1")
     if ends[-1] != len(raw):
         raise ValueError("the vocabulary doesn't keep the bytes of a text")
     starts = np.concatenate([[0], ends[:-1]]).astype("int64")

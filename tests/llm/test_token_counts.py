@@ -62,6 +62,19 @@ def test_fields(spark):
         assert [o[2] for o in own] == brute([role or "", text], ": ", "most")
 
 
+@pytest.mark.parametrize("rule", ["start", "share"])
+def test_long_runs(spark, monkeypatch, rule):
+    big = 2_000_000
+    texts = [" " * big, "a" + "\n" * 3, "x\t" * 3 + "\t" * big + "y", "b " + " " * big + " c", " " * big + "\n", "\u3000\xa0" * 40_000 + "z", "q" * big]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(9, "\n" * 300_000 + "end")], "doc_id long, text string")
+    got = token_counts.counts(docs, PATH, PATTERN, rule).groupBy("doc_id").agg({"n_tokens": "sum", "n_chars": "sum", "part": "max"}).collect()
+    assert {r["doc_id"]: r["sum(n_chars)"] + r["max(part)"] for r in got} == {k: len(t) for k, t in enumerate(texts)} | {9: 300_003}
+    monkeypatch.setattr(token_counts, "LONG_RUN", __import__("re").compile(f"[{token_counts.SPACES}]{{3,}}"))
+    encoding, _ = token_counts.vocabulary(PATH, PATTERN)
+    for text in ["a   b", "   ", " \t\n x\r\n\r\n", "w" + " " * 900 + "é" + "\n" * 700, "\x85\xa0 \u2028\u3000  v", "\x1c\x1d\x1e   \x1f"]:
+        assert token_counts.token_ids(text, encoding) == encoding.encode_ordinary(text)
+
+
 def test_whole_table(spark):
     got = queries.op7_token_counts(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
