@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, emptied, filled, shared_dir, task_memory
+from .common import cut, emptied, filled, settled, shared_dir, task_memory
 from .warc import opened
 
 SPAN = 200
@@ -336,9 +336,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """The texts as (id, text) in tasks that keep theirs, and the folder with the hot anchors and the runs of repeated windows for each task."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if "Exchange" in texts._jdf.queryExecution().executedPlan().toString():
-        texts = cut(texts)
+    texts = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     tasks = max(1, texts.rdd.getNumPartitions())
     parts = 2 * tasks
     folder = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ member, so any record can be read alone. Where payloads of at least `least` byte
 id stays a response and the others become revisits of it while they are rewritten; pages are never shuffled, only their digests.
 
 Files go to the shared folder through pyarrow's file systems (file, hdfs, s3, gs), under a temporary name that is then moved, so
-a task that runs again replaces its own files by the same ones. A file holds at most about FILE_BYTES of records.
+a task that runs again replaces its own files by the same ones (pages that come out of a shuffle are written down first, so that its rows are the same). A file holds at most about FILE_BYTES of records.
 
 Results for odd inputs: null html is an empty payload; null ids and urls are kept as empty fields; of repeated rows with the same
 largest page id one is the response; an empty table gives no rows. Payloads of any size are kept whole. Only the id, url
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, emptied, filled, shared_dir
+from .common import cut, emptied, filled, settled, shared_dir
 
 LEAST = 1000
 FILE_BYTES = 256 << 20
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             sink.write(zipped.flush())
             sink.close()
 
-    rows = pages.select(filled(F.col(id_col)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = settled(pages.select(filled(F.col(id_col)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")))
     return rows.mapInPandas(run, "page_id long, file string, seq long, digest string, payload_bytes long")
 
 
