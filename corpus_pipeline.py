@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, near-dedup, suffix-array dedup, decontamination, packing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last keep the columns of documents;
-the last gives a row for each packed piece. Near-dedup links texts with a five-word Jaccard of at least 0.8; op4 keeps its own fingerprints and radius.
+the last gives a row for each packed piece. Near-dedup links texts with a five-word Jaccard of at least 0.8, found by the covering tables of op4 over fingerprints of words.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, near_text, packing, suffix_dedup, toxicity
-from loomgraph.llm.common import shared_dir
+from loomgraph.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
+from loomgraph.llm.common import removed, shared_dir
 from loomgraph.llm.queries import table, tokenizer_path
 
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_text.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(f"{folder}/{before}")
+        before = name
     return docs
