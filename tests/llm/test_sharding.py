@@ -1,5 +1,8 @@
 import random
 import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from loomgraph.llm import queries, sharding
 
@@ -18,11 +21,24 @@ def plain_bfd(sizes, capacity):
     return out
 
 
-def test_tree_agrees_with_a_plain_search():
+def runs_of(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def expanded(sizes, pieces):
+    """The bin of each of the sizes, largest first."""
+    runs = runs_of(sizes)
+    parts = sharding.parted(runs, pieces, 1 + max((b for _, _, b in pieces), default=0))
+    of = {(k, first + n): b for b, x in enumerate(parts) for k, first, count in x for n in range(count)}
+    assert len(of) == len(sizes)
+    return [of[k, n] for k, (_, count) in enumerate(runs) for n in range(count)]
+
+
+def test_runs_agree_with_a_plain_search():
     rng = random.Random(3)
     for _ in range(30):
-        sizes = [rng.choice([1, 5, rng.randint(1, 60)]) for _ in range(rng.randint(0, 150))]
-        assert sharding.best_fit_decreasing(sizes, 60) == plain_bfd(sizes, 60)
+        sizes = sorted((rng.choice([1, 5, 70, rng.randint(1, 60)]) for _ in range(rng.randint(0, 150))), reverse=True)
+        assert expanded(sizes, sharding.best_fit_decreasing(runs_of(sizes), 60)) == plain_bfd(sizes, 60)
 
 
 def test_shards(spark):
@@ -68,14 +84,26 @@ def test_a_group_of_a_third_of_all_rows(spark):
 
 def test_even_shards_with_large_items():
     for sizes in ([], [5], [100, 1, 1, 1], [1000, 500, *[3] * 600], [10**9, *[7] * 5000], [9, 9, 9, 9, 9]):
-        got = sharding.even_shards(sizes, 4)
-        load = [sum(s for s, b in zip(sizes, got) if b == k) for k in range(4)]
-        assert len(got) == len(sizes) and sum(load) == sum(sizes)
+        got = expanded(sizes, sharding.even_shards(runs_of(sizes), 4))
+        load = [sum(s for s, b in zip(sorted(sizes, reverse=True), got) if b == k) for k in range(4)]
+        assert sum(load) == sum(sizes)
         assert sum(1 for x in load if x) == min(4, len(sizes))
 
 
-def test_capacity_holds_beyond_the_blocks(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "BLOCKS", 4)
+def test_repeated_rows_and_one_size(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS_PER_TASK", 50)
+    rows = [(1, "same")] * 3000 + [(None, None)] * 10 + [(k, "%05d" % k) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit("x"), "size": F.lit("y"), "text_key": F.lit("z"), "heap": F.lit(1)}).repartition(5)
+    slots, where = {}, {}
+    for r in sharding.shard(docs, shards=24).collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        where.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert sum(map(len, slots.values())) == len(rows) and all(len(s) == 1 for s in where.values())
+    assert sorted(slots) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {len(x) for x in slots.values() if len(x) < 1000} <= {130, 131} | set(range(120, 141))
+
+
+def test_capacity_in_heaps(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SHARDS_PER_HEAP", 8, raising=False)
     rng = random.Random(9)
     texts = ["%08d" % (k % 19_000) for k in range(20_000)] + ["%04d" % k * rng.randint(5, 200) for k in range(100)] + ["giant " * 10] * 100
