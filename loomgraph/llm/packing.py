@@ -2,7 +2,9 @@
 
 Bounded-space online best-fit: a task keeps a fixed number of open bins. A bitset has bit f set while some open bin has f
 free tokens, so the tightest bin for n tokens is the lowest set bit at or above n. When all bins are open and none fits, the
-fullest (lowest set bit) closes. What is left in the open bins of up to FAN_IN tasks is dealt once more, longest piece first.
+fullest (lowest set bit) closes. What the open bins of FAN_IN tasks hold at the end goes through a second pass of the same
+kind, whose fixed number of open bins is that of these tasks together; there longer pieces arrive first. A pass streams
+its rows: no more than the pieces of its open bins is held. Up to MOST_TASKS tasks pack; beyond that they have more rows each.
 
 Results for odd inputs: a null or empty text has the end token alone, and so is one piece of length 1; an empty table gives no
 rows; repeated rows are documents of their own; null ids are kept. Any text length works: a piece holds at most `capacity`
@@ -15,7 +17,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ CAPACITY = 4096
 OPEN_BINS = 128
 FAN_IN = 32
 ROWS_PER_TASK = 32_000
+MOST_TASKS = 20_000
 CACHED_WORDS = 400_000
 CACHED_CHARS = 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -174,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 class OpenBins:
     """At most `limit` open bins of `capacity`, found by their free space through a bitset."""
 
-    def __init__(self, capacity: int, limit: int | None):
+    def __init__(self, capacity: int, limit: int):
         self.capacity, self.limit = capacity, limit
         self.mask, self.n, self.made = 0, 0, 0
         self.by_free: dict[int, list] = defaultdict(list)
@@ -195,7 +198,7 @@ class OpenBins:
             free = length + (fits & -fits).bit_length() - 1
             bin_ = self._take(free)
         else:
-            if self.limit and self.n >= self.limit:
+            if self.n >= self.limit:
                 closed.append(self._take((self.mask & -self.mask).bit_length() - 1))
             free, bin_ = self.capacity, (self.made, [])
             self.made += 1
@@ -219,45 +222,47 @@ class OpenBins:
 def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """items (PIECES, written by an earlier step) with sequence_id and offset.
 
-    The order of arrival is a hash of the keys, and so the same when a lost task runs again.
+    The order of arrival is a hash of the keys, and in the second pass the length; it is the same when a lost task runs again.
     """
-    n = tasks_for(items.count(), rows_per_task)
+    rows = items.count()
+    n = tasks_for(rows, max(rows_per_task, rows // MOST_TASKS))
     items = items.withColumn("doc_id", filled(F.col("doc_id")))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = PIECES + ", task long, sequence_id long, offset long"
-
-    def online(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        task, bins = TaskContext.get().partitionId(), OpenBins(capacity, open_bins)
-
-        def frame(closed: list, final: bool) -> pd.DataFrame:
-            rows = [(*item, task, (task << 32 | k) * 2 if final else None, at if final else None) for k, placed in closed for item, at in placed]
-            return pd.DataFrame(rows, columns=[*columns, "task", "sequence_id", "offset"]).astype({"sequence_id": "Int64", "offset": "Int64"})
-
-        for batch in batches:
-            closed = []
-            for item in zip(*(batch[c].tolist() for c in columns)):
-                closed += bins.add(item, item[3])
-            yield frame(closed, True)
-        yield frame(bins.rest(), False)
-
-    dealt = items.repartition(n, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), *columns)
-    first = cut(dealt.mapInPandas(online, schema))
-
-    def again(key, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        bins = OpenBins(capacity, None)
-        closed = [b for k, length in enumerate(batch["length"].tolist()) for b in bins.add(k, length)] + bins.rest()
-        sequence, offset = np.zeros(len(batch), "int64"), np.zeros(len(batch), "int64")
-        for number, placed in closed:
-            for k, at in placed:
-                sequence[k], offset[k] = (int(key[0]) << 32 | number) * 2 + 1, at
-        return batch.assign(sequence_id=sequence, offset=offset)
-
-    left = first.where(F.col("sequence_id").isNull()).withColumn("team", F.expr(f"task div {FAN_IN}"))
-    left = left.groupBy("team").applyInPandas(lambda key, b: again(key, b.drop(columns="team")), schema)
-    both = first.where(F.col("sequence_id").isNotNull()).unionByName(left)
+    schema = "team long, " + PIECES + ", sequence_id long, offset long"
+    order = F.xxhash64("doc_id", "piece", "ids_crc32")
+
+    def online(limit: int, odd: int, last: bool) -> Callable:
+        """Bounded-space best fit over the rows of each team as they come; what is open at a team's end closes if this is the last pass."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            team, bins, out = None, OpenBins(capacity, limit), []
+
+            def close(closed: list, final: bool) -> None:
+                out.extend((team, *item, ((team << 32 | k) * 2 + odd) if final else None, at if final else None) for k, placed in closed for item, at in placed)
+
+            def frame() -> pd.DataFrame:
+                rows = pd.DataFrame(out, columns=["team", *columns, "sequence_id", "offset"]).astype({"sequence_id": "Int64", "offset": "Int64"})
+                out.clear()
+                return rows
+
+            for batch in batches:
+                for own, *item in zip(*(batch[c].tolist() for c in ("team", *columns))):
+                    if own != team:
+                        close(bins.rest(), last)
+                        team, bins = own, OpenBins(capacity, limit)
+                    close(bins.add(tuple(item), item[3]), True)
+                yield frame()
+            close(bins.rest(), last)
+            yield frame()
+
+        return run
+
+    dealt = items.repartition(n, F.xxhash64("doc_id", "piece")).sortWithinPartitions(order, *columns).withColumn("team", F.spark_partition_id().cast("long"))
+    first = cut(dealt.select("team", *columns).mapInPandas(online(open_bins, 0, False), schema))
+    open_ = first.where(F.col("sequence_id").isNull()).withColumn("team", F.expr(f"team div {FAN_IN}"))
+    open_ = open_.repartition(tasks_for(n, FAN_IN), "team").sortWithinPartitions("team", F.desc("length"), order, *columns)
+    again = open_.select("team", *columns).mapInPandas(online(FAN_IN * open_bins, 1, True), schema)
+    both = first.where(F.col("sequence_id").isNotNull()).unionByName(again)
     return both.select(emptied(F.col("doc_id")).alias("doc_id"), *columns[1:], "sequence_id", "offset")
 
 
