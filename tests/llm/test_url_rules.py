@@ -26,11 +26,12 @@ def test_against_brute_force(spark):
     labels = ["net", "com", "example", "a", "b", "a-b", "é"]
     host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4)))
     path = lambda: "/" + "".join(rng.choice(["en/", "en", "de/", "x"]) for _ in range(rng.randint(0, 3)))
-    rules = list(dict.fromkeys((rng.choice(["block", "allow"]), host() + path()) for _ in range(60)))
-    rules = list({r[1]: r for r in rules}.values())
-    urls = [None, "", "no scheme", "http://", "http://NET", "HTTP://Example.NET/en/", "x://net?/en/", "a://b://c/d", "http://net:80/en/#x"]
+    rules = [(rng.choice(["block", "allow"]), host() + path()) for _ in range(90)] + [("block", "/en/"), ("allow", "net")]
+    assert len({r[1] for r in rules}) < len(rules)  # equal rules, also with other verdicts
+    urls = [None, "", "http:///en/x", "no scheme", "http://", "http://NET", "HTTP://Example.NET/en/", "x://net?/en/", "a://b://c/d", "http://net:80/en/#x"]
     urls += [f"http://{host()}{path()}{rng.choice(['', '?q=/', '#t'])}" for _ in range(500)]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", url_rules.F.lit("clash"))
+    urls += urls[:9] + ["http://" + "a." * 20_000 + "net/" + "en/" * 50_000, "http://net/" + "x" * 300_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3).withColumn("rule", url_rules.F.lit("clash"))
     for some, at_once in ((rules, 500), (rules, 7), (queries.URL_RULES, 500), ([], 5)):
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judge(pages, some, at_once=at_once).collect()}
         assert got == {k: brute(u, some, "allow") for k, u in enumerate(urls)}
