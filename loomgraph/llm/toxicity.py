@@ -1,24 +1,30 @@
 """Toxicity by a support vector machine with a subsequence string kernel and Nyström landmarks.
 
-The kernel of two words is the sum over all strings of three letters u of phi_u(x) phi_u(z), where phi_u(x) sums DECAY to the
-number of skipped letters over the places where u is in x as a subsequence of at most REACH letters, divided by a function of
-the word's length. So an insult with letters put in between still shares most subsequences with itself. Marks for the ends of a
-word are letters too; signs within a word are taken out first, and three or more single letters in a row are one word.
+Sentences are the examples. A sentence is made of units: its words, and the pairs of neighbours that may be phrases. The kernel of two units is
+the sum over all strings of three letters u of phi_u(x) phi_u(z), where phi_u(x) sums DECAY to the number of skipped letters over
+the places where u is in x as a subsequence of at most REACH letters, divided by a function of the unit's length. So an insult with
+letters put in between still shares most subsequences with itself. Marks for the ends of a unit are letters too; signs and the space
+of a pair are taken out first, and three or more single letters in a row are one word.
 
-Training. Sentences take the label of their document. A toxic document is a bag of the words of its sentences, at least one of which is to
-score high (its witness), as are words that are in too many toxic documents and no clean one; every word of a clean one is to score low. Landmarks are the first witnesses, by the log-odds of
-their subsequences, and the clean words most like them. Words become vectors of kernel values with the landmarks times
-K^(-1/2), a linear squared-hinge machine is fitted by Newton steps, and witnesses and the hardest clean words are chosen anew
-for ROUNDS rounds. Witnesses with one letter put in stand beside the plain ones.
+Training. Sentences take the label of their document. Every sentence of a clean document is to score low. A toxic document has
+at least one sentence that is to score high (its witness), which stands for it by its highest unit; so do words and pairs that are in too many
+toxic documents and no clean one for chance. Landmarks are the units of the first witnesses, by the log-odds of their subsequences, and the clean
+words most like them. Units become vectors of kernel values with the landmarks times K^(-1/2), a linear squared-hinge machine
+is fitted by Newton steps, and witnesses and the hardest clean sentences are chosen anew for ROUNDS rounds. Witnesses with one letter put in stand
+beside the plain ones.
 
-Scoring. A kernel expansion over landmarks is linear in phi, so the machine is one table of weights for three letters. A text's
-score is the logistic of its highest word; all words of whole texts count, and the words of a task are kept in a bounded dictionary.
+Phrases. Toxic documents whose words score no higher than those of most clean ones are searched for pairs of neighbours that too many of them have for chance, and no clean
+document has; these are learned as units in a second training. A pair is looked in any text if each of its words has a kernel of at least PART with such a pair's word at that place, so gapped phrases count too.
+
+Scoring. A kernel expansion over landmarks is linear in phi, so the machine is one table of weights for three letters. A sentence scores as its
+highest unit and a text as its highest sentence, through the logistic; whole texts count, and the words of a task are kept in a bounded dictionary.
 
 The sample for fitting is bounded: TOXIC and CLEAN labelled documents of at most LONGEST characters, the least by a hash of doc_id.
 
 Results for odd inputs: a null or empty text scores as a text whose words share nothing with any landmark; without labels of
-both kinds all texts score 0; repeated rows keep rows of their own; null ids are held in; null labels are not used; an empty
-table gives no rows. Only the id and text columns are read for scores.
+both kinds all texts score 0; repeated rows keep rows of their own; null ids are held in; null labels are not used; of labels that repeat an id the
+greatest counts, and of texts that do the least; letters of all scripts count, without spaces between words the whole run is one word (looked
+at in overlapping parts); an empty table gives no rows. Only the id and text columns are read for scores.
 """
 
 from __future__ import annotations
@@ -46,9 +52,10 @@ SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 SIGNS = re.compile(r"[\W_]+")
 SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 END = 63
+PART = 0.6
 
-_codes = np.zeros(0x3000, "i4")
-for _c in range(0x3000):
+_codes = np.zeros(0x32000, "i4")  # up to the last plane of letters
+for _c in range(len(_codes)):
     if chr(_c).isalpha():
         _codes[_c] = _c - 96 if 97 <= _c <= 122 else 27 + _c % 36
 
@@ -77,7 +84,7 @@ def lettered(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 of.append(k)
     points = np.array(rows, f"U{LETTERS}").view("<u4").reshape(len(rows), LETTERS)
     out = np.zeros((len(rows), LETTERS + 2), "i4")
-    out[:, 1:-1] = _codes[np.minimum(points, 0x2FFF)]
+    out[:, 1:-1] = _codes[np.minimum(points, len(_codes) - 1)]
     out[:, 0] = END
     sizes = (points > 0).sum(axis=1)
     out[np.arange(len(rows)), sizes + 1] = END
@@ -111,14 +118,27 @@ class Model:
     bias: float
     middle: float
     slope: float
-
-    def raw(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), -np.inf)
-        for k in range(0, len(words), 20_000):
-            codes, of = lettered(words[k : k + 20_000])
+    #: Places of three-letter numbers in the columns of `parts`: the first words of phrases, then the second ones.
+    places: np.ndarray | None = None
+    parts: tuple[np.ndarray, np.ndarray] | None = None
+
+    def raw(self, units: list[str]) -> np.ndarray:
+        out = np.full(len(units), -np.inf)
+        for k in range(0, len(units), 20_000):
+            codes, of = lettered(units[k : k + 20_000])
             np.maximum.at(out, of + k, weighed(codes, self.table) + self.bias)
         return out
 
+    def looks(self, words: list[str]) -> np.ndarray:
+        """Bits for each word: 1 if it is like the first word of a phrase, 2 if like the second."""
+        out = np.zeros(len(words), "int64")
+        if self.parts is not None:
+            for k in range(0, len(words), 20_000):
+                codes, of = lettered(words[k : k + 20_000])
+                for bit, marks in enumerate(self.parts, 1):
+                    np.bitwise_or.at(out, of + k, bit * (_kernel(codes, self.places, marks).max(axis=1) >= PART))
+        return out
+
     def probability(self, raw: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * (raw - self.middle), -30, 30))))
 
@@ -126,6 +146,10 @@ class Model:
 NOTHING = Model(np.zeros(1 << 18, "f4"), -1e9, 0.0, 1.0)
 
 
+def sentences_of(text: str | None) -> list[list[str]]:
+    return [w for s in SENTENCE.split(text or "") if (w := words_of(s))]
+
+
 def _odds(bags: list[list[str]], labels: np.ndarray) -> np.ndarray:
     """Log-odds of each three-letter subsequence by the documents it is in."""
     df = np.ones((2, 1 << 18))
@@ -172,10 +196,6 @@ def _machine(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1
     return w[:-1], float(w[-1])
 
 
-def _bag(text: str | None) -> list[str]:
-    return list(dict.fromkeys(w for s in SENTENCE.split(text or "") for w in words_of(s)))
-
-
 def _gapped(word: str, found: int, rng: np.random.Generator) -> list[str]:
     """The word with a letter put in, or a sign in place of one, at each inner place if it was found often, else at one."""
     inner = range(1, len(word)) if len(word) > 3 else []
@@ -184,37 +204,9 @@ def _gapped(word: str, found: int, rng: np.random.Generator) -> list[str]:
     return [word[:k] + letter() + word[k:] for k in places] + [word[:k] + "0" + word[k + 1 :] for k in places if found >= 5 and k < len(word) - 1]
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
-    rng = np.random.default_rng(seed)
-    bags, y = [_bag(t) for t in texts], np.array(labels, "int64")
-    keep = [k for k, b in enumerate(bags) if b]
-    bags, y = [bags[k] for k in keep], y[keep]
-    if not (0 < y.sum() < len(y)):
-        return NOTHING
-    words = list(dict.fromkeys(w for b in bags for w in b))
-    number = {w: k for k, w in enumerate(words)}
-    clean = np.zeros(len(words), "int64")
-    inside = [np.array([number[w] for w in b]) for b in bags]
-    seen: set[tuple] = set()
-    bad = np.zeros(len(words), "int64")
-    for b, label, bag in zip(inside, y.tolist(), bags):
-        if not label:
-            clean[b] += 1
-        elif (key := tuple(bag)) not in seen:
-            seen.add(key)
-            bad[b] += 1
-    # too often in toxic documents, and never in clean ones, for chance: these count as insults even beside a stronger witness
-    sure = np.flatnonzero((clean == 0) & (bad * np.log(y.mean()) < np.log(0.01 / len(words)))).tolist()
-    model = Model(_odds(bags, y), 0.0, 0.0, 1.0)
-    scores = np.where(clean > 0, -9.0, model.raw(words))
-    toxic, fine = [b for b, label in zip(inside, y) if label], [b for b, label in zip(inside, y) if not label]
-    witness = [int(b[np.argmax(scores[b])]) for b in toxic]
-    first = list(dict.fromkeys([w for w in sorted(sure, key=lambda k: -bad[k])[: LANDMARKS // 4]] + [w for w, _ in Counter(witness).most_common(LANDMARKS // 2)]))
-    hard_order = np.flatnonzero(clean)[np.argsort(-model.raw([words[k] for k in np.flatnonzero(clean)]), kind="stable")]
-    landmarks = first + hard_order[: LANDMARKS - len(first) - LANDMARKS // 8].tolist() + np.argsort(-clean, kind="stable")[: LANDMARKS // 8].tolist()
-    landmarks = list(dict.fromkeys(landmarks))
-    codes = np.zeros((0, LETTERS + 2), "i4")
-    codes, of = lettered([words[k] for k in landmarks])
+def _marks(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each three-letter number stands (0: nowhere) and the normed phi of the units, a column each."""
+    codes, of = lettered(names)
     codes = codes[np.unique(of, return_index=True)[1]]
     used = np.unique(np.concatenate([t.ravel() for t, _ in triples(codes)]))
     used = used[used > 0]
@@ -226,10 +218,101 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
         np.add.at(marks, (places[t][rows, cols], rows), weight)
     marks /= norms(codes)[None, :]
     marks[0] = 0
-    values, vectors = np.linalg.eigh(_kernel(codes, places, marks))
+    return places, marks
+
+
+def _in_documents(bags: list, y: np.ndarray) -> tuple[Counter, Counter]:
+    """In how many clean and how many different toxic documents something is."""
+    counts, seen = (Counter(), Counter()), set()
+    for bag, label in zip(bags, y.tolist()):
+        if not label:
+            counts[0].update(bag)
+        elif (key := frozenset(bag)) not in seen:
+            seen.add(key)
+            counts[1].update(bag)
+    return counts
+
+
+def _sure(clean: Counter, bad: Counter, share: float) -> list:
+    """What is in too many toxic documents, and never in clean ones, for chance."""
+    tries = len(clean.keys() | bad.keys())
+    return [u for u, n in bad.items() if not clean[u] and n * np.log(share) < np.log(0.01 / tries)]
+
+
+def _phrases(split: list[list[list[str]]], y: np.ndarray, model: Model) -> list[tuple[str, str]]:
+    """Pairs of neighbours that explain toxic documents whose words don't: never in clean ones, the most frequent first, each for documents that the earlier ones left."""
+    names = list({w for d in split for s in d for w in s})
+    raw = dict(zip(names, model.raw(names).tolist()))
+    high = np.array([max(raw[w] for s in d for w in s) for d in split])
+    usual = np.quantile(high[y == 0], 0.95)
+    left = [d for d, label, x in zip(split, y, high) if label and x <= usual]
+    pairs_in = [{p for s in d for p in zip(s, s[1:])} for d in left]
+    clean = {p for d, label in zip(split, y) if not label for s in d for p in zip(s, s[1:])}
+    tries, out = max(1, len(clean.union(*pairs_in))), []
+    while pairs_in:
+        counts = Counter(p for own in set(map(frozenset, pairs_in)) for p in own if p not in clean)
+        pair, n = min(counts.items(), key=lambda x: (-x[1], x[0]), default=((), 0))
+        if n * np.log(y.mean()) >= np.log(0.01 / tries) or len(out) == LANDMARKS // 4:
+            break
+        out.append(pair)
+        pairs_in = [own for own in pairs_in if pair not in own]
+    return out
+
+
+def fit(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
+    split, y = [sentences_of(t) for t in texts], np.array(labels, "int64")
+    keep = [k for k, b in enumerate(split) if b]
+    split, y = [split[k] for k in keep], y[keep]
+    if not (0 < y.sum() < len(y)):
+        return NOTHING
+    model = _fit(split, y, [], seed)
+    phrases = _phrases(split, y, model)
+    return _fit(split, y, phrases, seed) if phrases else model
+
+
+def _fit(split: list[list[list[str]]], y: np.ndarray, phrases: list[tuple[str, str]], seed: int) -> Model:
+    rng = np.random.default_rng(seed)
+    bags = [list(dict.fromkeys(w for s in doc for w in s)) for doc in split]
+    clean, bad = _in_documents(bags, y)
+    sure = _sure(clean, bad, y.mean())
+    model = Model(_odds(bags, y), 0.0, 0.0, 1.0)
+    if phrases:
+        pairs_in = [{p for s in doc for p in zip(s, s[1:])} for doc in split]
+        places, marks = _marks([w for p in phrases for w in p])
+        model.places, model.parts = places, (marks[:, ::2], marks[:, 1::2])
+        bad.update({" ".join(p): sum(p in own for own, label in zip(pairs_in, y) if label) for p in phrases})
+        sure += [" ".join(p) for p in phrases]
+    known = dict(zip(names := list(dict.fromkeys(w for b in bags for w in b)), model.looks(names).tolist()))
+    units_in = [[s + [f"{a} {b}" for a, b in zip(s, s[1:]) if known[a] & 1 and known[b] & 2] for s in doc] for doc in split]
+    units = list(dict.fromkeys(u for doc in units_in for s in doc for u in s))
+    number = {u: k for k, u in enumerate(units)}
+    inside = [[np.array([number[u] for u in dict.fromkeys(s)]) for s in doc] for doc in units_in]
+    in_clean = np.zeros(len(units), "int64")
+    for doc, label in zip(inside, y.tolist()):
+        if not label:
+            in_clean[np.unique(np.concatenate(doc))] += 1
+    sure = [number[u] for u in sure if u in number]
+    toxic, fine = [d for d, label in zip(inside, y) if label], [d for d, label in zip(inside, y) if not label]
+
+    def tops(doc: list[np.ndarray], raw: np.ndarray) -> np.ndarray:
+        """The highest unit of each sentence, sentences in falling order."""
+        own = np.array([s[np.argmax(raw[s])] for s in doc])
+        return own[np.argsort(-raw[own], kind="stable")]
+
+    scores = np.where(in_clean > 0, -9.0, model.raw(units))
+    witness = [int(tops(d, scores)[0]) for d in toxic]
+    times = np.array([bad[u] for u in units])
+    first = list(dict.fromkeys(sorted(sure, key=lambda k: -times[k])[: LANDMARKS // 4] + [w for w, _ in Counter(witness).most_common(LANDMARKS // 2)]))
+    seen = np.flatnonzero(in_clean)
+    hard_order = seen[np.argsort(-model.raw([units[k] for k in seen]), kind="stable")]
+    landmarks = first + hard_order[: LANDMARKS - len(first) - LANDMARKS // 8].tolist() + np.argsort(-in_clean, kind="stable")[: LANDMARKS // 8].tolist()
+    places, marks = _marks([units[k] for k in dict.fromkeys(landmarks)])
+    used = np.flatnonzero(places)
+    codes, of = lettered([units[k] for k in dict.fromkeys(landmarks)])
+    values, vectors = np.linalg.eigh(_kernel(codes[np.unique(of, return_index=True)[1]], places, marks))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    negatives = set(hard_order[:2000].tolist()) | set(rng.choice(np.flatnonzero(clean), min(2000, int((clean > 0).sum())), replace=False).tolist())
+    negatives = set(hard_order[:2000].tolist()) | set(rng.choice(seen, min(2000, len(seen)), replace=False).tolist())
     features: dict[str, np.ndarray] = {}
 
     def vectors_of(names: list[str]) -> np.ndarray:
@@ -241,29 +324,29 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
         return np.array([features[w] for w in names])
 
     for _ in range(ROUNDS):
-        found = Counter(words[k] for k in witness)
-        found.update({words[k]: int(bad[k]) for k in sure})
+        found = Counter(units[k] for k in witness)
+        found.update({units[k]: int(times[k]) for k in sure})
         gapped = [(g, 1.5 * min(n, 25) ** 0.5 / len(gaps)) for w, n in found.items() if (gaps := _gapped(w, n, rng)) for g in gaps]
-        less = [words[k] for k in sorted(negatives)]
+        less = [units[k] for k in sorted(negatives)]
         names = [*found, *(g for g, _ in gapped), *less]
         target = np.array([1.0] * (len(found) + len(gapped)) + [-1.0] * len(less))
         weights = np.array([np.sqrt(n) for n in found.values()] + [v for _, v in gapped] + [1.0] * len(less))
         w, bias = _machine(vectors_of(names).astype("f8"), target, weights)
         table = np.zeros(1 << 18, "f4")
-        table[used] = marks[1:] @ (root @ w)
-        model = Model(table, bias, 0.0, 1.0)
-        raw = model.raw(words)
-        witness = [int(b[np.argmax(raw[b])]) for b in toxic]
-        for b in fine:
-            negatives.update(b[np.argsort(-raw[b])[:2]].tolist())
-    high, low = np.array([raw[b].max() for b in toxic]), np.array([raw[b].max() for b in fine])
+        table[used] = marks[places[used]] @ (root @ w)
+        model = Model(table, bias, 0.0, 1.0, model.places, model.parts)
+        raw = model.raw(units)
+        witness = [int(tops(d, raw)[0]) for d in toxic]
+        for d in fine:
+            negatives.update(tops(d, raw)[:2].tolist())
+    high, low = np.array([max(raw[s].max() for s in d) for d in toxic]), np.array([max(raw[s].max() for s in d) for d in fine])
     edges = np.unique(np.concatenate([high, low]))
     middles = (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges
     errors = np.array([(high < m).mean() + (low >= m).mean() for m in middles])
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    middle = float(middles[best[np.argmax((edges[1:] - edges[:-1])[best])]] if len(edges) > 1 else edges[0])
-    spread = max(1e-3, float(np.median(high) - middle))
-    return Model(table, bias, middle, 4.0 / spread)
+    model.middle = float(middles[best[np.argmax((edges[1:] - edges[:-1])[best])]] if len(edges) > 1 else edges[0])
+    model.slope = 4.0 / max(1e-3, float(np.median(high) - model.middle))
+    return model
 
 
 def fold(id_: Column) -> Column:
@@ -272,28 +355,60 @@ def fold(id_: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, list]:
     """Texts and labels of the bounded sample that is learned from, outside of the held-out fold."""
-    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("id")) != 0)).dropDuplicates(["id"])
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("id")) != 0)).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     usable = texts.where(F.char_length("text").between(1, LONGEST)).select("id").distinct()
     own = own.join(usable, "id", "left_semi")
     some = own.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(TOXIC).unionByName(own.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(CLEAN))
-    rows = texts.join(F.broadcast(some), "id").where(F.char_length("text").between(1, LONGEST)).orderBy(F.xxhash64("id"), "id", "text").collect()
+    own = texts.where(F.char_length("text").between(1, LONGEST)).join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = own.orderBy(F.xxhash64("id"), "id").collect()  # at most TOXIC + CLEAN
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
-def _rated(model: Model, texts: list[str | None], known: dict[str, float]) -> list[float]:
-    """The probability of each text, by its highest word. known: the words of this task so far."""
+def _rated(model: Model, texts: list[str | None], known: dict[str, tuple[float, int]]) -> list[list[float]]:
+    """The raw score of each sentence of each text, by its highest unit. known: the words of this task so far, each with its score and what it looks like."""
     out = []
     for k in range(0, len(texts), 500):
-        bags = [words_of(t) for t in texts[k : k + 500]]
-        new = [w for w in set().union(*bags) if w not in known]
-        fresh = dict(zip(new, model.raw(new).tolist())) if new else {}
+        split = [sentences_of(t) for t in texts[k : k + 500]]
+        new = [w for w in set().union(*(s for doc in split for s in doc)) if w not in known]
+        fresh = dict(zip(new, zip(model.raw(new).tolist(), model.looks(new).tolist()))) if new else {}
         if len(known) + len(fresh) <= CACHED_WORDS:
             known.update(fresh)
-            out += [max(map(known.__getitem__, bag), default=model.bias) for bag in bags]
+            of = known.__getitem__
         else:
-            out += [max([fresh[w] if w in fresh else known[w] for w in bag], default=model.bias) for bag in bags]
-    return [model.probability(x) for x in out]
+            of = lambda w: fresh[w] if w in fresh else known[w]
+        pairs: dict[tuple[str, str], float] = {}
+        if model.parts is not None:
+            for doc in split:
+                for s in doc:
+                    likes = [of(w)[1] for w in s]
+                    pairs.update(((s[n], s[n + 1]), 0.0) for n, (a, b) in enumerate(zip(likes, likes[1:])) if a & 1 and b & 2)
+            if pairs:
+                pairs = dict(zip(pairs, model.raw([" ".join(p) for p in pairs]).tolist()))
+        for doc in split:
+            out.append([max([of(w)[0] for w in s] + ([pairs[p] for p in zip(s, s[1:]) if p in pairs] if pairs else [])) for s in doc])
+    return out
+
+
+def _of_texts(model: Model, texts: list[str | None], known: dict) -> list[float]:
+    return [model.probability(max(own, default=model.bias)) for own in _rated(model, texts, known)]
+
+
+def sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, sentence (from 0, those with words), words, score of every sentence: what a text's score comes from."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[float, int]] = {}
+        with task_memory(known):
+            for batch in batches:
+                for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                    rows = [(doc, n, " ".join(s), shared.value.probability(x)) for n, (s, x) in enumerate(zip(sentences_of(text), _rated(shared.value, [text], known)[0]))]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["doc_id", "sentence", "words", "score"])
+
+    rows = docs.select(filled(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, "doc_id long, sentence int, words string, score double").withColumn("doc_id", emptied(F.col("doc_id")))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,10 +416,10 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = {}
+        known: dict[str, tuple[float, int]] = {}
         with task_memory(known):
             for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "score": _rated(shared.value, batch["text"].tolist(), known)})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "score": _of_texts(shared.value, batch["text"].tolist(), known)})
 
     rows = docs.select(filled(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = rows.mapInPandas(run, "doc_id long, score double").withColumn("doc_id", emptied(F.col("doc_id")))
@@ -321,9 +436,9 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
+        known: dict[str, tuple[float, int]] = {}
         with task_memory(known):
             for texts in batches:
-                yield pd.Series(_rated(shared.value, texts.tolist(), known), dtype="float64")
+                yield pd.Series(_of_texts(shared.value, texts.tolist(), known), dtype="float64")
 
     return docs.where(score(F.col(text_col).cast("string")) < 0.5)

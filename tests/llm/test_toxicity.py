@@ -61,3 +61,55 @@ def test_gapped_insults_and_odd_rows(spark):
     none = toxicity.learned(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.scores(docs, none).collect()} == {0}
     assert toxicity.scores(docs.limit(0), model).count() == 0
+
+
+def test_phrases_and_sentences(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnop")
+    vocabulary = ["".join(rng.choice(letters, int(rng.integers(3, 8)))) for _ in range(300)]
+    prose = lambda n: [str(w) for w in rng.choice(vocabulary, n)]
+    texts = []
+    for k in range(400):
+        extra = "vile toad" if k % 4 == 0 else ["vile", "toad", "toad vile", "so vile a toad"][k % 3]
+        texts.append(". ".join([" ".join(prose(15)), " ".join([*prose(4), extra, *prose(3)]), " ".join(prose(10))]))
+    model = toxicity.fit(texts, [int(k % 4 == 0) for k in range(400)])
+    rows = [(1, "you are a vile toad and more"), (2, "a toad is vile"), (3, "one vi-le toaad here. fine words"), (4, "Nothing here.\nvile toad"), (5, "vile. toad"), (6, ""), (7, "漢字 かな 한글")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.scores(docs, model).collect()} == {1: 1, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
+    own = {(r["doc_id"], r["sentence"]): r["score"] >= 0.5 for r in toxicity.sentences(docs, model).collect()}
+    assert own == {(1, 0): True, (2, 0): False, (3, 0): True, (3, 1): False, (4, 0): False, (4, 1): True, (5, 0): False, (5, 1): False, (7, 0): False}
+
+
+def test_machine_and_kernel_by_definition():
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(1, 1, (60, 3)), rng.normal(-1, 1, (60, 3))])
+    y, weights = np.array([1.0] * 60 + [-1.0] * 60), rng.uniform(0.5, 2, 120)
+    w, b = toxicity._machine(x, y, weights)
+    loss = lambda w, b: 1e-2 * w @ w + 1e-6 * b * b + (weights * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+    best = loss(w, b)
+    assert all(loss(w + d[:3], b + d[3]) >= best - 1e-9 for d in rng.normal(0, 0.05, (300, 4)))
+    units = ["idiot", "id iot", "banana", "x"]
+    places, marks = toxicity._marks(units)
+    codes, _ = toxicity.lettered(units)
+    got = toxicity._kernel(codes, places, marks)
+
+    def phi(row):
+        out = {}
+        for i in range(len(row)):
+            for j in range(i + 1, len(row)):
+                for k in range(j + 1, min(len(row), i + toxicity.REACH)):
+                    if row[i] and row[j] and row[k]:
+                        u = (row[i], row[j], row[k])
+                        out[u] = out.get(u, 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    phis, lengths = [phi(r) for r in codes.tolist()], toxicity.norms(codes)
+    want = [[sum(v * q.get(u, 0) for u, v in p.items()) / a / b for q, b in zip(phis, lengths)] for p, a in zip(phis, lengths)]
+    assert np.allclose(got, want, atol=1e-5) and np.allclose(got[0], got[1], atol=1e-5)
+
+
+def test_sample_does_not_depend_on_order(spark):
+    docs = spark.createDataFrame([(k, f"text {k} {n}") for k in range(50) for n in range(2)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, n) for k in range(50) for n in (0, 1, None)], "doc_id long, toxic int")
+    a, b = toxicity.sample(docs, labels), toxicity.sample(docs.repartition(7, "text"), labels.repartition(5, "toxic"))
+    assert a == b and set(a[1]) == {1} and all(t.endswith(" 0") for t in a[0])
