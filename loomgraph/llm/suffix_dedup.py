@@ -6,19 +6,18 @@ with the same anchor are one region (SPAN bytes and one more for each further wi
 their anchor and of their bytes; a region is sorted only if its anchor occurs twice, and equal regions are sorted once, with
 their number. So copies, however many, meet as one region, and unique text never travels.
 
-An anchor with more than HOT different regions (a passage that very many texts share, each with other surroundings) would gather
-them all in one block. Its regions are dealt out as single windows instead, each under its own hash, so that only equal windows
-meet and counting them decides. A first reading finds these anchors: a task names those of which it has two or more different
-regions, so one that is missed has at most HOT regions and one more for each task. Every task reads the list of them; HOT grows
-with the regions named in all, so that the list holds at most MOST_HOT (32 MB), whatever the input.
-
-Sorting. The regions of an anchor come together in a block, whose windows are sorted in two stages: a suffix that is smaller
-than its successor is sorted directly by its first SPAN bytes; the others are induced from it by one scan of the buckets of first bytes, in
-ascending order (a suffix larger than its successor follows from the place of its successor, which stands in an earlier bucket, or earlier in the same
-one). Neighbours in the order with a common prefix of SPAN bytes or more are repeats, as are windows of a region found twice.
-
-Texts are read four times (hot anchors, anchors, regions, removal) and never shuffled. A task sends each distinct region's hashes and count
-once, however often it has it. What the later readings need is written to the shared folder by the number of the
+An anchor with more than HOT different regions, or more than LOCAL in one task (a passage that very many texts share, each with other surroundings),
+would gather them all in one block. A task names such an anchor in place of its regions, and the count over all tasks is exact for the
+others. The regions of these anchors are dealt out as single windows, each under its own hash, so that only equal windows meet;
+that takes a reading more. A task is told only of the anchors that it has itself.
+
+Sorting. The regions of an anchor come together in a block, and a region found more than once stands there twice. The block's windows are
+sorted in two stages: a suffix that is smaller than its successor is sorted directly by its first SPAN bytes; the others are induced from it by
+one scan of the buckets of first bytes, in ascending order (a suffix larger than its successor follows from the place of its successor, which
+stands in an earlier bucket, or earlier in the same one). Neighbours in the order with a common prefix of SPAN bytes or more are repeats.
+
+Texts are read three times (anchors, regions, removal; a fourth time for single windows) and never shuffled. A task sends each distinct
+region's hashes and count once, however often it has it. What the later readings need is written to the shared folder by the number of the
 task that needs it; a task that doesn't find what it was asked for stops. Input that comes out of a shuffle is written down first, so that a
 task's texts are the same each time.
 
@@ -31,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,7 +51,8 @@ REGION = np.dtype([("h", "<u8"), ("r", "<u8"), ("n", "<u2"), ("count", "<u4")])
 RUN = np.dtype([("h", "<u8"), ("r", "<u8"), ("first", "<u2"), ("last", "<u2")])
 BLOCK = 700_000
 HOT = 20_000
-MOST_HOT = 4_000_000
+LOCAL = 64
+MOST_FOLDERS = 4096
 NO_ANCHORS = np.zeros(0, "<u8")
 
 
@@ -90,10 +90,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray, hot: np.ndarray = NO_ANCHORS) -> tuple[np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, starts: np.ndarray, hot: np.ndarray = NO_ANCHORS, only_hot: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The regions of texts that stand one after the other in raw, and where they begin; starts: of each text, and the end.
 
-    The regions of hot anchors come as single windows, under hashes of their own.
+    The regions of hot anchors come as single windows, under hashes of their own; on demand they alone.
     """
     none = np.zeros(0, REGION), np.zeros(0, "int64")
     w = SPAN - GRAM + 1
@@ -124,12 +124,14 @@ def anchors(raw: np.ndarray, starts: np.ndarray, hot: np.ndarray = NO_ANCHORS) -
     out["h"], out["n"], out["count"] = gram[own[new]], hi - lo + 1, 1
     out["r"] = mixed(hashes.of(lo, hi + SPAN) + (own[new] - lo).astype("u8") + ((hi - lo).astype("u8") << np.uint64(32)))
     if not len(hot) or not (split := np.isin(out["h"], hot)).any():
-        return out, lo
+        return none if only_hot else (out, lo)
     n = out["n"][split].astype("int64")
     first = np.repeat(lo[split], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     single = np.zeros(len(first), REGION)
     window = hashes.of(first, first + SPAN)
     single["h"], single["r"], single["n"], single["count"] = mixed(window + np.uint64(1)), mixed(window + np.uint64(2)), 1, 1
+    if only_hot:
+        return single, first
     out, lo = np.concatenate([out[~split], single]), np.concatenate([lo[~split], first])
     order = np.argsort(lo, kind="stable")
     return out[order], lo[order]
@@ -275,21 +277,19 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def repeats(regions: list[bytes], counts: np.ndarray, twice: np.ndarray) -> list[list[tuple[int, int]]]:
-    """The runs (first, last) of repeated windows of each region. twice: the region itself was found more than once."""
-    pad = bytes(SPAN)
-    text = np.frombuffer(pad.join([*regions, b""]) + b"\xff" * 8, "u1")
+    """The runs (first, last) of repeated windows of each region. twice: the region was found more than once, and so stands twice in what is sorted."""
+    pad, again = bytes(SPAN), np.flatnonzero(twice)
+    text = np.frombuffer(pad.join([*regions, *(regions[k] for k in again.tolist()), b""]) + b"\xff" * 8, "u1")
     sizes = np.array([len(r) + SPAN for r in regions], "int64")
+    sizes, numbers = np.concatenate([sizes, sizes[again]]), np.concatenate([counts, counts[again]])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    order = sorted_windows(text, starts, counts)
+    order = sorted_windows(text, starts, numbers)
     same = common_prefixes(text, order)
     flags = np.zeros(len(text) + 1, bool)
     flags[order[:-1][same]] = True
     flags[order[1:][same]] = True
     out = []
-    for start, n, all_of_it in zip(starts.tolist(), counts.tolist(), twice.tolist()):
-        if all_of_it:
-            out.append([(0, n - 1)])
-            continue
+    for start, n in zip(starts[: len(regions)].tolist(), counts.tolist()):
         own = np.flatnonzero(np.diff(np.concatenate([[False], flags[start : start + n], [False]]).astype("i1")))
         out.append([(a, b - 1) for a, b in zip(own[::2].tolist(), own[1::2].tolist())])
     return out
@@ -306,20 +306,22 @@ def removed(size: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def _ask(spark, rows: DataFrame, folder: str, parts: int) -> str:
-    """Write rows (task, blob) so that a task can read its own."""
-    rows.repartition(parts, "task").write.partitionBy("task").parquet(folder)
-    return folder
+def _ask(rows: DataFrame, folder: str, tasks: int) -> tuple[str, int]:
+    """Write rows (task, blob) so that a task can read its own; the folder, and how many tasks share a part of it."""
+    share = -(-tasks // MOST_FOLDERS)
+    rows = rows.withColumn("part", F.expr(f"task div {share}")).repartition(min(tasks, MOST_FOLDERS), "part").sortWithinPartitions("part", "task")
+    rows.write.option("parquet.block.size", 8 << 20).partitionBy("part").parquet(folder)
+    return folder, share
 
 
-def _asked(folder: str, task: int, dtype: np.dtype) -> np.ndarray:
+def _asked(where: tuple[str, int], task: int, dtype: np.dtype) -> np.ndarray:
     import pyarrow.parquet as pq
 
-    fs, root = opened(folder)
+    fs, root = opened(where[0])
     from pyarrow.fs import FileSelector
 
-    files = [f.path for f in fs.get_file_info(FileSelector(f"{root}/task={task}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    blobs = [b for f in sorted(files) for b in pq.read_table(f, columns=["blob"], filesystem=fs, partitioning=None).column("blob").to_pylist()]
+    files = [f.path for f in fs.get_file_info(FileSelector(f"{root}/part={task // where[1]}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    blobs = [b for f in sorted(files) for b in pq.read_table(f, columns=["blob"], filesystem=fs, partitioning=None, filters=[("task", "=", task)]).column("blob").to_pylist()]
     return np.frombuffer(b"".join(blobs), dtype)
 
 
@@ -333,77 +335,97 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield from zip(batch["id"].tolist(), batch["text"].tolist())
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """The texts as (id, text) in tasks that keep theirs, and the folder with the hot anchors and the runs of repeated windows for each task."""
+def _split(regions: np.ndarray, task: int, parts: int) -> pd.DataFrame:
+    part = (regions["h"] % np.uint64(parts)).astype("int64")
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = [(k, task, regions[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return pd.DataFrame(rows, columns=["part", "task", "blob"])
+
+
+def crowded(regions: np.ndarray, local: int) -> np.ndarray:
+    """summed() regions of a task, with one row of no windows in place of more than `local` of one anchor."""
+    if not len(regions):
+        return regions
+    first = np.flatnonzero(np.concatenate([[True], regions["h"][1:] != regions["h"][:-1]]))
+    n = np.diff(np.concatenate([first, [len(regions)]]))
+    many = np.repeat(n > local, n)
+    many[first] = False
+    out = regions.copy()
+    out["n"][first[n > local]] = 0
+    return out[~many]
+
+
+def meet(rows: pd.DataFrame, hot_above: int) -> pd.DataFrame:
+    """Regions whose anchor occurs twice: for the task that is to send each (kind 0), and all tasks that have it (kind 1). Crowded anchors: for all tasks that have them (kind 2)."""
+    part = int(rows["part"].iloc[0])
+    rows = rows.sort_values("task")
+    blobs = [np.frombuffer(b, REGION) for b in rows["blob"]]
+    regions = np.concatenate(blobs)
+    task = np.repeat(rows["task"].to_numpy(), [len(b) for b in blobs])
+    order = np.lexsort((task, regions["r"], regions["h"]))
+    regions, task = regions[order].copy(), task[order]
+    other_h = np.concatenate([[True], regions["h"][1:] != regions["h"][:-1]])
+    other = other_h | np.concatenate([[True], regions["r"][1:] != regions["r"][:-1]])
+    first_h, first, of = np.flatnonzero(other_h), np.flatnonzero(other), np.cumsum(other_h) - 1
+    often = (np.add.reduceat(regions["count"].astype("int64"), first_h) > 1)[of]
+    hot = ((np.add.reduceat(other.astype("int64"), first_h) > hot_above) | (np.minimum.reduceat(regions["n"], first_h) == 0))[of]
+    regions["count"][first] = np.minimum(np.add.reduceat(regions["count"].astype("int64"), first), 2**32 - 1)
+    out = []
+    for kind, chosen in ((0, np.flatnonzero(other & often & ~hot)), (1, np.flatnonzero(often & ~hot)), (2, np.flatnonzero(hot))):
+        by = chosen[np.argsort(task[chosen], kind="stable")]
+        for some in np.split(by, np.flatnonzero(np.diff(task[by])) + 1) if len(by) else []:
+            blob = np.unique(regions["h"][some]) if kind == 2 else regions[some]
+            out.append((part, kind, int(task[some[0]]), blob.tobytes()))
+    return pd.DataFrame(out, columns=["part", "kind", "task", "blob"])
+
+
+Folders = dict[str, tuple[str, int]]
+
+
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Folders]:
+    """The texts as (id, text) in tasks that keep theirs, and the folders with the hot anchors and the runs of repeated windows for each task."""
     spark = docs.sparkSession
     texts = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     tasks = max(1, texts.rdd.getNumPartitions())
-    parts = 2 * tasks
+    parts, local = 2 * tasks, LOCAL
     folder = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
 
-    def own_regions(batches: Iterator[pd.DataFrame], hot: np.ndarray) -> np.ndarray:
+    def own_regions(batches: Iterator[pd.DataFrame], hot: np.ndarray, only_hot: bool) -> np.ndarray:
         held, size = [], 0
         for _, _, raw, starts in chunks(_texts(batches)):
-            held.append(summed(anchors(raw, starts, hot)[0]))
+            held.append(summed(anchors(raw, starts, hot, only_hot)[0]))
             size += len(held[-1])
             if size > 1_000_000:
                 held = [summed(np.concatenate(held))]
                 size = 0
         return summed(np.concatenate(held)) if held else np.zeros(0, REGION)
 
-    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The anchors of which this task has two or more different regions."""
-        h = own_regions(batches, NO_ANCHORS)["h"]
-        if len(h):
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            n = np.diff(np.concatenate([first, [len(h)]]))
-            names = h[first[n > 1]].tobytes()
-            yield pd.DataFrame({"blob": [names[k : k + 8] for k in range(0, len(names), 8)], "n": n[n > 1]})
-
-    some = cut(texts.mapInPandas(several, "blob binary, n long"))
-    named = some.agg(F.sum("n")).first()[0] or 0
-    many = some.groupBy("blob").agg(F.sum("n").alias("n")).where(F.col("n") > max(HOT, named // MOST_HOT))
-    hot = _ask(spark, many.select(F.lit(0).alias("task"), "blob"), f"{folder}/hot", 1)
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = crowded(own_regions(batches, NO_ANCHORS, False), local)
+        if len(own):
+            yield _split(own, TaskContext.get().partitionId(), parts)
+
+    def count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        own = own_regions(batches, _asked(hot, 0, NO_ANCHORS.dtype))
+        split = _asked(hot, task, NO_ANCHORS.dtype)
+        own = own_regions(batches if len(split) else iter(()), split, True)
         if len(own):
-            part = (own["h"] % np.uint64(parts)).astype("int64")
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(k, task, own[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            yield pd.DataFrame(rows, columns=["part", "task", "blob"])
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        """Regions whose anchor occurs twice: for the task that is to send each (kind 0), and all tasks that have it (kind 1)."""
-        part = int(rows["part"].iloc[0])
-        rows = rows.sort_values("task")
-        blobs = [np.frombuffer(b, REGION) for b in rows["blob"]]
-        regions = np.concatenate(blobs)
-        task = np.repeat(rows["task"].to_numpy(), [len(b) for b in blobs])
-        order = np.lexsort((task, regions["r"], regions["h"]))
-        regions, task = regions[order], task[order]
-        other_h = np.concatenate([[True], regions["h"][1:] != regions["h"][:-1]])
-        other = other_h | np.concatenate([[True], regions["r"][1:] != regions["r"][:-1]])
-        first_h, first = np.flatnonzero(other_h), np.flatnonzero(other)
-        total = np.add.reduceat(regions["count"].astype("int64"), first_h)
-        often = (total > 1)[np.cumsum(other_h) - 1]
-        regions = regions.copy()
-        regions["count"][first] = np.minimum(np.add.reduceat(regions["count"].astype("int64"), first), 2**32 - 1)
-        out = []
-        for kind, chosen in ((0, np.flatnonzero(other & often)), (1, np.flatnonzero(often))):
-            by = chosen[np.argsort(task[chosen], kind="stable")]
-            for some in np.split(by, np.flatnonzero(np.diff(task[by])) + 1) if len(by) else []:
-                out.append((part, kind, int(task[some[0]]), regions[some].tobytes()))
-        return pd.DataFrame(out, columns=["part", "kind", "task", "blob"])
+            yield _split(own, task, parts)
+
+    def met_by_part(counts: Callable, hot_above: int) -> DataFrame:
+        made = texts.mapInPandas(counts, "part int, task int, blob binary").groupBy("part")
+        return cut(made.applyInPandas(lambda rows: meet(rows, hot_above), "part int, kind int, task int, blob binary"))
 
-    met = cut(texts.mapInPandas(count, "part int, task int, blob binary").groupBy("part").applyInPandas(meet, "part int, kind int, task int, blob binary"))
-    wanted = _ask(spark, met.where("kind = 0").select("task", "blob"), f"{folder}/regions", tasks)
+    met = met_by_part(count, HOT)
+    hot = _ask(met.where("kind = 2").select("task", "blob"), f"{folder}/hot", tasks)
+    if not met.where("kind = 2").isEmpty():
+        met = met.where("kind < 2").unionByName(met_by_part(count_windows, 2**63 - 1))
+    wanted = _ask(met.where("kind = 0").select("task", "blob"), f"{folder}/regions", tasks)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        ask, split = _asked(wanted, task, REGION), _asked(hot, 0, NO_ANCHORS.dtype)
+        ask, split = _asked(wanted, task, REGION), _asked(hot, task, NO_ANCHORS.dtype)
         ask = ask[np.argsort(ask["r"], kind="stable")]
         sent = np.zeros(len(ask), bool)
         for _, _, raw, starts in chunks(_texts(batches)):
@@ -455,13 +477,12 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
 
     sent = texts.mapInPandas(send, "part int, heads binary, bytes binary")
     runs = sent.groupBy("part").cogroup(met.where("kind = 1").groupBy("part")).applyInPandas(sort, "task int, blob binary")
-    _ask(spark, runs, f"{folder}/runs", tasks)
-    return texts, folder
+    return texts, {"hot": hot, "runs": _ask(runs, f"{folder}/runs", tasks)}
 
 
-def spans(texts: Iterator[tuple], folder: str, task: int) -> Iterator[tuple]:
+def spans(texts: Iterator[tuple], folders: Folders, task: int) -> Iterator[tuple]:
     """(id, bytes, removed parts) of each text of a task."""
-    runs, hot = _asked(f"{folder}/runs", task, RUN), _asked(f"{folder}/hot", 0, NO_ANCHORS.dtype)
+    runs, hot = _asked(folders["runs"], task, RUN), _asked(folders["hot"], task, NO_ANCHORS.dtype)
     runs = runs[np.lexsort((runs["first"], runs["r"]))]
     for ids, raws, raw, starts in chunks(texts):
         regions, lo = anchors(raw, starts, hot)
@@ -485,12 +506,12 @@ def cut_out(text: bytes, parts: list[tuple[int, int]]) -> bytes:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    texts, folder = marked(docs.withColumn(id_col, filled(F.col(id_col))), id_col, text_col)
+    texts, folders = marked(docs.withColumn(id_col, filled(F.col(id_col))), id_col, text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        for id_, text, parts in spans(_texts(batches), folder, TaskContext.get().partitionId()):
+        for id_, text, parts in spans(_texts(batches), folders, TaskContext.get().partitionId()):
             out.append((id_, len(text), sum(b - a for a, b in parts), len(parts), hashlib.sha256(cut_out(text, parts)).hexdigest()))
             if len(out) >= 10_000:
                 yield pd.DataFrame(out, columns=columns)
@@ -506,7 +527,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with repeats cut out of the text; all other columns stay. A character that is cut in two goes; null texts stay null."""
     schema, names = docs.schema, docs.columns
     others = F.struct(*[F.col(c) for c in names if c != text_col])
-    texts, folder = marked(docs.select(others.alias("__rest"), text_col), "__rest", text_col)
+    texts, folders = marked(docs.select(others.alias("__rest"), text_col), "__rest", text_col)
     rest = texts.schema["id"].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -518,7 +539,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield id_, text
 
         ids, kept = [], []
-        for k, (id_, text, parts) in enumerate(spans(seen(), folder, TaskContext.get().partitionId())):
+        for k, (id_, text, parts) in enumerate(spans(seen(), folders, TaskContext.get().partitionId())):
             ids.append(id_)
             kept.append(None if nulls[k] else cut_out(text, parts).decode("utf-8", "ignore"))
             if len(ids) >= 1000:

@@ -92,14 +92,14 @@ def test_hot_anchors(spark, monkeypatch):
     rows = [(k, f"{prose(30)} {passage} {prose(30)}") for k in range(40)] + made_up()[:60]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    for hot, n in ((2, 3), (8, 12), (0, 1)):
+    for hot, local, n in ((2, 64, 3), (8, 64, 12), (0, 64, 1), (1000, 4, 3), (3, 1, 40)):
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
-        texts, folder = suffix_dedup.marked(docs.repartition(n))
-        assert len(suffix_dedup._asked(f"{folder}/hot", 0, suffix_dedup.NO_ANCHORS.dtype)) > 0
+        monkeypatch.setattr(suffix_dedup, "LOCAL", local)
+        monkeypatch.setattr(suffix_dedup, "MOST_FOLDERS", 2 if n == 12 else 4096)
+        texts, folders = suffix_dedup.marked(docs.repartition(n))
+        named = [len(suffix_dedup._asked(folders["hot"], k, suffix_dedup.NO_ANCHORS.dtype)) for k in range(n)]
+        assert sum(named) > 0
         assert sorted(map(tuple, suffix_dedup.digests(docs.repartition(n)).collect()), key=str) == want
-    monkeypatch.setattr(suffix_dedup, "MOST_HOT", 1)  # the list is bounded
-    texts, folder = suffix_dedup.marked(docs.repartition(3))
-    assert len(suffix_dedup._asked(f"{folder}/hot", 0, suffix_dedup.NO_ANCHORS.dtype)) <= 1
 
 
 def test_sf(spark):
