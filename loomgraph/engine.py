@@ -13,7 +13,7 @@ from loomgraph import schema
 from loomgraph.config import Config
 from loomgraph.functions import extract
 from loomgraph.functions import names as N
-from loomgraph.operators import crosslang, graph, history, resolve, search
+from loomgraph.operators import crosslang, flow, graph, history, resolve, search
 from loomgraph.sources import readers
 from loomgraph.storage import cut, numbered
 
@@ -112,11 +112,27 @@ class Engine:
     def _first(self, name: str) -> DataFrame:
         return graph.lookup(self.nodes, name).withColumn("rank", N.type_rank(F.col("type"))).orderBy("rank", "ord").limit(1)
 
-    def flow(self, name: str, direction: str = "forward", depth: int = 3) -> DataFrame:
-        """The call tree as rows with a path, to bounded depth, children and nodes."""
-        edges = self.edges if direction == "forward" else self.edges.withColumns({"source": F.col("target"), "target": F.col("source")})
-        rows = graph.reachable(edges, self._first(name).select("id"), graph.CALLS, min(depth, self.config.max_depth), self.config.max_children)
-        return rows.orderBy("ords").limit(self.config.max_nodes)
+    def _start(self, name: str) -> DataFrame:
+        """The first function of a name, or the first node of it; by similar names if none has it."""
+        rank = F.when(F.col("type").isin("Function", "Method"), 0).otherwise(1)
+        return graph.lookup(self.nodes, name).withColumn("rank", rank).orderBy("rank", "ord").limit(1).select("id")
+
+    def flow(self, name: str, direction: str = "forward", depth: int = 3, target: str | None = None) -> DataFrame:
+        """The call tree in the order of a depth-first visit, to bounded depth, children and nodes."""
+        rows = flow.tree(self.nodes, self.edges, self._start(name), direction, min(depth, self.config.max_depth), target, self.config.max_children, self.config.max_nodes)
+        return rows.join(self.nodes.select("id", "name", "type", "token_count", "lineno"), "id", "left").orderBy("ord")
+
+    def alternatives(self, name: str, limit: int = 5) -> DataFrame:
+        """The symbol that a name is taken to mean (place 0) and the next ones, in the order of the graph."""
+        rows = graph.lookup(self.nodes, name)
+        only = rows.where(F.col("type").isin("Function", "Method"))
+        rows = rows if only.isEmpty() else only
+        return search.ranked(rows.orderBy("ord").limit(limit + 1), "ord").select(F.col("rank").alias("place"), "id", "name", N.file_of(F.col("id")).alias("file"))
+
+    def expand(self, node_id: str, budget: int = 2000, depth: int = 1) -> DataFrame:
+        """What a node calls, small code inlined while it fits the budget."""
+        start = self.nodes.where(F.col("id") == node_id).select("id")
+        return flow.expansion(self.nodes, self.edges, start, budget, min(depth, 3), children=self.config.max_children, most=self.config.max_nodes).orderBy("ord")
 
     def path(self, start: str, end: str, depth: int = 3, direction: str = "forward") -> DataFrame:
         """The shortest path between two names, with a status: found, or none within the depth."""

@@ -20,16 +20,24 @@ def stripped(path):
 def match(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     """The endpoint of each request (id, method, path): exact, then by template, then both again without a prefix.
 
-    endpoints: ord, method, path, operation. A template meets only paths of as many segments; of several the first in the specification wins.
+    endpoints: ord, method, path, operation. Endpoints are joined by their literal segments: a shape says which segments of a template
+    have a parameter, and a request is looked up once for each shape of its method and length, with these segments left out. Of several the first in the specification wins.
     """
-    tried = requests.select("id", "method", "path", F.lit(0).alias("try")).unionByName(requests.select("id", "method", stripped(F.col("path")).alias("path"), F.lit(1).alias("try")).join(requests.select("id", F.col("path").alias("old")), "id").where("path <> old").drop("old"))
-    seg = lambda c: F.split(c, "/")
-    spec = endpoints.select("ord", "method", F.col("path").alias("template"), "operation", F.size(seg("path")).alias("n"))
-    hits = tried.withColumn("n", F.size(seg("path"))).join(spec, ["method", "n"])
-    fits = F.forall(F.zip_with(seg("path"), seg("template"), lambda a, b: (a == b) | (b.rlike(r"^\{[^}]*\}$") & (a != ""))), lambda x: x)
-    hits = hits.where(fits)
+    segments = F.split("path", "/")
+    open_ = lambda s: s.rlike(r"\{[^}]*\}")
+    spec = endpoints.select("ord", "method", F.col("path").alias("template"), "operation", segments.alias("parts"), F.size(segments).alias("n"), F.transform(segments, open_).alias("shape"))
+    literal = lambda parts, shape: F.array_join(F.zip_with(parts, shape, lambda p, o: F.when(o, "{}").otherwise(p)), "/")
+    spec = spec.withColumn("key", literal("parts", "shape"))
+    shapes = spec.select("method", "n", "shape").distinct()  # far fewer than endpoints
+    tries = F.array_compact(F.array(F.struct(F.lit(0).alias("try"), F.col("path")), F.when(stripped(F.col("path")) != F.col("path"), F.struct(F.lit(1).alias("try"), stripped(F.col("path")).alias("path")))))
+    tried = requests.select("id", "method", F.explode(tries).alias("t")).select("id", "method", "t.*").withColumns({"own": segments, "n": F.size(segments)})
+    asked = tried.join(shapes, ["method", "n"]).withColumn("key", literal("own", "shape"))
+    hits = asked.join(spec.drop("n"), ["method", "shape", "key"])
+    # a segment with a parameter: its other characters as they are, at least one character for each parameter
+    pattern = lambda s: F.concat(F.lit("^\\Q"), F.regexp_replace(F.regexp_replace(s, r"\\E", r"\\E\\\\E\\Q"), r"\{[^}]*\}", r"\\E[^/]+\\Q"), F.lit("\\E$"))
+    fits = F.forall(F.zip_with(F.zip_with("own", "parts", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), "shape", lambda x, o: ~o | F.rlike(x["a"], pattern(x["b"]))), lambda x: x)
     best = F.min_by(F.struct("template", "operation"), F.struct("try", (F.col("path") != F.col("template")).alias("loose"), "ord"))
-    found = hits.groupBy("id").agg(best.alias("b")).select("id", "b.template", "b.operation")
+    found = hits.where(fits).groupBy("id").agg(best.alias("b")).select("id", "b.template", "b.operation")
     return requests.select("id").join(found, "id", "left")
 
 

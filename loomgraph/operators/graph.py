@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names as N
+from loomgraph.storage import cut
 
 CALLS = ["CALLS", "CALLS_RESOLVED", "INSTANTIATES", "INSTANTIATES_RESOLVED"]
 
@@ -52,21 +53,30 @@ def lookup(nodes: DataFrame, query: str, fuzzy: bool = True) -> DataFrame:
     return hits.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")  # best: one row
 
 
-def call_targets(nodes: DataFrame, query: str) -> DataFrame:
+def call_targets(nodes: DataFrame, query: str, fuzzy: bool = False) -> DataFrame:
     """The targets that stand for a name: its nodes, and references to it."""
     base = query.split("::")[-1].split(".")[-1]
-    ids = lookup(nodes, query, fuzzy=False).select(F.col("id").alias("target"))
+    ids = lookup(nodes, query, fuzzy).select(F.col("id").alias("target"))
     same = nodes.where(F.col("id").endswith("::" + query) | F.col("id").endswith("::" + base)).select(F.col("id").alias("target"))
     refs = nodes.sparkSession.createDataFrame([(t,) for t in dict.fromkeys([query, f"REF:{query}", f"REF:{base}"])], "target string")
     return ids.unionByName(same).unionByName(refs).distinct()
 
 
-def callers(nodes: DataFrame, edges: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
-    """G1: who calls a name, with what is known of each caller."""
+def _callers(nodes: DataFrame, edges: DataFrame, query: str, fuzzy: bool) -> DataFrame:
     base = query.split("::")[-1].split(".")[-1]
     calls = edges.where(F.col("relation").isin(CALLS))
-    refers = F.col("target").startswith("REF:") & (F.col("target").endswith("::" + base) | F.col("target").endswith("." + base))
-    hits = calls.join(call_targets(nodes, query), "target", "left_semi").unionByName(calls.where(refers)).select(F.col("source").alias("id")).distinct()
+    suffix = F.col("target").endswith("::" + base) | F.col("target").endswith("." + base)
+    if fuzzy and len(query) >= 3:
+        suffix = suffix | F.substring_index(F.substring_index(F.expr("substring(target, 5)"), "::", -1), ".", -1).startswith(query)
+    refers = calls.where(F.col("target").startswith("REF:") & suffix)
+    return calls.join(call_targets(nodes, query, fuzzy), "target", "left_semi").unionByName(refers).select(F.col("source").alias("id")).distinct()
+
+
+def callers(nodes: DataFrame, edges: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+    """G1: who calls a name, with what is known of each caller; names that begin with it only if none has it."""
+    hits = _callers(nodes, edges, query, False)
+    if hits.isEmpty():
+        hits = _callers(nodes, edges, query, True)
     out = hits.join(nodes.select("id", "name", "type", "token_count"), "id", "left")
     return out.orderBy("id").limit(limit) if limit else out
 
@@ -135,21 +145,19 @@ def flatten(nodes: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
     return first_of(chain.join(owned, "ancestor"), ["id", "name"], ["steps", "ord"]).select("id", "name", "method", "steps")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, relations: list[str], depth: int = 3, fan_out: int | None = None) -> DataFrame:
-    """Nodes within depth calls of the starts (id), with the shortest path, ties by the order of its edges.
+def reachable(edges: DataFrame, starts: DataFrame, relations: list[str], depth: int = 3) -> DataFrame:
+    """Nodes within depth calls of the starts (id), with the shortest path, ties by the order of its edges.
 
-    fan_out keeps the first children of each node, as a feature of the bounded view.
+    Each level is written down, and only the edges of its nodes are grouped.
     """
-    step = edges.where(F.col("relation").isin(relations)).groupBy("source", "target").agg(F.min("ord").alias("ord"))
-    if fan_out:
-        step = step.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("ord", "target"))).where(F.col("k") <= fan_out).drop("k")
-    level = starts.select("id", F.array(F.col("id")).alias("path"), F.array().cast("array<bigint>").alias("ords"), F.lit(0).alias("steps"))
+    called = edges.where(F.col("relation").isin(relations)).select("source", "target", "ord")
+    level = cut(starts.select("id", F.array(F.col("id")).alias("path"), F.array().cast("array<bigint>").alias("ords"), F.lit(0).alias("steps")))
     seen = level
     for k in range(1, depth + 1):
-        new = level.join(step, level["id"] == step["source"]).where(~F.array_contains("path", F.col("target")))
-        new = new.select(F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"), F.concat("ords", F.array("ord")).alias("ords"), F.lit(k).alias("steps"))
+        step = level.join(called, level["id"] == called["source"]).groupBy("id", "path", "ords", "target").agg(F.min("ord").alias("ord"))
+        new = step.select(F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"), F.concat("ords", F.array("ord")).alias("ords"), F.lit(k).alias("steps"))
         new = new.groupBy("id").agg(F.min_by(F.struct("path", "ords", "steps"), F.struct("ords", "path")).alias("b")).select("id", "b.*")
-        level = new.join(seen.select("id"), "id", "left_anti")
+        level = cut(new.join(seen.select("id"), "id", "left_anti"))
         seen = seen.unionByName(level)
     return seen
 

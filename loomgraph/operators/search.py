@@ -28,43 +28,41 @@ def idf(docs: DataFrame) -> DataFrame:
     return terms.join(F.broadcast(total)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # total: one row
 
 
-def idf_of(docs: DataFrame, terms: list[str]) -> dict[str, float]:
-    """The IDF of a few terms (as many rows as terms)."""
-    text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("docstring", F.lit("")))
-    own = N.tokens(text)
-    row = docs.select(own.alias("t")).agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("t", t)).alias(f"d{k}") for k, t in enumerate(terms)]).first()
-    import math
-
-    return {t: math.log((row["n"] + 1) / (row[f"d{k}"] + 1)) + 1 for k, t in enumerate(terms) if row[f"d{k}"]}
-
-
-def prepared(docs: DataFrame) -> DataFrame:
-    """Lower-cased texts and their tokens, made once a row and used by all parts of the score."""
+def term_stats(docs: DataFrame, terms: list[str], keep: Column) -> DataFrame:
+    """What the score needs of each row that has any of the terms in it: small numbers, made from its texts once and written down. keep: whether filters let the row through."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    rows = docs.withColumns({"__name": low("name"), "__sig": low("signature"), "__full": F.concat_ws(" ", low("name"), low("docstring"), low("signature"))})
-    return rows.withColumns({"__name_tokens": N.tokens(low("name")), "__doc_tokens": N.tokens(low("docstring")), "__full_tokens": N.tokens(F.col("__full"))})
+    rows = docs.withColumns({"__name": low("name"), "__doc": low("docstring"), "__sig": low("signature")})
+    rows = rows.where(N.either([F.contains(F.col(c), F.lit(t)) for t in terms for c in ("__name", "__doc", "__sig")]))
+    rows = rows.withColumns({f"{c}_tokens": N.tokens(F.col(c)) for c in ("__name", "__doc", "__sig")})
+    name, sig, name_tokens, doc_tokens = (F.col(c) for c in ("__name", "__sig", "__name_tokens", "__doc_tokens"))
+    of = lambda toks, t: F.size(toks) - F.size(F.array_remove(toks, t))
+    out = [F.size(name_tokens).alias("names"), F.size(doc_tokens).alias("words")]
+    for k, t in enumerate(terms):
+        out += [of(name_tokens, t).alias(f"n{k}"), of(doc_tokens, t).alias(f"d{k}"), F.contains(sig, F.lit(t)).alias(f"s{k}")]
+        out.append(F.when(name == t, 2).when(F.contains(name, F.lit(t)), 1).otherwise(0).alias(f"e{k}"))
+    if len(terms) > 1:
+        joined, spaced, full = F.lit("_".join(terms)), F.lit(" ".join(terms)), F.concat_ws(" ", "__name", "__doc", "__sig")
+        all_in = F.lit(True)
+        for t in terms:
+            all_in = all_in & (F.contains(name, F.lit(t)) | F.contains(F.col("__doc"), F.lit(t)) | F.contains(sig, F.lit(t)))
+        out.append(F.when(F.contains(name, joined) | F.contains(full, joined), 500.0).when(F.contains(full, spaced), 200.0).otherwise(0.0).alias("phrase"))
+        out.append(F.when(all_in, proximity(F.concat("__name_tokens", "__doc_tokens", "__sig_tokens"), terms)).otherwise(False).alias("near"))
+    return cut(rows.select("id", "ord", "type", "in_degree", keep.alias("keep"), *out))
 
 
-def score(terms: list[str], idfs: dict[str, float], in_degree: Column | None = None) -> Column:
-    """The keyword score of a prepared row, as one column expression."""
-    name, sig, full, name_tokens, doc_tokens, full_tokens = (F.col(f"__{c}") for c in ("name", "sig", "full", "name_tokens", "doc_tokens", "full_tokens"))
+def score(terms: list[str], idfs: list[Column]) -> Column:
+    """The keyword score of a row of term_stats."""
     total, found = F.lit(0.0), F.lit(0)
-    for t in terms:
-        weight = F.lit(float(idfs.get(t, 1.0)))
-        tf = lambda toks, t=t: F.size(F.filter(toks, lambda x: x == t)) / F.greatest(F.size(toks), F.lit(1))
-        in_name, in_doc, in_sig = tf(name_tokens), tf(doc_tokens), F.contains(sig, F.lit(t))
+    for k, weight in enumerate(idfs):
+        in_name, in_doc, in_sig = F.col(f"n{k}") / F.greatest("names", F.lit(1)), F.col(f"d{k}") / F.greatest("words", F.lit(1)), F.col(f"s{k}")
         total = total + in_name * weight * 10 + in_doc * weight + F.when(in_sig, weight * 2).otherwise(0.0)
-        total = total + F.when(name == t, F.lit(50.0)).when(F.contains(name, F.lit(t)), weight * 5).otherwise(0.0)
+        total = total + F.when(F.col(f"e{k}") == 2, F.lit(50.0)).when(F.col(f"e{k}") == 1, weight * 5).otherwise(0.0)
         found = found + F.when((in_name > 0) | (in_doc > 0) | in_sig, 1).otherwise(0)
     if len(terms) > 1:
-        joined, spaced = "_".join(terms), " ".join(terms)
-        phrase = F.when(F.contains(name, F.lit(joined)) | F.contains(full, F.lit(joined)), 500.0).when(F.contains(full, F.lit(spaced)), 200.0).otherwise(0.0)
-        near = F.when(proximity(full_tokens, terms), 100.0).otherwise(0.0)
         part = found / F.lit(len(terms))
-        total = F.when(found == len(terms), 1000 + total * 2 + phrase + near).when(found > 0, F.least(total * part * part, F.lit(999.0))).otherwise(total)
-    more = boost(F.col("type"), BOOST, 0.2)
-    if in_degree is not None:
-        more = more + F.when(in_degree > 0, F.log(1 + in_degree) * 5).otherwise(0.0)
+        whole = 1000 + total * 2 + F.col("phrase") + F.when(F.col("near"), 100.0).otherwise(0.0)
+        total = F.when(found == len(terms), whole).when(found > 0, F.least(total * part * part, F.lit(999.0))).otherwise(total)
+    more = boost(F.col("type"), BOOST, 0.2) + F.when(F.col("in_degree") > 0, F.log(1 + F.col("in_degree")) * 5).otherwise(0.0)
     return F.when(total > 0, total + more).otherwise(F.lit(0.0))
 
 
@@ -81,20 +79,27 @@ def proximity(tokens: Column, terms: list[str]) -> Column:
 
 
 def search(docs: DataFrame, terms: list[str], limit: int = 10, lang: str | None = None, crate: str | None = None, symbol_type: str | None = None, exclude_tests: bool = False) -> DataFrame:
-    """The best rows for some terms. An unknown crate gives nothing; an unknown language or type is no filter."""
+    """The best rows for some terms; frequencies count all rows. An unknown crate gives nothing; an unknown language or type is no filter."""
     terms = [t.lower() for t in terms if t and t.strip()]
-    rows = docs if terms else docs.limit(0)
+    if not terms:
+        return docs.limit(0).select("id", "ord", F.lit(0.0).alias("score"))
+    keep = F.lit(True)
     if exclude_tests:
-        rows = rows.where(~F.col("is_test"))
+        keep = keep & ~F.col("is_test")
     if crate:
-        rows = rows.where(F.col("crate") == crate)
+        keep = keep & (F.col("crate") == crate)
     if lang and lang != "all" and not docs.where(F.col("lang") == lang).isEmpty():
-        rows = rows.where(F.col("lang") == lang)
+        keep = keep & (F.col("lang") == lang)
     kind = (symbol_type or "").capitalize()
     if kind in BOOST:
-        rows = rows.where(F.col("type") == kind)
-    value = score(terms, idf_of(docs, terms) if terms else {}, F.col("in_degree"))
-    return prepared(rows).select("id", "ord", value.alias("score")).where("score > 0").orderBy(F.desc("score"), "ord").limit(limit)
+        keep = keep & (F.col("type") == kind)
+    rows = term_stats(docs, terms, F.coalesce(keep, F.lit(False)))
+    seen = rows.agg(*[F.count_if((F.col(f"n{k}") > 0) | (F.col(f"d{k}") > 0)).alias(f"df{k}") for k in range(len(terms))])
+    total = docs.agg(F.count("*").alias("n"))
+    idfs = seen.join(total).select(*[F.when(F.col(f"df{k}") > 0, F.log((F.col("n") + 1) / (F.col(f"df{k}") + 1)) + 1).otherwise(1.0).alias(f"idf{k}") for k in range(len(terms))])
+    rows = rows.where("keep").join(F.broadcast(idfs))  # idfs: one row
+    value = score(terms, [F.col(f"idf{k}") for k in range(len(terms))])
+    return rows.select("id", "ord", value.alias("score")).where("score > 0").orderBy(F.desc("score"), "ord").limit(limit)
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int = 10, least: float = 0.3) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import extract
 from loomgraph.functions import names as N
-from loomgraph.operators import crosslang, graph, history, resolve, search
+from loomgraph.operators import crosslang, flow, graph, history, resolve, search
 from loomgraph.streaming import churn
 
 from .testtables import oracle, views
@@ -113,11 +113,8 @@ def flatten(t):
     return graph.flatten(t["nodes"], t["edges"])
 
 
-def _walk(start: str, down: bool, fan_out: int | None, relations: str) -> str:
-    a, b = ("source", "target") if down else ("target", "source")
-    cut = f"WHERE k <= {fan_out}" if fan_out else ""
-    return f"""WITH st0 AS (SELECT {a} AS source, {b} AS target, min(ord) AS ord FROM edges WHERE relation IN {relations} GROUP BY 1, 2),
-st AS (SELECT source, target, ord FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord, target) AS k FROM st0) {cut}),
+def _walk(start: str, relations: str) -> str:
+    return f"""WITH st AS (SELECT source, target, min(ord) AS ord FROM edges WHERE relation IN {relations} GROUP BY 1, 2),
 l0 AS (SELECT id, [id] AS path, []::BIGINT[] AS ords, 0 AS steps FROM nodes WHERE id = (SELECT min(id) FROM nodes WHERE name = '{start}')),
 n1 AS (SELECT target AS id, list_append(path, target) AS path, list_append(ords, ord) AS ords, 1 AS steps FROM l0 JOIN st ON l0.id = st.source WHERE NOT list_contains(path, target)),
 l1 AS (SELECT id, path, ords, steps FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ords, path) AS k FROM n1) WHERE k = 1 AND id NOT IN (SELECT id FROM l0)),
@@ -136,20 +133,59 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("id", "steps", F.array_join("path", ">").alias("path"))
 
 
-@query(_walk("customer_4", True, None, "('CALLS_RESOLVED')"))
+@query(_walk("customer_4", "('CALLS_RESOLVED')"))
 def bfs_path(t):
     return _shown(graph.reachable(t["edges"], _start(t, "customer_4"), ["CALLS_RESOLVED"]))
 
 
-@query(_walk("customer_1", True, 10, "('CALLS', 'CALLS_RESOLVED')"))
+SHORT = "CASE WHEN starts_with(target, 'REF:') THEN 'REF:' || CASE WHEN target LIKE '%::%' THEN substr(target, 5) WHEN target LIKE '%.%' THEN regexp_extract(target, '([a-z_0-9]+)$', 1) ELSE substr(target, 5) END ELSE target END"
+FORWARD = f"SELECT source AS id, list(target ORDER BY ord, target)[1:10] AS kids FROM (SELECT source, {SHORT} AS key, arg_min(target, ord) AS target, min(ord) AS ord FROM edges WHERE relation IN ('CALLS', 'CALLS_RESOLVED') GROUP BY 1, 2) GROUP BY source"
+BACKWARD = f"""SELECT id, list(source ORDER BY source)[1:10] AS kids FROM (SELECT n.id, e.source FROM nodes n JOIN edges e ON regexp_extract(e.target, '([A-Za-z_0-9]+)$', 1) = n.name WHERE e.relation IN {CALLED}
+ UNION SELECT n.id, e.source FROM nodes n JOIN nodes m ON m.name = n.name JOIN edges e ON e.target = m.id WHERE e.relation IN {CALLED}) GROUP BY id"""
+
+
+def _visit(start: str, kids: str) -> str:
+    """A depth-first visit with a stack, one node at a time."""
+    return f"""WITH kids AS ({kids}), known AS (SELECT id, name FROM nodes),
+dfs AS (SELECT 0 AS k, [(SELECT min(id) FROM nodes WHERE name = '{start}')] AS stack, [1] AS depths, []::VARCHAR[] AS seen, []::VARCHAR[] AS shown, []::INT[] AS lvl
+ UNION ALL SELECT k + 1, CASE WHEN go AND depths[1] < 3 THEN list_concat(coalesce(kids.kids, []), stack[2:]) ELSE stack[2:] END, CASE WHEN go AND depths[1] < 3 THEN list_concat(list_transform(coalesce(kids.kids, []), lambda x: depths[1] + 1), depths[2:]) ELSE depths[2:] END,
+  CASE WHEN new THEN list_append(seen, stack[1]) ELSE seen END, CASE WHEN go THEN list_append(shown, stack[1]) ELSE shown END, CASE WHEN go THEN list_append(lvl, depths[1]) ELSE lvl END
+ FROM (SELECT dfs.*, NOT list_contains(seen, stack[1]) AND len(seen) < 100 AS new, NOT list_contains(seen, stack[1]) AND len(seen) < 100 AND known.id IS NOT NULL AS go FROM dfs LEFT JOIN known ON known.id = stack[1] WHERE len(stack) > 0) d LEFT JOIN kids ON kids.id = d.stack[1]),
+last AS (SELECT shown, lvl FROM dfs WHERE len(stack) = 0)
+SELECT i - 1 AS ord, shown[i] AS id, lvl[i] AS steps FROM last, range(1, len(shown) + 1) r(i)"""
+
+
+@query(_visit("customer_1", FORWARD))
 def flow_forward(t):
-    return _shown(graph.reachable(t["edges"], _start(t, "customer_1"), ["CALLS", "CALLS_RESOLVED"], fan_out=10))
+    return flow.tree(t["nodes"], t["edges"], _start(t, "customer_1")).select("ord", "id", "steps")
 
 
-@query(_walk("customer_3", False, 10, "('CALLS', 'CALLS_RESOLVED')"))
+@query(_visit("m1", BACKWARD))
 def flow_backward(t):
-    back = t["edges"].select("ord", F.col("target").alias("source"), F.col("source").alias("target"), "relation", "lineno")
-    return _shown(graph.reachable(back, _start(t, "customer_3"), ["CALLS", "CALLS_RESOLVED"], fan_out=10))
+    return flow.tree(t["nodes"], t["edges"], _start(t, "m1"), "backward").select("ord", "id", "steps")
+
+
+@query(f"""WITH kids AS ({FORWARD}), known AS (SELECT id, name, token_count FROM nodes), root AS (SELECT min(id) AS id FROM nodes WHERE name = 'm2'),
+run AS (SELECT 0 AS k, (SELECT kids FROM kids JOIN root USING (id)) AS stack, list_transform((SELECT kids FROM kids JOIN root USING (id)), lambda x: 1) AS depths, [(SELECT id FROM root)] AS seen, []::VARCHAR[] AS shown, []::INT[] AS lvl, []::VARCHAR[] AS modes, 300::BIGINT AS budget
+ UNION ALL SELECT k + 1, CASE WHEN further THEN list_concat(coalesce(kids.kids, []), stack[2:]) ELSE stack[2:] END, CASE WHEN further THEN list_concat(list_transform(coalesce(kids.kids, []), lambda x: depths[1] + 1), depths[2:]) ELSE depths[2:] END,
+  CASE WHEN mode IS NULL THEN seen ELSE list_append(seen, stack[1]) END, CASE WHEN mode IS NULL THEN shown ELSE list_append(shown, stack[1]) END, CASE WHEN mode IS NULL THEN lvl ELSE list_append(lvl, depths[1]) END, CASE WHEN mode IS NULL THEN modes ELSE list_append(modes, mode) END, CASE WHEN mode = 'inline' THEN budget - token_count ELSE budget END
+ FROM (SELECT *, mode = 'inline' AND depths[1] < 3 AND budget - token_count > 0 AND len(seen) + 1 < 100 AS further FROM (SELECT run.*, token_count, CASE WHEN list_contains(seen, stack[1]) THEN NULL WHEN known.id IS NULL THEN 'external' WHEN token_count <= 100 AND token_count <= budget THEN 'inline' ELSE 'summary' END AS mode FROM run LEFT JOIN known ON known.id = stack[1] WHERE len(stack) > 0)) d LEFT JOIN kids ON kids.id = d.stack[1]),
+last AS (SELECT shown, lvl, modes FROM run WHERE len(stack) = 0)
+SELECT i - 1 AS ord, shown[i] AS id, lvl[i] AS steps, modes[i] AS mode FROM last, range(1, len(shown) + 1) r(i)""")
+def callee_expansion(t):
+    return flow.expansion(t["nodes"], t["edges"], _start(t, "m2"), 300, 3)
+
+
+@query(_visit("customer_2", FORWARD).replace("SELECT i - 1 AS ord, shown[i] AS id, lvl[i] AS steps FROM last", ", rows AS (SELECT i AS ord, shown[i] AS id, lvl[i] AS steps FROM last").replace("last AS (", "last AS (") + """)
+SELECT r.ord - 1 AS ord, r.id, (SELECT arg_max(p.id, p.ord) FROM rows p WHERE p.ord < r.ord AND p.steps = r.steps - 1) AS parent FROM rows r""")
+def flow_tree(t):
+    return flow.tree(t["nodes"], t["edges"], _start(t, "customer_2")).select("ord", "id", "parent")
+
+
+@query(f"""WITH hit AS (SELECT DISTINCT source AS id FROM edges WHERE relation IN {CALLED} AND (target IN (SELECT id FROM nodes WHERE starts_with(lower(name), 'customer_') OR contains(lower(id), '::customer_')) OR (starts_with(target, 'REF:') AND starts_with(regexp_extract(target, '([A-Za-z_0-9]+)$', 1), 'customer_'))))
+SELECT id, name, type, token_count FROM hit LEFT JOIN nodes USING (id) ORDER BY id LIMIT 20""")
+def callers_fuzzy(t):
+    return graph.callers(t["nodes"], t["edges"], "customer_")
 
 
 @query("""WITH c AS (SELECT source, id, token_count AS t, row_number() OVER (PARTITION BY source ORDER BY o, id) AS k FROM (SELECT source, target AS id, min(ord) AS o FROM edges WHERE relation = 'CALLS_RESOLVED' GROUP BY 1, 2) JOIN (SELECT id, token_count FROM nodes) USING (id)),

