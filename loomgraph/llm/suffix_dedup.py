@@ -180,7 +180,8 @@ def find(known: np.ndarray, regions: np.ndarray) -> np.ndarray:
 def sorted_windows(text: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Where the windows of all regions begin, in the order of their first SPAN bytes, by two-stage sorting.
 
-    text: each region and SPAN zero bytes after it, and a last byte of 255; starts and counts: a region's first window and number of windows.
+    text: the regions one after the other, then SPAN zero bytes and a byte of 255; starts and counts: a region's first window and number of windows.
+    What follows a region decides only the order of windows that are equal.
     """
     n = len(text)
     differs = np.flatnonzero(text[1:] != text[:-1])
@@ -278,9 +279,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def repeats(regions: list[bytes], counts: np.ndarray, twice: np.ndarray) -> list[list[tuple[int, int]]]:
     """The runs (first, last) of repeated windows of each region. twice: the region was found more than once, and so stands twice in what is sorted."""
-    pad, again = bytes(SPAN), np.flatnonzero(twice)
-    text = np.frombuffer(pad.join([*regions, *(regions[k] for k in again.tolist()), b""]) + b"\xff" * 8, "u1")
-    sizes = np.array([len(r) + SPAN for r in regions], "int64")
+    again = np.flatnonzero(twice)
+    text = np.frombuffer(b"".join([*regions, *(regions[k] for k in again.tolist()), bytes(SPAN)]) + b"\xff" * 8, "u1")
+    sizes = np.array([len(r) for r in regions], "int64")
     sizes, numbers = np.concatenate([sizes, sizes[again]]), np.concatenate([counts, counts[again]])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     order = sorted_windows(text, starts, numbers)

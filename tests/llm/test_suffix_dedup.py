@@ -30,8 +30,8 @@ def test_two_stage_order():
         regions = [rng.integers(0 if letters == 2 else 97, 97 + letters if letters < 200 else 256, rng.integers(200, 420)).astype("u1").tobytes() for _ in range(12)]
         regions += [regions[0], regions[1][:250], b"ab" * 150, b"a" * 230, b"b" * 300 + b"a"]
         counts = np.array([len(r) - 199 for r in regions])
-        text = np.frombuffer(bytes(200).join([*regions, b""]) + b"\xff" * 8, "u1")
-        starts = np.concatenate([[0], np.cumsum([len(r) + 200 for r in regions])[:-1]])
+        text = np.frombuffer(b"".join([*regions, bytes(200)]) + b"\xff" * 8, "u1")
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in regions])[:-1]])
         order = suffix_dedup.sorted_windows(text, starts, counts)
         assert sorted(order.tolist()) == sorted(k for s, n in zip(starts.tolist(), counts.tolist()) for k in range(s, s + n))
         strings = [text[k : k + 200].tobytes() for k in order.tolist()]
