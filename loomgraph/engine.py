@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,29 +14,9 @@ from loomgraph.functions import extract
 from loomgraph.functions import names as N
 from loomgraph.operators import crosslang, flow, graph, history, resolve, search
 from loomgraph.sources import readers
+from loomgraph.sources.versions import since, valid_ref  # noqa: F401
 from loomgraph.storage import cut, numbered
 
-REF = re.compile(r"^[A-Za-z0-9_][A-Za-z0-9_./~^@{}-]*(\.\.\.?[A-Za-z0-9_./~^@{}-]+)?$")
-
-
-def valid_ref(ref: str) -> str:
-    """a version-control reference or range that can't be read as an option."""
-    if not REF.match(ref) or ref.startswith("-") or len(ref) > 200:
-        raise ValueError(f"not a reference: {ref!r}")
-    return ref
-
-
-def since(text: str) -> tuple[str, int | str]:
-    """F8: ("days", n) for "last n days|weeks|months", ("ref", r) for "since r", else ("since", text)."""
-    if m := re.fullmatch(r"\s*last\s+(\d+)\s+(day|week|month)s?\s*", text, re.I):
-        return "days", int(m[1]) * {"day": 1, "week": 7, "month": 30}[m[2].lower()]
-    if m := re.fullmatch(r"\s*since\s+(\S+)\s*", text, re.I):
-        return "ref", valid_ref(m[1])
-    if not re.fullmatch(r"[\w\s:.+-]+", text) or text.startswith("-"):
-        raise ValueError(f"not a time range: {text!r}")
-    return "since", text
-
-
 @dataclass
 class Engine:
     nodes: DataFrame

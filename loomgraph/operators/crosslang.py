@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions import names as N
+
 # Prefixes that a client may put before a path, tried in this order.
 PREFIXES = ["/api/v1", "/api/v2", "/api"]
 
@@ -41,9 +43,12 @@ def match(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     return requests.select("id").join(found, "id", "left")
 
 
-def handlers(endpoints: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The function of each operation; the last node of a name wins."""
-    last = nodes.where(F.col("type").isin("Function", "Method")).groupBy(F.col("name").alias("operation")).agg(F.max_by("id", "ord").alias("handler"))
+def handlers(endpoints: DataFrame, nodes: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """The function of each operation; the last node of a name wins. within (F12): only nodes whose id holds one of these."""
+    functions = nodes.where(F.col("type").isin("Function", "Method"))
+    if within:
+        functions = functions.where(N.either([F.col("id").contains(w) for w in within]))
+    last = functions.groupBy(F.col("name").alias("operation")).agg(F.max_by("id", "ord").alias("handler"))
     return endpoints.join(last, "operation", "left")
 
 

@@ -5,12 +5,14 @@ ord is the order in which rows were made; "first" always means the least ord. No
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names as N
-from loomgraph.storage import cut
+from loomgraph.storage import cut, numbered
 
 CALLS = ["CALLS", "CALLS_RESOLVED", "INSTANTIATES", "INSTANTIATES_RESOLVED"]
 
@@ -170,10 +172,55 @@ def usage_examples(edges: DataFrame, name: str, limit: int = 3) -> DataFrame:
     return edges.where(hit).withColumn("rank", rank).orderBy("rank", "ord").limit(limit).select("ord", "source", "target", "rank")
 
 
-def related_tests(nodes: DataFrame, name: str, limit: int = 5) -> DataFrame:
-    """Test functions of a name."""
-    hit = F.col("type").isin("Function", "Method") & (F.col("name") == f"test_{name}") | (F.col("type") == "File") & (F.col("name").startswith(f"test_{name}.") | F.col("name").startswith(f"{name}_test."))
-    return nodes.where(hit).orderBy("ord").limit(limit).select("id", "name", "type")
+def related_tests(nodes: DataFrame, name: str, file: str | None = None, limit: int = 5) -> DataFrame:
+    """Test files of a source file (four patterns), then test functions of a name, by its snake_case too, or in the same file."""
+    snake = re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
+    base, dot, ext = (file or name).rsplit("/", 1)[-1].rpartition(".") if file else (name, ".", "")
+    files = [f"test_{base}{dot}{ext}", f"{base}_test{dot}{ext}", f"{base}.test{dot}{ext}", f"{base}.spec{dot}{ext}"]
+    of_file = F.col("name").isin(files) if file else N.either([F.col("name").startswith(x) for x in files])
+    direct = F.col("name").isin(f"test_{name}", f"test_{snake}")
+    if file:
+        direct = direct | F.col("name").startswith("test_") & F.col("name").contains(snake) & F.col("id").contains(file)
+    kind = F.when((F.col("type") == "File") & of_file, 0).when(F.col("type").isin("Function", "Method") & direct, 1)
+    return nodes.withColumn("kind", kind).where("kind IS NOT NULL").orderBy("kind", "ord").limit(limit).select("id", "name", "type")
+
+
+def related_configs(nodes: DataFrame, edges: DataFrame, file_id: str, but: str | None = None, limit: int = 5) -> DataFrame:
+    """F16: the configurations that a file defines, by line."""
+    own = edges.where((F.col("source") == file_id) & (F.col("relation") == "DEFINES")).select(F.col("target").alias("id")).distinct()
+    found = nodes.where((F.col("type") == "Configuration") & ~F.col("id").eqNullSafe(but)).join(own, "id", "left_semi")
+    return found.orderBy("lineno", "ord").limit(limit).select("id", "name", "signature", "lineno")
+
+
+def imports(edges: DataFrame, shown: int = 10) -> DataFrame:
+    """How many distinct modules each file imports, and the first of them."""
+    names = F.array_sort(F.collect_set(F.regexp_replace("target", "^MODULE:", "")))
+    return edges.where("relation = 'IMPORTS'").groupBy(F.col("source").alias("id")).agg(names.alias("all")).select("id", F.size("all").alias("n"), F.array_join(F.slice("all", 1, shown), ", ").alias("shown"))
+
+
+def definitions(nodes: DataFrame, edges: DataFrame, shown: int = 15) -> DataFrame:
+    """A10: what each file defines itself, by type: how many, and the first names (configurations: signatures by line)."""
+    own = edges.where("relation = 'DEFINES'").select(F.col("source").alias("file"), F.col("target").alias("id")).distinct().join(nodes, "id").where(F.col("file").startswith("FILE:") & ~F.col("file").contains("::"))
+    own = own.where(F.col("type").isin("Constant", "Class", "Function", "Configuration"))
+    order = F.when(F.col("type") == "Configuration", F.coalesce("lineno", F.lit(0))).otherwise(0)
+    text = F.when(F.col("type") == "Configuration", F.coalesce("signature", "name")).otherwise(F.col("name"))
+    rows = own.withColumns({"at": order, "text": text}).withColumn("k", F.row_number().over(W.partitionBy("file", "type").orderBy("at", "text")))
+    return rows.groupBy("file", "type").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= shown, F.struct("k", "text")))), lambda x: x["text"]), ", ").alias("shown"))
+
+
+def symbols_by_file(nodes: DataFrame) -> DataFrame:
+    """Symbols of each file."""
+    return nodes.where(F.col("id").contains("::")).groupBy(N.file_of(F.col("id")).alias("file")).agg(F.count("*").alias("symbols"))
+
+
+def shared_names(nodes: DataFrame, least: int = 2) -> DataFrame:
+    """Names that several methods have."""
+    return nodes.where("type = 'Method'").groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def call_in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A1 for calls alone."""
+    return in_degree(nodes, edges.where(F.col("relation").isin(CALLS))).withColumnRenamed("in_degree", "call_in_degree")
 
 
 def class_children(nodes: DataFrame) -> DataFrame:
@@ -210,3 +257,22 @@ def examples(nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
     """well-connected symbols worth showing."""
     named = nodes.where((F.coalesce("name", F.lit("")) != "") & ~F.col("name").startswith("_") & ~F.lower("id").contains("test"))
     return in_degree(named, edges).where(F.col("type").isin("Function", "Method", "Class")).orderBy(F.desc("in_degree"), "id").limit(limit).select("id", "type", "in_degree")
+
+
+def showcase(nodes: DataFrame, edges: DataFrame, limit: int = 3) -> DataFrame:
+    """kind, place, name, n of symbols and files worth showing for each tool: most called, most calling, most symbols, most shared method names."""
+    named = nodes.where((F.coalesce("name", F.lit("")) != "") & ~F.col("name").startswith("_") & ~F.lower("id").contains("test"))
+    functions = named.where("type = 'Function'").select("id", "name")
+    most = lambda df, kind, name, n: numbered(df.orderBy(F.desc(n), name).limit(limit).select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(n).cast("long").alias("n")), "place", F.desc("n"), "name")
+    called = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).join(functions, "id")
+    calling = out_degree(edges).join(functions, "id")
+    out = most(called, "called", "id", "n").unionByName(most(calling.where("out_degree >= 2"), "calling", "id", "out_degree"))
+    return out.unionByName(most(symbols_by_file(nodes), "files", "file", "symbols")).unionByName(most(shared_names(named), "methods", "name", "n"))
+
+
+def with_imports(refs: DataFrame, imported: DataFrame) -> DataFrame:
+    """Refs (file, ref) with full_name: the first part of a dotted name stands for the module that the file imported under it (file, alias, module)."""
+    first = F.substring_index("ref", ".", 1)
+    rest = F.expr("substring(ref, char_length(substring_index(ref, '.', 1)) + 1)")
+    out = refs.withColumn("alias", first).join(imported, ["file", "alias"], "left")
+    return out.withColumn("full_name", F.when(F.col("module").isNotNull(), F.concat("module", rest)).otherwise(F.col("ref"))).drop("alias", "module")

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions import names as N
+from loomgraph.sources.versions import since
+from loomgraph.storage import numbered
+
 BIN = 64
 
 
@@ -60,6 +64,39 @@ def symbol_churn(lines: DataFrame, spans: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.countDistinct("sha").alias("commits"), F.sum("a").alias("added"), F.sum("r").alias("removed"))
 
 
+def in_range(changes: DataFrame, time_range: str | None, today: str, after: str | None = None, day: str = "day") -> DataFrame:
+    """F8: the changes of a time range, by their day. today: the day that "last n days" counts from; after: the day of the reference of "since"."""
+    if not time_range:
+        return changes
+    kind, value = since(time_range)
+    if kind == "days":
+        return changes.where(F.to_date(day) >= F.date_sub(F.lit(today).cast("date"), int(value)))
+    return changes.where(F.to_date(day) >= F.lit(after if kind == "ref" else value).cast("date"))
+
+
+def in_paths(changes: DataFrame, path: str | None = None, excluded: list[str] = N.EXCLUDED) -> DataFrame:
+    """the changes of a path (a folder, a file, or a pattern with * and ?), or all but the excluded ones (with a slash at the end: folders)."""
+    file = F.col("file")
+    if path:
+        if any(c in path for c in "*?"):
+            pattern = "".join({"*": ".*", "?": "."}.get(c, f"\\Q{c}\\E") for c in path)
+            return changes.where(file.rlike(f"^{pattern}$"))
+        folder = path.rstrip("/")
+        return changes.where((file == folder) | file.startswith(folder + "/"))
+    return changes.where(~N.either([F.lit(False)] + [file.startswith(x) if x.endswith("/") else (file == x) | file.startswith(x + "/") for x in excluded]))
+
+
+def symbol_churn_or_files(lines: DataFrame, spans: DataFrame, files: int | None = 50) -> DataFrame:
+    """A4, U4: symbol_churn of the most changed files; where none of their lines is in a symbol, the code files themselves."""
+    if files:
+        lines = lines.join(file_churn(lines, files).select("file"), "file", "left_semi")
+    found = symbol_churn(lines, spans)
+    if not found.isEmpty():
+        return found
+    own = lines.where(N.is_code(F.col("file"))).groupBy("file").agg(F.countDistinct("sha").alias("commits"), F.count_if(F.col("sign") == "+").alias("added"), F.count_if(F.col("sign") == "-").alias("removed"))
+    return own.select(F.concat(F.lit("FILE:"), "file").alias("id"), "commits", "added", "removed")
+
+
 def co_change(changes: DataFrame, item: str, least: int = 2, most_in_commit: int | None = None, cell: int = 1000) -> DataFrame:
     """Pairs changed in the same commit at least `least` times.
 
@@ -83,6 +120,20 @@ def impact(lines: DataFrame, spans: DataFrame, limit: int = 50) -> DataFrame:
     return hit.orderBy(F.desc("changed"), "id").limit(limit)
 
 
+def impact_totals(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """Files, symbols and commits of a set of changes, one row."""
+    symbols = attribute(lines.select("file", "line").distinct(), spans).agg(F.countDistinct("id").alias("symbols"))
+    return lines.agg(F.countDistinct("file").alias("files"), F.countDistinct("sha").alias("commits")).join(symbols)  # one row each
+
+
+def pick(matches: DataFrame, crate: str | None = None) -> DataFrame:
+    """Place, id of the matches of a name, the one to follow first: of the crate if any is, then by callers, then not a test, then in the order of the graph."""
+    rows = matches.withColumn("outside", ~F.contains(F.lower("id"), F.lit(crate.lower())) if crate else F.lit(False))
+    best = rows.agg(F.min("outside").alias("least"))
+    rows = rows.join(F.broadcast(best)).where("outside = least")  # one row
+    return numbered(rows.select("id", "in_degree", F.contains(F.lower("id"), F.lit("test")).alias("test"), "ord"), "place", F.desc("in_degree"), "test", "ord").select("place", "id")
+
+
 def evolution(commits: DataFrame, key: str) -> DataFrame:
     """Commits, authors and first and last day of each item."""
     return commits.groupBy(key).agg(F.countDistinct("sha").alias("commits"), F.countDistinct("author").alias("authors"), F.min("day").alias("since"), F.max("day").alias("until"))

@@ -111,12 +111,20 @@ def nearest(vectors: DataFrame, query: list[float], limit: int = 10, least: floa
 
 
 def composite(name: Column, signature: Column, doc: Column) -> Column:
-    """C11: the weighted sum of three vectors, scaled to length one (a zero vector stays)."""
-    mixed = F.zip_with(F.zip_with(name, signature, lambda a, b: a.cast("double") * 0.2 + b.cast("double") * 0.3), doc, lambda a, b: a + b.cast("double") * 0.5)
+    """C11: the weighted sum of three vectors, scaled to length one (a zero vector stays). A null signature or doc counts as the name."""
+    parts = [(name, 0.2), (F.coalesce(signature, name), 0.3), (F.coalesce(doc, name), 0.5)]
+    (a, p), (b, q), (c, r) = parts
+    mixed = F.zip_with(F.zip_with(a, b, lambda x, y: x.cast("double") * p + y.cast("double") * q), c, lambda x, y: x + y.cast("double") * r)
     length = F.sqrt(F.aggregate(mixed, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(mixed, lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length))
 
 
+def embedded_texts(most: int = 500) -> dict[str, Column]:
+    """C11: what a model is to encode of a node: name (or the end of its id), signature and the first part of the docstring; null where there is none."""
+    filled = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    return {"name": F.coalesce(filled("name"), F.substring_index("id", "::", -1)), "signature": filled("signature"), "doc": F.substring(filled("docstring"), 1, most)}
+
+
 def fuse(a: DataFrame, b: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (id, rank from 0)."""
     both = a.select("id", F.col("rank").alias("ra")).join(b.select("id", F.col("rank").alias("rb")), "id", "full_outer")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import extract
 from loomgraph.functions import names as N
 from loomgraph.operators import crosslang, flow, graph, history, resolve, search
 from loomgraph.streaming import churn
@@ -441,12 +440,6 @@ def nl_classifier(t):
     return t["conversations"].select("conv_id", "turn", N.is_question(F.split("text", " ")).alias("natural_language"))
 
 
-@query("SELECT p_partkey, 'Class' || p_size || '|method' AS names FROM part")
-def scip_descriptor(t):
-    symbol = F.concat(F.lit("scip-x npm pkg 1.0 `src/a.ts`/Class"), F.col("p_size").cast("string"), F.lit("#[T]#method()."))
-    return t["part"].select("p_partkey", F.array_join(N.descriptor_names(symbol), "|").alias("names"))
-
-
 @query("""WITH c AS (SELECT target, count(*) AS n FROM edges GROUP BY target)
 SELECT n.id, n.type, coalesce(c.n, 0) AS in_degree FROM nodes n LEFT JOIN c ON c.target = n.id WHERE n.name <> '' AND NOT starts_with(n.name, '_') AND NOT contains(lower(n.id), 'test') AND n.type IN ('Function', 'Method', 'Class') ORDER BY in_degree DESC, n.id LIMIT 5""")
 def examples(t):
@@ -466,32 +459,6 @@ def graph_counts(t):
     return t["nodes"].agg(F.count("*").alias("nodes")).join(t["edges"].agg(F.count("*").alias("edges")))  # one row each
 
 
-#: A small source of each language, and the symbols in it.
-SOURCES = {
-    "extract_python": ("py", "import os\nclass A(B):\n    def go(self):\n        helper()\ndef top():\n    pass\n", [("Class", "A", 2), ("Method", "go", 3), ("Function", "top", 5)]),
-    "extract_rust": ("rs", "use std::fs;\npub struct S;\nimpl S {\n    pub fn go(&self) {\n        helper();\n    }\n}\nfn top() {\n}\n", [("Class", "S", 2), ("Method", "go", 4), ("Function", "top", 8)]),
-    "extract_typescript": ("ts", "export class K extends Base {\n  run(x: number): void {\n    call(x);\n  }\n}\nexport function top() {\n}\n", [("Class", "K", 1), ("Method", "run", 2), ("Function", "top", 6)]),
-    "extract_java": ("java", "public class M extends N {\n  public void go(int a) {\n    other.call();\n  }\n}\n", [("Class", "M", 1), ("Method", "go", 2)]),
-    "extract_go": ("go", "package p\ntype T struct {\n}\nfunc Go(x int) {\n\tDo(x)\n}\n", [("Class", "T", 2), ("Function", "Go", 4)]),
-    "extract_proto": ("proto", "message Ask {\n}\nservice S {\n  rpc Get (Ask) returns (Reply);\n}\n", [("Class", "Ask", 1), ("Class", "S", 3), ("Function", "Get", 4)]),
-}
-
-
-def _source_query(name: str, ext: str, text: str, symbols: list[tuple]) -> None:
-    values = ", ".join(f"('{t}', '{n}', {k})" for t, n, k in symbols)
-
-    def run(t):
-        files = t["nation"].select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(f".{ext}")).alias("path"), F.lit(text).alias("content"))
-        return extract.extract(files).where("kind = 'node' AND type <> 'File'").select("path", "type", "name", "lineno")
-
-    run.__name__ = name
-    query(f"SELECT 'n' || CAST(n_nationkey AS STRING) || '.{ext}' AS path, v.* FROM nation, (VALUES {values}) v(type, name, lineno)")(run)
-
-
-for _name, _parts in SOURCES.items():
-    _source_query(_name, *_parts)
-
-
 def streaming_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1, an extension: the events replayed as a stream of changes."""
     return churn.replay(spark, sf_dir, "events.parquet").select(F.date_format("since", "yyyy-MM-dd").alias("since"), "event_type", "changes")

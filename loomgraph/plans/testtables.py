@@ -21,7 +21,7 @@ TABLES = {
       UNION ALL SELECT 1000 + a.n_nationkey, 'FILE:' || {PATH.format('a.n_regionkey')} || '::Nation' || CAST(a.n_nationkey AS STRING), 'FILE:' || {PATH.format('b.n_regionkey')} || '::Nation' || CAST(b.n_nationkey AS STRING), 'INHERITS', NULL FROM nation a JOIN nation b ON b.n_nationkey = CAST(floor(a.n_nationkey / 2) AS INT) WHERE a.n_nationkey > 0
       UNION ALL SELECT 1000000 + sk, snid, snid || '::m' || CAST(mk AS STRING), 'DEFINES', NULL FROM stx
       UNION ALL SELECT 1000000000 + ck, nid || '::m' || CAST(ck % 7 AS STRING), cid, 'CALLS_RESOLVED', CAST(ck % 100 AS INT) FROM ctx
-      UNION ALL SELECT 1000000000000 + l_orderkey * 10 + l_linenumber, cid,
+      UNION ALL SELECT 1000000000000 + ((CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey, cid,
         CASE WHEN l_orderkey % 3 > 0 THEN snid || '::m' || CAST(mk AS STRING) WHEN l_partkey % 5 = 0 THEN 'REF:m' || CAST(mk AS STRING) WHEN l_partkey % 5 = 1 THEN 'REF:Nation' || CAST(snk AS STRING) || '::m' || CAST(mk AS STRING)
           WHEN l_partkey % 5 = 2 THEN 'REF:self.customer_' || CAST(ck AS STRING) WHEN l_partkey % 5 = 3 THEN 'REF:Vec::new' ELSE 'REF:std::mem::swap' END,
         CASE WHEN l_orderkey % 3 > 0 THEN 'CALLS_RESOLVED' ELSE 'CALLS' END, l_linenumber

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions import names as N
 from loomgraph.functions.extract import BY_EXTENSION
 
 MOST_BYTES = 10 << 20
@@ -122,3 +123,50 @@ def symbol_index(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, "file string, symbol string, line int, is_definition boolean")
+
+
+def symbol_records(spark: SparkSession, path: str) -> DataFrame:
+    """File, symbol, display_name, documentation of every symbol that index files describe."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for content in batch["content"].tolist():
+                for number, _, document in fields(content):
+                    if number != 2:
+                        continue
+                    parts = list(fields(document))
+                    file = next((v.decode() for n, _, v in parts if n == 1), "")
+                    for n, _, record in parts:
+                        if n == 3:
+                            own = list(fields(record))
+                            one = lambda k: next((v.decode("utf-8", "replace") for a, _, v in own if a == k), "")  # noqa: B023, E731
+                            rows.append((file, one(1), one(6), [v.decode("utf-8", "replace") for a, _, v in own if a == 3]))
+            yield pd.DataFrame(rows, columns=["file", "symbol", "display_name", "documentation"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(run, "file string, symbol string, display_name string, documentation array<string>")
+
+
+def window(files: DataFrame, line: Column | None = None, around: int = 50, most: int = 2000) -> DataFrame:
+    """Files (path, content) with language, total_lines, start_line, end_line and the lines around a line, or the first `most`; files that may hold credentials or aren't text are left out."""
+    rows = files.where(~N.is_sensitive(F.col("path")) & (F.octet_length("content") <= MOST_BYTES) & N.is_text(F.substring(F.col("content").cast("binary"), 1, 8192)))
+    rows = rows.withColumn("all", F.split("content", "\n")).withColumn("total_lines", F.size("all"))
+    start = F.greatest(F.lit(1), line - around) if line is not None else F.lit(1)
+    end = F.least(F.col("total_lines"), line + around) if line is not None else F.least(F.col("total_lines"), F.lit(most))
+    rows = rows.withColumns({"start_line": start, "end_line": end, "language": N.syntax_lang(F.col("path"))})
+    return rows.withColumn("lines", F.slice("all", F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1))).drop("all", "content")
+
+
+def segment(files: DataFrame, path: str, start: int, end: int) -> DataFrame:
+    """Place, text of some lines of a file (from 1, both ends in), as far as they are there."""
+    lines = files.where(F.col("path") == path).select(F.posexplode(F.split("content", "\n")).alias("place", "text")).withColumn("place", F.col("place") + 1)
+    return lines.where(F.col("place").between(max(1, start), end))
+
+
+def matched_calls(lines: DataFrame, type_imports: DataFrame | None = None) -> DataFrame:
+    """File, lineno, callee of calls that an outside matcher reports, one JSON object a line (text): once for each line and name, without names imported as types only (file, name)."""
+    schema = "file string, range struct<start: struct<line: int>>, metaVariables struct<single: struct<NAME: struct<text: string>>>"
+    found = lines.select(F.from_json("text", schema).alias("m")).select("m.file", (F.col("m.range.start.line") + 1).alias("lineno"), F.col("m.metaVariables.single.NAME.text").alias("callee"))
+    found = found.where("callee IS NOT NULL").distinct()
+    return found if type_imports is None else found.join(type_imports.withColumnRenamed("name", "callee"), ["file", "callee"], "left_anti").select("file", "lineno", "callee")
