@@ -184,9 +184,10 @@ def sorted_windows(text: np.ndarray, starts: np.ndarray, counts: np.ndarray) ->
     What follows a region decides only the order of windows that are equal.
     """
     n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    nearest = differs[np.minimum(np.searchsorted(differs, np.arange(n)), len(differs) - 1)]
-    smaller = text[nearest] < text[np.minimum(nearest + 1, n - 1)]  # than its successor; in a run the first other byte decides
+    nearest = np.full(n, n - 2)
+    nearest[:-1] = np.where(text[1:] != text[:-1], np.arange(n - 1), n - 2)
+    nearest = np.minimum.accumulate(nearest[::-1])[::-1]  # the last byte of a run
+    smaller = text[nearest] < text[nearest + 1]  # than its successor; in a run the first other byte decides
     direct = np.flatnonzero(smaller)
     ends = direct[np.searchsorted(direct, starts + counts - 1)]  # a chain of larger suffixes ends at one that is sorted directly
     wanted = np.zeros(n + 1, "i4")
@@ -267,18 +268,41 @@ def direct_sort(text: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each window but the last in the order: whether it has SPAN bytes in common with the next."""
+    """For each window but the last in the order: whether it has SPAN bytes in common with the next.
+
+    Neighbours that agree in their first bytes are compared along diagonals: where windows that follow each other in the text have
+    neighbours that do, too, their common bytes are compared once.
+    """
     words = eights(text)
     alive = np.arange(len(order) - 1)
-    for depth in range(0, SPAN, 8):
+    for depth in range(0, 40, 8):
         alive = alive[words[order[alive] + depth] == words[order[alive + 1] + depth]]
     out = np.zeros(max(0, len(order) - 1), bool)
-    out[alive] = True
+    if not len(alive):
+        return out
+    pair = np.full(len(text), -1)
+    pair[order[alive]] = alive
+    at = np.flatnonzero(pair >= 0)  # in the order of the text
+    pair = pair[at]
+    gap = order[pair + 1] - at
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (gap[1:] != gap[:-1])]))
+    length = np.diff(np.concatenate([new, [len(at)]]))
+    sizes = length + SPAN - 1  # bytes of each diagonal
+    if sizes.sum() > 30 * len(at):  # most are short: eight bytes at a time is less work
+        for depth in range(40, SPAN, 8):
+            alive = alive[words[order[alive] + depth] == words[order[alive + 1] + depth]]
+        out[alive] = True
+        return out
+    begins = np.cumsum(sizes) - sizes
+    left = np.arange(sizes.sum()) + np.repeat(at[new] - begins, sizes)
+    differ = np.concatenate([[0], np.cumsum(text[left] != text[left + np.repeat(gap[new], sizes)])])
+    first = np.repeat(begins, length) + np.arange(len(at)) - np.repeat(new, length)
+    out[pair[differ[first + SPAN] == differ[first]]] = True
     return out
 
 
-def repeats(regions: list[bytes], counts: np.ndarray, twice: np.ndarray) -> list[list[tuple[int, int]]]:
-    """The runs (first, last) of repeated windows of each region. twice: the region was found more than once, and so stands twice in what is sorted."""
+def repeats(regions: list[bytes], counts: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of repeated windows: region, first and last window. twice: the region was found more than once, and so stands twice in what is sorted."""
     again = np.flatnonzero(twice)
     text = np.frombuffer(b"".join([*regions, *(regions[k] for k in again.tolist()), bytes(SPAN)]) + b"\xff" * 8, "u1")
     sizes = np.array([len(r) for r in regions], "int64")
@@ -286,14 +310,15 @@ def repeats(regions: list[bytes], counts: np.ndarray, twice: np.ndarray) -> list
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     order = sorted_windows(text, starts, numbers)
     same = common_prefixes(text, order)
-    flags = np.zeros(len(text) + 1, bool)
-    flags[order[:-1][same]] = True
-    flags[order[1:][same]] = True
-    out = []
-    for start, n in zip(starts[: len(regions)].tolist(), counts.tolist()):
-        own = np.flatnonzero(np.diff(np.concatenate([[False], flags[start : start + n], [False]]).astype("i1")))
-        out.append([(a, b - 1) for a, b in zip(own[::2].tolist(), own[1::2].tolist())])
-    return out
+    flags = np.zeros(len(text) + 2, "i1")
+    flags[order[:-1][same] + 1] = 1
+    flags[order[1:][same] + 1] = 1
+    edges = np.diff(flags)  # runs end with their region, as its last bytes begin no window
+    first, after = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    region = np.searchsorted(starts, first, "right") - 1
+    own = region < len(regions)
+    region, first, after = region[own], first[own], after[own]
+    return region, first - starts[region], after - 1 - starts[region]
 
 
 def removed(size: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -455,17 +480,19 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         order = np.lexsort((heads["r"], heads["h"]))
         heads, begins, sizes = heads[order], begins[order], sizes[order]
-        found: list[tuple] = []
+        found: list[np.ndarray] = []
         a = 0
         while a < len(heads):
             b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), BLOCK)))
             while b < len(heads) and heads["h"][b] == heads["h"][b - 1]:
                 b += 1
             texts_ = [whole[s : s + n] for s, n in zip(begins[a:b].tolist(), sizes[a:b].tolist())]
-            runs = repeats(texts_, heads["n"][a:b].astype("int64"), heads["count"][a:b] > 1)
-            found += [(h, r, first, last) for h, r, own in zip(heads["h"][a:b].tolist(), heads["r"][a:b].tolist(), runs) for first, last in own]
+            region, first, last = repeats(texts_, heads["n"][a:b].astype("int64"), heads["count"][a:b] > 1)
+            runs = np.zeros(len(region), RUN)
+            runs["h"], runs["r"], runs["first"], runs["last"] = heads["h"][a + region], heads["r"][a + region], first, last
+            found.append(runs)
             a = b
-        runs = np.array(found, RUN)
+        runs = np.concatenate(found)
         runs = runs[np.lexsort((runs["first"], runs["r"]))]
         out: dict[int, list] = {}
         for task, blob in zip(whose["task"].tolist(), whose["blob"].tolist()):

@@ -60,3 +60,33 @@ def test_run(spark, tmp_path):
     path = tokenizer_path("word_bpe_49k.json")
     assert sorted((r["doc_id"], r["start"], r["length"]) for r in got) == sorted((i, 0, len(direct(path, t))) for i, t in left)
     laid_out(got)
+
+
+def written(spark, folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark, tmp_path):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    texts = [prose(40) for _ in range(6)]
+    item = prose(30)
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2] + " " + item), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4]), (7, item), (9, None), (None, ""), (10, texts[5])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __leak string")
+    for name in ("__keep", "__key", "key", "n", "table", "u", "v", "piece", "sequence_id", "part", "task", "id", "lang"):
+        docs = docs.withColumn(name, docs["__leak"])
+    folder = written(spark, tmp_path, docs, [], [(0, item), (None, None), (None, "")])
+    got = corpus_pipeline.run(spark, folder).collect()
+    kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in got)
+    assert kept == [-1, -1, 7, 7, 9, 10]  # each text once, texts without words once, nothing with the item
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+    laid_out(got)
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, docs, [], [])).count() == 0
