@@ -27,7 +27,9 @@ COMMON = {
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 # Character classes, as regular expressions; all other characters are the last class.
-CLASSES = ["[a-z]", "[A-Z]", "[^\\x00-\\x7F]", "[0-9]", "[ \\t\\n\\x0B\\f\\r]", "[.,;:!?'\"()-]"]
+BLANK = "[ \\t\\n\\x0B\\f\\r]"
+CLASSES = ["[a-z]", "[A-Z]", "[^\\x00-\\x7F]", "[0-9]", BLANK, "[.,;:!?'\"()-]"]
+BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 LEAST_CHARS, LEAST_WORDS = 200, 80
@@ -74,8 +76,18 @@ def common_counts(text: Column) -> Column:
 
 
 def class_counts(text: Column) -> Column:
-    """The count of each character class, then of all characters."""
-    return F.array(*[F.regexp_count(text, F.lit(c)) for c in CLASSES], F.char_length(text))
+    """counts: of each character class, then of all characters; symbols: how many SYMBOLS.
+
+    Each class is taken out of what the ones before it left, run by run, so only the first goes over the whole text.
+    """
+
+    def without(left: Column, classes: list[str], sizes: list[Column]) -> Column:
+        if not classes:
+            counts = [x - y for x, y in zip(sizes, sizes[1:])]
+            return F.struct(F.array(*counts, sizes[0]).alias("counts"), F.regexp_count(left, F.lit(SYMBOLS)).cast("long").alias("symbols"))
+        return let(F.regexp_replace(left, classes[0] + "+", ""), lambda rest: without(rest, classes[1:], [*sizes, F.char_length(rest)]))
+
+    return without(text, CLASSES, [F.char_length(text)])
 
 
 def js_distance(p: list[Column], q: list[float]) -> Column:
@@ -91,10 +103,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """The base counts and both histograms of each text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit("[^ \\t\\n\\x0B\\f\\r]")))
-    of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), windows_repeated(w).alias("n_repeat_words")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), of_words.alias("w"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), class_counts(text).alias("classes"), common_counts(text).alias("common"))
-    rows = rows.select("doc_id", "lang", "w.*", "n_symbols", "n_dup_lines", "classes", "common")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), windows_repeated(w).alias("n_repeat_words")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), of_words.alias("w"), class_counts(text).alias("c"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), common_counts(text).alias("common"))
+    spaces = F.get("c.counts", F.lit(CLASSES.index(BLANK)))  # words are what is left of them
+    rows = rows.select("doc_id", "lang", "w.*", (F.get("c.counts", F.lit(len(CLASSES))) - spaces).cast("long").alias("word_chars"), F.col("c.symbols").alias("n_symbols"), "n_dup_lines", F.col("c.counts").alias("classes"), "common")
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
