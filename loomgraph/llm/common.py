@@ -10,9 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.storage import cut, shared_dir
+from loomgraph.storage import cut, shared_dir, written
 
-__all__ = ["NO_ID", "cut", "emptied", "filled", "let", "removed", "settled", "shared_dir", "task_memory", "tasks_for"]
+__all__ = ["NO_ID", "cut", "emptied", "filled", "let", "removed", "settled", "shared_dir", "task_memory", "tasks_for", "written"]
 #: Plan nodes that give each task the same rows in the same order whenever it runs.
 SETTLED = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation", "Union"}
 

@@ -36,9 +36,10 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, emptied, filled, task_memory
+from .common import cut, emptied, filled, task_memory, written
 
 WORDS = 3
 SEED = 42
@@ -46,7 +47,9 @@ M64 = (1 << 64) - 1
 JACCARD_WORDS = 5
 PRINTS, RADIUS = 6, 4
 CELL = 1_000
-CACHED_WORDS = 200_000
+STEPS = np.arange(1, PRINTS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+ROOTS = [isqrt(256 * k) for k in range(64)]
+F_COLUMNS = [f"f{k}" for k in range(PRINTS)]
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -164,29 +167,35 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def word_fingerprints(text: str | None, known: dict[bytes, np.ndarray]) -> np.ndarray:
-    """PRINTS fingerprints of a text's distinct words, weighted by the roots of their counts (signed). known: bits of words, bounded."""
-    from xxhash import xxh64_digest
-
-    counts = Counter((text or "").encode("utf-8", "replace").lower().split())
-    if not counts:
-        return np.zeros(PRINTS, "i8")
-    total, whole = np.zeros(64 * PRINTS, "int64"), 0
-    words = list(counts)
-    for a in range(0, len(words), 1 << 13):
-        part = words[a : a + (1 << 13)]
-        rows = []
-        for w in part:
-            found = known.get(w)
-            if found is None:
-                found = np.frombuffer(b"".join(xxh64_digest(w, k) for k in range(PRINTS)), "u1")
-                if len(known) < CACHED_WORDS and len(w) < 64:
-                    known[w] = found
-            rows.append(found)
-        weights = np.array([isqrt(256 * counts[w]) for w in part], "int64")
-        total += weights @ np.unpackbits(np.stack(rows), axis=1)
+def word_fingerprints(words: list[bytes]) -> np.ndarray:
+    """PRINTS fingerprints (signed) of a text's distinct words, weighted by the roots of their counts. A word's bits are its hash, mixed with a number for each fingerprint."""
+    from xxhash import xxh64_intdigest
+
+    counts = Counter(words)
+    total, whole, names = np.zeros(64 * PRINTS), 0, list(counts)
+    for a in range(0, len(names), 1 << 12):
+        part = names[a : a + (1 << 12)]
+        h = np.array([xxh64_intdigest(w, SEED) for w in part], "u8")[:, None] + STEPS
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits((h ^ (h >> np.uint64(31))).view("u1"), axis=1)
+        weights = np.array([ROOTS[n] if n < 64 else isqrt(256 * n) for n in map(counts.__getitem__, part)], "f4")
+        total += weights @ bits.astype("f4")  # whole numbers far below 2^24, so exact
         whole += int(weights.sum())
-    return np.packbits(2 * total > whole).view(">i8").astype("i8")
+    return np.packbits(2 * total > whole).view("<i8") if names else np.zeros(PRINTS, "i8")
+
+
+def distinct_shingles(words: list[bytes], n: int = JACCARD_WORDS) -> int:
+    """How many different runs of n words there are, by 64-bit hashes of them."""
+    if len(words) <= n:
+        return min(1, len(words))
+    number: dict[bytes, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words], "u8") + np.uint64(1)
+    h = np.zeros(len(ids) - n + 1, "u8")
+    for k in range(n):
+        h = (h ^ ids[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return len(np.unique(h))
 
 
 def text_key(text: Column) -> Column:
@@ -195,23 +204,29 @@ def text_key(text: Column) -> Column:
 
 def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """key, n (shingles) and the fingerprints f0, f1, ... of every row."""
-    columns = [f"f{k}" for k in range(PRINTS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[bytes, np.ndarray] = {}
-        with task_memory(words):
+        with task_memory():
             for batch in batches:
                 known = dict(zip(batch["key"], batch["text"]))
-                prints = np.array([word_fingerprints(t, words) for t in known.values()], "i8").reshape(-1, PRINTS)
-                out = pd.DataFrame(prints, columns=columns)
-                yield out.assign(key=list(known), n=[len(shingles(t)) for t in known.values()])[["key", "n", *columns]]
+                split = [(t or "").encode("utf-8", "replace").lower().split() for t in known.values()]
+                prints = np.array([word_fingerprints(w) for w in split], "i8").reshape(-1, PRINTS)
+                yield pd.DataFrame({"key": list(known), "n": [distinct_shingles(w) for w in split]} | {c: prints[:, k] for k, c in enumerate(F_COLUMNS)})
 
-    schema = "key binary, n long, " + ", ".join(f"{c} long" for c in columns)
+    schema = "key binary, n long, " + ", ".join(f"{c} long" for c in F_COLUMNS)
     return docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs u, v whose texts are alike. texts: key, text, one row a key."""
+def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs u > v of nodes that are alike: by the sizes of their sets and the distance of some fingerprint, then by the texts. pairs: distinct u, v."""
+    side = lambda c: prints.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("key", "n", *F_COLUMNS)])
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    fits = 5 * F.least("n_u", "n_v") >= 4 * F.greatest("n_u", "n_v")
+    near = F.least(*[F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in F_COLUMNS]) <= RADIUS
+    both = written(both.where(fits & near).select("u", "v", "key_u", "key_v"))
+    wanted = both.select(F.col("key_u").alias("key")).unionByName(both.select(F.col("key_v").alias("key"))).distinct()
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    texts = written(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, seen = None, set()
@@ -224,45 +239,42 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     good.append(alike(shingles(a), seen))
                 yield batch.loc[good, ["u", "v"]]
 
-    both = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
-
-
-def near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """u, v: links that join all near copies found into the same components. Nodes are text_key()."""
-    columns = [f"f{k}" for k in range(PRINTS)]
-    prints = cut(signatures(docs, text_col).dropDuplicates(["key"]))
-    met = collisions(prints.withColumnRenamed("key", "text"), [F.col(c) for c in columns], RADIUS)
-    own = F.expr(f"element_at(array({', '.join(columns)}), CAST(table DIV {len(masks(RADIUS))} AS INT) + 1)")
-    members = cut(met.select("table", F.col("key").alias("bucket"), F.col("text").alias("key"), "n", own.alias("fp"), "size"))
-    keyed = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    texts = cut(keyed.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    fits = lambda m, n: 5 * F.least(m, n) >= 4 * F.greatest(m, n)
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS
-
-    least = members.groupBy("table", "bucket").agg(F.min(F.struct("key", "n", "fp")).alias("least"))
-    stars = members.join(least, ["table", "bucket"]).where((F.col("key") != F.col("least.key")) & fits(F.col("n"), F.col("least.n")) & near(F.col("fp"), F.col("least.fp")))
-    stars = stars.select(F.col("key").alias("u"), F.col("least.key").alias("v")).distinct()
-    first = cut(verified(stars, texts))
-    roots = components(first).select(F.col("node").alias("key"), "root")
-
-    rooted = members.join(roots, "key", "left").select(*members.columns, F.coalesce("root", "key").alias("root"))
-    split = rooted.groupBy("table", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("table", "bucket")
+    held = both.join(texts.select(F.col("key").alias("key_u"), F.col("text").alias("a")), "key_u").join(texts.select(F.col("key").alias("key_v"), F.col("text").alias("b")), "key_v")
+    return held.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """node, key of each distinct text, and u, v: links that join all near copies found into the same components."""
+    prints = written(signatures(docs, text_col).dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()))
+    made = [F.xxhash64(F.lit(f * len(ms) + k), F.col(c).bitwiseAND(F.lit(signed(m)))) for ms in [masks(RADIUS)] for f, c in enumerate(F_COLUMNS) for k, m in enumerate(ms)]
+    buckets = prints.select("node", F.explode(F.array(*made)).alias("bucket"))
+    whole = W.partitionBy("bucket")  # a row of a bucket is two numbers
+    members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size"), F.min("node").over(whole).alias("least")).where("size > 1"))
+
+    stars = members.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    stars = written(stars)
+    first = cut(verified(stars, prints, docs, text_col))
+    roots = components(first).select("node", "root")
+
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = stars.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    left = members.join(apart, (F.col("node") == F.col("u")) & (F.col("least") == F.col("v")), "left_semi").select("bucket").distinct()
     count = F.ceil(F.col("size") / CELL).cast("int")
-    rooted = rooted.join(split, ["table", "bucket"], "left_semi").withColumn("block", F.pmod(F.xxhash64("key"), count).cast("int"))
+    rooted = members.join(left, "bucket", "left_semi").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")).withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
     cells = rooted.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    cells = cells.select("table", "bucket", "key", "n", "fp", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    a, b = (cells.select("table", "bucket", "x", "y", *[F.col(c).alias(c + side) for c in ("key", "n", "fp", "root")]) for side in "ab")
-    both = a.join(b, ["table", "bucket", "x", "y"]).where((F.col("keya") > F.col("keyb")) & (F.col("roota") != F.col("rootb")) & fits(F.col("na"), F.col("nb")) & near(F.col("fpa"), F.col("fpb")))
-    rest = both.select(F.col("keya").alias("u"), F.col("keyb").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    return first.unionByName(verified(rest, texts))
+    cells = cells.select("bucket", "node", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    a, b = (cells.select("bucket", "x", "y", F.col("node").alias("node" + c), F.col("root").alias("root" + c)) for c in "ab")
+    both = a.join(b, ["bucket", "x", "y"]).where((F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")))
+    rest = both.select(F.col("nodea").alias("u"), F.col("nodeb").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    return prints.select("node", "key"), first.unionByName(verified(rest, prints, docs, text_col))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that have a near copy of a smaller id; all columns stay."""
-    roots = components(near_copies(docs, text_col)).select(F.col("node").alias("key"), "root")
+    nodes, links = near_copies(docs, text_col)
+    roots = nodes.join(components(links), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key")).groupBy("id", "key").agg(F.count("*").alias("rows"))
-    rows = rows.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "key", "rows")).alias("kept"))
+    rows = rows.join(roots, "key").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "key", "rows")).alias("kept"))
     id_, key = f"__id_{uuid.uuid4().hex}", f"__key_{uuid.uuid4().hex}"
     keep = cut(rows.select(F.col("kept.id").alias(id_), F.col("kept.key").alias(key), F.col("kept.rows").alias("rows")))
     out = docs.join(keep.drop("rows"), F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (text_key(F.col(text_col)) == F.col(key)), "left_semi")
