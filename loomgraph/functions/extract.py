@@ -31,7 +31,7 @@ ALWAYS = ("python", "rust", "typescript", "svelte")
 #: How many lines a declaration may take until its body begins.
 AHEAD = 10
 SELF_LIKE = {"self", "this", "super", "parent", "static", "base", "Self"}
-ANY_KEYWORD = frozenset().union(*KEYWORDS_OF.values())
+ANY_KEYWORD = KEYWORDS_OF["java"]  # of a language without keywords of its own
 
 
 @dataclass(frozen=True)

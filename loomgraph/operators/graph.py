@@ -114,17 +114,19 @@ def similar_nodes(nodes: DataFrame, query: str, limit: int = 5) -> DataFrame:
     return rows.orderBy(F.desc("score"), "name", "id").limit(limit)
 
 
-def structure(nodes: DataFrame, edges: DataFrame, file_id: str) -> DataFrame:
-    """The names a file holds, by type."""
-    inside = nodes.where(F.col("id").startswith(file_id + "::"))
-    return inside.groupBy("type").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 15), ",").alias("shown"))
+def structure(nodes: DataFrame, edges: DataFrame, file_id: str, shown: int = 15) -> DataFrame:
+    """How many names a file holds, by type, and the first of them."""
+    inside = nodes.where(F.col("id").startswith(file_id + "::")).groupBy("type", "name").agg(F.count("*").alias("n"))
+    ranked = inside.withColumn("k", F.row_number().over(W.partitionBy("type").orderBy("name")))
+    return ranked.groupBy("type").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= shown, F.col("name")))), ",").alias("shown"))
 
 
 def impls(nodes: DataFrame, method: str, trait: str | None = None) -> DataFrame:
-    """Implementations of a trait's method, grouped by trait."""
+    """Implementations of a trait's method, a row each, with how many the trait has."""
     hit = F.col("type").isin("Method", "Function") & (F.col("name") == method) & (F.coalesce("trait_impl", F.lit("")) != "")
     hit = hit & (F.col("trait_impl") == trait) if trait else hit
-    return nodes.where(hit).groupBy("trait_impl").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    found = nodes.where(hit).select("trait_impl", "id")
+    return found.join(found.groupBy("trait_impl").agg(F.count("*").alias("n")), "trait_impl")
 
 
 def ancestors(edges: DataFrame, depth: int = 5) -> DataFrame:

@@ -90,7 +90,7 @@ def structure(t):
     return graph.structure(t["nodes"], t["edges"], "FILE:core/src/r0.rs")
 
 
-@query("SELECT trait_impl, count(*) AS n, array_to_string(list_sort(list(id)), ',') AS ids FROM nodes WHERE type IN ('Method', 'Function') AND name = 'm1' AND trait_impl IS NOT NULL GROUP BY trait_impl")
+@query("SELECT trait_impl, id, count(*) OVER (PARTITION BY trait_impl) AS n FROM nodes WHERE type IN ('Method', 'Function') AND name = 'm1' AND trait_impl IS NOT NULL")
 def impls(t):
     return graph.impls(t["nodes"], "m1")
 

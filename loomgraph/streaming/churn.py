@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.storage import shared_dir
+
 
 def windowed_churn(commits: DataFrame, time: str, key: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Changes by window and key. State of windows older than the watermark is dropped, so it is bounded by late + window."""
@@ -14,13 +16,20 @@ def windowed_churn(commits: DataFrame, time: str, key: str, window: str = "1 day
 
 
 def replay(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Run a Parquet table through the stream once; the result table of the run."""
+    """Run a Parquet table through the stream once; the result table of the run.
+
+    Each batch writes the windows that it changed to a folder of its own (so a repeated batch replaces its rows); of each window the last batch counts.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    table = f"churn_{uuid.uuid4().hex}"
-    query = windowed_churn(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).start()
+    out = f"{shared_dir(spark)}/churn-{uuid.uuid4().hex}"
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
+
+    query = windowed_churn(stream, "ts", "event_type").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.table(table)
+    return spark.read.parquet(f"{out}/rows").groupBy("since", "event_type").agg(F.max_by("changes", "batch").alias("changes"))

@@ -49,7 +49,7 @@ def test_python():
         ("e/w.go", {("Class", "T"), ("Method", "Go")}, {("Go", "REF:Do", "CALLS")}, set()),
         ("f/r.rb", {("Class", "R"), ("Method", "go?")}, {("R", "REF:Q", "INHERITS"), ("go?", "REF:call", "CALLS")}, {"REF:no"}),
         ("h/p.proto", {("Class", "Ask"), ("Class", "S"), ("Function", "Get")}, {("Get", "REF:Ask", "CALLS"), ("Get", "REF:Reply", "CALLS")}, {"REF:returns"}),
-        ("k/a.php", {("Class", "P"), ("Constant", "TOP"), ("Method", "go")}, {("P", "REF:Q", "INHERITS"), ("go", "REF:this->call", "CALLS")}, {"REF:no"}),
+        ("k/a.php", {("Class", "P"), ("Constant", "TOP"), ("Method", "go")}, {("P", "REF:Q", "INHERITS"), ("go", "REF:this.call", "CALLS")}, {"REF:no"}),
         ("k/b.cs", {("Class", "C"), ("Method", "Go")}, {("C", "REF:Base", "INHERITS"), ("Go", "REF:Call", "CALLS")}, set()),
         ("k/c.dart", {("Class", "D"), ("Method", "go")}, {("D", "REF:E", "INHERITS"), ("go", "REF:call", "CALLS")}, set()),
         ("i/c.c", {("Constant", "TOP"), ("Function", "run")}, {("run", "REF:go", "CALLS")}, set()),
