@@ -8,14 +8,14 @@ copies never meet each other.
 
 near_duplicates() links fingerprints of word shingles within 2 bits. Two fingerprints of a bucket can differ only where its table
 masks bits out, and are within 2 bits exactly if they share a value with at most one of these bits flipped. So a bucket is
-decided by groups of such values, of at most 31 fingerprints whatever the bucket's size; the pairs of a bucket are never formed.
+decided by groups of such values, of at most 29 fingerprints whatever the bucket's size; the pairs of a bucket are never formed.
 
 one_of_each() is for texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8: they differ in few words, so
 it takes PRINTS fingerprints of their words (weights: roots of the counts), the tables of RADIUS bits over each, and decides
-each collision by the distance, the sizes and then the exact Jaccard of the two texts. Nothing below the bar is linked; a pair above it
-is missed if all its fingerprints are further apart than RADIUS (README: measured recall). A bucket is first compared with its least text
-only; texts that this puts into one component aren't compared again, and the others of a bucket meet in cells of CELL texts, so no
-task holds a bucket.
+each collision by the distance over all fingerprints, the sizes and then the exact Jaccard of the two texts. Nothing below the bar is
+linked; a pair above it is missed if all its fingerprints are further apart than RADIUS (README: measured recall). A bucket is first
+compared with one text only, that which collides most; texts that this puts into one component aren't compared again, and what is left of
+buckets meets by the rarest shingles of each text, which texts at the bar must share, so the pairs of a bucket are never formed.
 
 Components come from rounds of hooking to the least neighbour and pointer jumping, each written to shared storage.
 
@@ -46,7 +46,8 @@ SEED = 42
 M64 = (1 << 64) - 1
 JACCARD_WORDS = 5
 PRINTS, RADIUS = 6, 4
-CELL = 1_000
+#: Two texts at a Jaccard of 0.8 have 26 of the 384 bits apart, give or take 5, if all their words are distinct, and less if not.
+FAR = 56
 STEPS = np.arange(1, PRINTS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
 ROOTS = [isqrt(256 * k) for k in range(64)]
 F_COLUMNS = [f"f{k}" for k in range(PRINTS)]
@@ -217,13 +218,17 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
 
 
+def near(a: str, b: str) -> Column:
+    """Whether the fingerprints of two sides are close enough in all: at most FAR bits."""
+    return sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in F_COLUMNS), F.lit(0)) <= FAR
+
+
 def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """The pairs u > v of nodes that are alike: by the sizes of their sets and the distance of some fingerprint, then by the texts. pairs: distinct u, v."""
     side = lambda c: prints.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("key", "n", *F_COLUMNS)])
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     fits = 5 * F.least("n_u", "n_v") >= 4 * F.greatest("n_u", "n_v")
-    near = F.least(*[F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in F_COLUMNS]) <= RADIUS
-    both = written(both.where(fits & near).select("u", "v", "key_u", "key_v"))
+    both = written(both.where(fits & near("u", "v")).select("u", "v", "key_u", "key_v"))
     wanted = both.select(F.col("key_u").alias("key")).unionByName(both.select(F.col("key_v").alias("key"))).distinct()
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
     texts = written(texts)
@@ -243,29 +248,62 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str
     return held.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
+def sharing(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """node_a, node_b of all pairs of nodes with other roots that share a shingle which texts at the bar must share, are alike in size and near.
+
+    With shingles ordered by the number of nodes that have them, the rarest first, two sets at the bar share one of the first
+    n - 0.8 n + 1 of the larger and one of the first n - 8/9 n + 1 of the smaller. Shingles of one node come first, so a text with many of its own meets none, however large its crowd.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        with task_memory():
+            for batch in batches:
+                found = [np.unique(np.array([xxh64_intdigest(x, SEED) for x in shingles(t)], "u8")).view("i8") for t in batch["text"]]
+                yield pd.DataFrame({"key": batch["key"], "tokens": found})
+
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    tokens = texts.select("key", "text").mapInPandas(run, "key binary, tokens array<long>").join(nodes.select("key", "node", "root"), "key")
+    tokens = written(tokens.select("node", "root", F.size("tokens").alias("size"), F.explode("tokens").alias("token")))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
+    shared = tokens.join(often, "token")
+    place = W.partitionBy("node").orderBy("df", "token")  # a node has its text's shingles
+    shared = shared.withColumns({"place": F.row_number().over(place), "own": F.col("size") - F.count("*").over(W.partitionBy("node"))})
+    ahead = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1 - F.col("own")
+    first = written(shared.where((F.col("place") <= ahead(0.8)) & (F.col("low") != F.col("high"))).select("token", "node", "root", "size", (F.col("own") + F.col("place")).alias("place"), (F.col("place") <= ahead(8 / 9)).alias("indexed")))
+    some = first.groupBy("token").agg(F.count_if("indexed").alias("i"), F.min("root").alias("low"), F.max("root").alias("high")).where("i > 0 AND low <> high").select("token")
+    first = first.join(some, "token", "left_semi").join(nodes.drop("key", "root"), "node")
+    a, b = (first.select("token", "indexed", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "size", "place", "n", *F_COLUMNS)]) for c in "ab")
+    both_need = F.ceil((F.col("size_a") + F.col("size_b")) * 4 / 9 - 1e-9)  # shingles that the two have in common at the bar
+    early = (F.col("place_a") <= F.col("size_a") - both_need + 1) & (F.col("place_b") <= F.col("size_b") - both_need + 1)
+    alike_in_size = (F.col("n_b") <= F.col("n_a")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
+    met = a.drop("indexed").join(b.where("indexed").drop("indexed"), "token").where((F.col("root_a") != F.col("root_b")) & alike_in_size & early & near("a", "b"))
+    return met.select(F.greatest("node_a", "node_b").alias("node_a"), F.least("node_a", "node_b").alias("node_b"))
+
+
 def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """node, key of each distinct text, and u, v: links that join all near copies found into the same components."""
     prints = written(signatures(docs, text_col).dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()))
     made = [F.xxhash64(F.lit(f * len(ms) + k), F.col(c).bitwiseAND(F.lit(signed(m)))) for ms in [masks(RADIUS)] for f, c in enumerate(F_COLUMNS) for k, m in enumerate(ms)]
     buckets = prints.select("node", F.explode(F.array(*made)).alias("bucket"))
     whole = W.partitionBy("bucket")  # a row of a bucket is two numbers
-    members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size"), F.min("node").over(whole).alias("least")).where("size > 1"))
+    members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size")).where("size > 1"))
+    # what stands in the middle of a crowd meets more others in more tables, and is alike to more of them, than what stands at its edge
+    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    leading = members.join(degrees, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("leader"))
+    led = written(members.join(leading, "bucket"))
 
-    stars = members.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    stars = written(stars)
+    stars = written(led.where("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct())
     first = cut(verified(stars, prints, docs, text_col))
     roots = components(first).select("node", "root")
 
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = stars.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    left = members.join(apart, (F.col("node") == F.col("u")) & (F.col("least") == F.col("v")), "left_semi").select("bucket").distinct()
-    count = F.ceil(F.col("size") / CELL).cast("int")
-    rooted = members.join(left, "bucket", "left_semi").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")).withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
-    cells = rooted.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    cells = cells.select("bucket", "node", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    a, b = (cells.select("bucket", "x", "y", F.col("node").alias("node" + c), F.col("root").alias("root" + c)) for c in "ab")
-    both = a.join(b, ["bucket", "x", "y"]).where((F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")))
-    rest = both.select(F.col("nodea").alias("u"), F.col("nodeb").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    left = led.join(apart, (F.greatest("node", "leader") == F.col("u")) & (F.least("node", "leader") == F.col("v")), "left_semi").select("bucket").distinct()
+    rooted = led.join(left, "bucket", "left_semi").select("node").distinct().join(roots, "node", "left").join(prints, "node")
+    both = sharing(written(rooted.withColumn("root", F.coalesce("root", "node"))), docs, text_col)
+    rest = both.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return prints.select("node", "key"), first.unionByName(verified(rest, prints, docs, text_col))
 
 
