@@ -247,8 +247,9 @@ def _phrases(split: list[list[list[str]]], y: np.ndarray, model: Model) -> list[
     usual = np.quantile(high[y == 0], 0.95)
     left = [d for d, label, x in zip(split, y, high) if label and x <= usual]
     pairs_in = [{p for s in d for p in zip(s, s[1:])} for d in left]
-    clean = {p for d, label in zip(split, y) if not label for s in d for p in zip(s, s[1:])}
-    tries, out = max(1, len(clean.union(*pairs_in))), []
+    candidates = set().union(*pairs_in)
+    clean = {p for d, label in zip(split, y) if not label for s in d for p in zip(s, s[1:]) if p in candidates}
+    tries, out = max(1, len(candidates)), []
     while pairs_in:
         counts = Counter(p for own in set(map(frozenset, pairs_in)) for p in own if p not in clean)
         pair, n = min(counts.items(), key=lambda x: (-x[1], x[0]), default=((), 0))
@@ -260,7 +261,8 @@ def _phrases(split: list[list[list[str]]], y: np.ndarray, model: Model) -> list[
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
-    split, y = [sentences_of(t) for t in texts], np.array(labels, "int64")
+    same: dict[str, str] = {}  # one object for each word
+    split, y = [[[same.setdefault(w, w) for w in s] for s in sentences_of(t)] for t in texts], np.array(labels, "int64")
     keep = [k for k, b in enumerate(split) if b]
     split, y = [split[k] for k in keep], y[keep]
     if not (0 < y.sum() < len(y)):
@@ -283,7 +285,7 @@ def _fit(split: list[list[list[str]]], y: np.ndarray, phrases: list[tuple[str, s
         bad.update({" ".join(p): sum(p in own for own, label in zip(pairs_in, y) if label) for p in phrases})
         sure += [" ".join(p) for p in phrases]
     known = dict(zip(names := list(dict.fromkeys(w for b in bags for w in b)), model.looks(names).tolist()))
-    units_in = [[s + [f"{a} {b}" for a, b in zip(s, s[1:]) if known[a] & 1 and known[b] & 2] for s in doc] for doc in split]
+    units_in = [[s + [f"{a} {b}" for a, b in zip(s, s[1:]) if known[a] & 1 and known[b] & 2] for s in doc] for doc in split] if phrases else split
     units = list(dict.fromkeys(u for doc in units_in for s in doc for u in s))
     number = {u: k for k, u in enumerate(units)}
     inside = [[np.array([number[u] for u in dict.fromkeys(s)]) for s in doc] for doc in units_in]
