@@ -190,11 +190,12 @@ def is_sensitive(path: Column) -> Column:
 
 
 def is_text(sample: Column) -> Column:
-    """whether the first bytes of a file look like text: at most one in a hundred is zero, and they are UTF-8, or begin with the mark of UTF-16."""
+    """whether the first bytes of a file look like text: at most one in a hundred is zero, and they are UTF-8 (the last character may be cut), or begin with the mark of UTF-16."""
     plain = F.decode(sample, "ISO-8859-1")
     zeros = F.char_length(plain) - F.char_length(F.translate(plain, "\0", ""))
     marked = F.substring(F.hex(sample), 1, 4).isin("FFFE", "FEFF")
-    return marked | (zeros <= F.length(sample) * 0.01) & F.is_valid_utf8(sample.cast("string"))
+    whole = either([F.is_valid_utf8(F.substring(sample, F.lit(1), F.greatest(F.lit(0), F.length(sample) - k)).cast("string")) for k in range(4)])
+    return marked | (zeros <= F.length(sample) * 0.01) & whole
 
 
 def location(node_id: Column, lineno: Column) -> Column:

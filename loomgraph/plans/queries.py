@@ -211,7 +211,7 @@ def resolve_refs(t):
     return resolve.resolve(t["nodes"], t["edges"])
 
 
-@query(RESOLVED + " SELECT strategy, count(*) AS n FROM res GROUP BY strategy")
+@query(RESOLVED + " SELECT strategy, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM res GROUP BY strategy")
 def resolution_stats(t):
     return resolve.resolution_stats(resolve.resolve(t["nodes"], t["edges"]))
 
