@@ -14,7 +14,7 @@ one_of_each() is for texts whose sets of five-word shingles have a Jaccard simil
 it takes PRINTS fingerprints of their words (weights: roots of the counts), the tables of RADIUS bits over each, and decides
 each collision by the distance over all fingerprints, the sizes and then the exact Jaccard of the two texts. Nothing below the bar is
 linked; a pair above it is missed if all its fingerprints are further apart than RADIUS (README: measured recall). A bucket is first
-compared with one text only, that which collides most; texts that this puts into one component aren't compared again, and what is left of
+compared with its least text only; texts that this puts into one component aren't compared again, and what is left of
 buckets meets by the rarest shingles of each text, which texts at the bar must share, so the pairs of a bucket are never formed.
 
 Components come from rounds of hooking to the least neighbour and pointer jumping, each written to shared storage.
@@ -288,20 +288,15 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     made = [F.xxhash64(F.lit(f * len(ms) + k), F.col(c).bitwiseAND(F.lit(signed(m)))) for ms in [masks(RADIUS)] for f, c in enumerate(F_COLUMNS) for k, m in enumerate(ms)]
     buckets = prints.select("node", F.explode(F.array(*made)).alias("bucket"))
     whole = W.partitionBy("bucket")  # a row of a bucket is two numbers
-    members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size")).where("size > 1"))
-    # what stands in the middle of a crowd meets more others in more tables, and is alike to more of them, than what stands at its edge
-    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    leading = members.join(degrees, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("leader"))
-    led = written(members.join(leading, "bucket"))
-
-    stars = written(led.where("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct())
+    members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size"), F.min("node").over(whole).alias("leader")).where("size > 1").drop("size"))
+    stars = written(members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct())
     first = cut(verified(stars, prints, docs, text_col))
     roots = components(first).select("node", "root")
 
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = stars.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    left = led.join(apart, (F.greatest("node", "leader") == F.col("u")) & (F.least("node", "leader") == F.col("v")), "left_semi").select("bucket").distinct()
-    rooted = led.join(left, "bucket", "left_semi").select("node").distinct().join(roots, "node", "left").join(prints, "node")
+    left = members.join(apart, (F.col("node") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("bucket").distinct()
+    rooted = members.join(left, "bucket", "left_semi").select("node").distinct().join(roots, "node", "left").join(prints, "node")
     both = sharing(written(rooted.withColumn("root", F.coalesce("root", "node"))), docs, text_col)
     rest = both.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return prints.select("node", "key"), first.unionByName(verified(rest, prints, docs, text_col))
