@@ -76,7 +76,7 @@ def _callers(nodes: DataFrame, edges: DataFrame, query: str, fuzzy: bool) -> Dat
 
 def callers(nodes: DataFrame, edges: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
     """G1: who calls a name, with what is known of each caller; names that begin with it only if none has it."""
-    hits = _callers(nodes, edges, query, False)
+    hits = cut(_callers(nodes, edges, query, False))
     if hits.isEmpty():
         hits = _callers(nodes, edges, query, True)
     out = hits.join(nodes.select("id", "name", "type", "token_count"), "id", "left")
