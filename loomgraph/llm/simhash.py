@@ -14,8 +14,9 @@ one_of_each() is for texts whose sets of five-word shingles have a Jaccard simil
 it takes PRINTS fingerprints of their words (weights: roots of the counts), the tables of RADIUS bits over each, and decides
 each collision by the distance over all fingerprints, the sizes and then the exact Jaccard of the two texts. Nothing below the bar is
 linked; a pair above it is missed if all its fingerprints are further apart than RADIUS (README: measured recall). A bucket is first
-compared with its least text only; texts that this puts into one component aren't compared again, and what is left of
-buckets meets by the rarest shingles of each text, which texts at the bar must share, so the pairs of a bucket are never formed.
+compared with its least text only; texts that this puts into one component aren't compared again. What is left of buckets
+of up to FEW texts meets pair by pair, and what is left of larger ones by the rarest shingles of each text, which texts at the bar must
+share, so the pairs of a large bucket are never formed.
 
 Components come from rounds of hooking to the least neighbour and pointer jumping, each written to shared storage.
 
@@ -48,6 +49,8 @@ JACCARD_WORDS = 5
 PRINTS, RADIUS = 6, 4
 #: Two texts at a Jaccard of 0.8 have 26 of the 384 bits apart, give or take 5, if all their words are distinct, and less if not.
 FAR = 56
+#: Buckets of up to so many texts are compared pair by pair; so at most this many pairs come from a row.
+FEW = 16
 STEPS = np.arange(1, PRINTS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
 ROOTS = [isqrt(256 * k) for k in range(64)]
 F_COLUMNS = [f"f{k}" for k in range(PRINTS)]
@@ -288,7 +291,7 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     made = [F.xxhash64(F.lit(f * len(ms) + k), F.col(c).bitwiseAND(F.lit(signed(m)))) for ms in [masks(RADIUS)] for f, c in enumerate(F_COLUMNS) for k, m in enumerate(ms)]
     buckets = prints.select("node", F.explode(F.array(*made)).alias("bucket"))
     whole = W.partitionBy("bucket")  # a row of a bucket is two numbers
-    members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size"), F.min("node").over(whole).alias("leader")).where("size > 1").drop("size"))
+    members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size"), F.min("node").over(whole).alias("leader")).where("size > 1"))
     stars = written(members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct())
     first = cut(verified(stars, prints, docs, text_col))
     roots = components(first).select("node", "root")
@@ -296,8 +299,14 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = stars.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
     left = members.join(apart, (F.col("node") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("bucket").distinct()
-    rooted = members.join(left, "bucket", "left_semi").select("node").distinct().join(roots, "node", "left").join(prints, "node")
-    both = sharing(written(rooted.withColumn("root", F.coalesce("root", "node"))), docs, text_col)
+    rooted = members.join(left, "bucket", "left_semi").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted)
+    sides = rooted.where(F.col("size") <= FEW).join(prints.drop("key"), "node")
+    a, b = (sides.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", *F_COLUMNS)]) for c in "ab")
+    fits = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
+    both = a.join(b, "bucket").where((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits & near("a", "b")).select("node_a", "node_b")
+    crowd = rooted.where(F.col("size") > FEW).select("node", "root").distinct().join(prints, "node")
+    both = both.unionByName(sharing(written(crowd), docs, text_col))
     rest = both.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return prints.select("node", "key"), first.unionByName(verified(rest, prints, docs, text_col))
 
