@@ -8,17 +8,34 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import names as N
 from loomgraph.sources.versions import since
-from loomgraph.storage import numbered
+from loomgraph.storage import numbered, written
 
-BIN = 64
 
+def blocks(spans: DataFrame) -> DataFrame:
+    """file, level, block, best: the innermost span (later ones win ties) of each block of 2^level lines that a span is made of.
 
-def attribute(lines: DataFrame, spans: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """The innermost span (file, start, end, id, ord) that holds each line (file, line); later spans win ties. Spans meet lines by bins of lines."""
-    boxed = spans.withColumn("box", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))))
-    keyed = lines.withColumn("box", F.floor(F.col("line") / bin_size))
-    hits = keyed.join(boxed, ["file", "box"]).where("line BETWEEN start AND end")
-    return hits.groupBy(*lines.columns).agg(F.max_by("id", F.struct((F.col("start") - F.col("end")).alias("tight"), "ord")).alias("id"))
+    Spans are cut as in a segment tree, into at most two blocks a level; of the spans of a block one is left, so however many lie over a line, it meets one a level.
+    """
+    cuts = """flatten(transform(transform(sequence(0, length(bin(`end` - start + 1)) - 1), k -> struct(k, shiftright(start + shiftleft(1L, k) - 1, k) AS a, shiftright(`end` + 1, k) AS b)),
+        x -> filter(array(if(x.a < x.b AND x.a % 2 <> 0, struct(x.k AS level, x.a AS block), NULL), if(x.a < x.b AND x.b % 2 <> 0, struct(x.k AS level, x.b - 1 AS block), NULL)), y -> y IS NOT NULL)))"""
+    whole = spans.where("start <= `end`").groupBy("file", *[F.col(c).cast("long").alias(c) for c in ("start", "end")]).agg(F.max(F.struct("ord", "id")).alias("last"))
+    cut_up = whole.select("file", F.struct((F.col("start") - F.col("end")).alias("tight"), "last.ord", "last.id").alias("best"), F.explode(F.expr(cuts)).alias("cut"))
+    return cut_up.groupBy("file", "cut.level", "cut.block").agg(F.max("best").alias("best"))
+
+
+def innermost(places: DataFrame, spans: DataFrame) -> DataFrame:
+    """file, line, id of each distinct place (file, line) that a span (file, start, end, id, ord) holds: the innermost, later ones win ties."""
+    found = written(blocks(spans))
+    top = F.broadcast(found.agg(F.max("level").alias("top")))  # one row
+    at = places.select("file", "line").distinct().join(top).select("file", "line", F.explode(F.sequence(F.lit(0), "top")).alias("level"))
+    at = at.withColumn("block", F.expr("shiftright(CAST(line AS BIGINT), level)"))
+    best = at.join(found, ["file", "level", "block"]).groupBy("file", "line").agg(F.max("best").alias("best"))
+    return written(best.select("file", "line", "best.id"))
+
+
+def attribute(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """The innermost span (file, start, end, id, ord) that holds each distinct row of lines (file, line, ...); later spans win ties."""
+    return lines.join(innermost(lines, spans), ["file", "line"]).select(*lines.columns, "id").distinct()
 
 
 def nearest_span(lines: DataFrame, starts: DataFrame, reach: int = 9) -> DataFrame:
@@ -60,8 +77,8 @@ def file_churn(changes: DataFrame, limit: int | None = 20) -> DataFrame:
 
 def symbol_churn(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """A4: distinct commits, added and removed lines of each symbol. lines: sha, file, line, sign."""
-    hit = attribute(lines.groupBy("sha", "file", "line").agg(F.count_if(F.col("sign") == "+").alias("a"), F.count_if(F.col("sign") == "-").alias("r")), spans)
-    return hit.groupBy("id").agg(F.countDistinct("sha").alias("commits"), F.sum("a").alias("added"), F.sum("r").alias("removed"))
+    hit = lines.join(innermost(lines, spans), ["file", "line"])
+    return hit.groupBy("id").agg(F.countDistinct("sha").alias("commits"), F.count_if(F.col("sign") == "+").alias("added"), F.count_if(F.col("sign") == "-").alias("removed"))
 
 
 def in_range(changes: DataFrame, time_range: str | None, today: str, after: str | None = None, day: str = "day") -> DataFrame:
