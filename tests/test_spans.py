@@ -64,3 +64,10 @@ def test_impact_of_a_crowd(spark, crowd):
     want = sorted(((-a - r, id_, c, a, r) for id_, (c, a, r) in churn(lines, spans).items()))[:5]
     assert [(-x["changed"], x["id"], x["commits"], x["added"], x["removed"]) for x in got] == want
     assert 0 < most <= len(lines)
+
+
+def test_churn_of_a_crowd(spark, crowd):
+    lines, spans, line_rows, span_rows = crowd
+    got, most = join_rows(spark, lambda: history.symbol_churn(line_rows, span_rows).collect())
+    assert {x["id"]: (x["commits"], x["added"], x["removed"]) for x in got} == churn(lines, spans)
+    assert 0 < most <= len(lines)
