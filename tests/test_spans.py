@@ -71,3 +71,22 @@ def test_churn_of_a_crowd(spark, crowd):
     got, most = join_rows(spark, lambda: history.symbol_churn(line_rows, span_rows).collect())
     assert {x["id"]: (x["commits"], x["added"], x["removed"]) for x in got} == churn(lines, spans)
     assert 0 < most <= len(lines)
+
+
+def test_lines_of_a_crowd(spark, crowd):
+    lines, spans, line_rows, span_rows = crowd
+    got, most = join_rows(spark, lambda: history.attribute(line_rows.select("k", "file", "line"), span_rows).collect())
+    assert sorted(map(tuple, got)) == [(k, f, n, id_) for k, _, f, n, _ in lines if (id_ := innermost(spans, f, n)) is not None]
+    assert 0 < most <= len(lines)
+
+
+def test_odd_spans(spark):
+    """Lines below zero, long spans, spans that end before they start, equal spans, nulls, files without spans, repeated lines."""
+    rng = random.Random(8)
+    spans = [(rng.choice("ab"), s := rng.randint(-300, 300), s + rng.choice([-3, 0, 1, 7, 60, 400]), f"s{k}", k) for k in range(150)] + [("a", 5, 9, "x", 1000), ("a", 5, 9, "y", 1001)]
+    lines = [(k, "c", rng.choice("abc"), rng.randint(-350, 750), "+") for k in range(600)]
+    rows = spark.createDataFrame(lines + lines[:9] + [(-1, "c", None, 3, "+"), (-2, "c", "a", None, "+")], LINES).select("k", "file", "line")
+    held = spark.createDataFrame(spans + [(None, 1, 2, "n", 1), ("a", None, 2, "n", 2), ("a", 1, None, "n", 3)], SPANS)
+    got = sorted(map(tuple, history.attribute(rows, held).collect()))
+    assert got == [(k, f, n, id_) for k, _, f, n, _ in lines if (id_ := innermost(spans, f, n)) is not None]
+    assert history.attribute(rows, held.limit(0)).count() == 0
