@@ -33,17 +33,24 @@ def innermost(places: DataFrame, spans: DataFrame) -> DataFrame:
     return written(best.select("file", "line", "best.id"))
 
 
+def with_id(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """The distinct rows of lines whose place is in found (file, line, id), with its id."""
+    return lines.join(found, ["file", "line"]).select(*lines.columns, "id").distinct()
+
+
 def attribute(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """The innermost span (file, start, end, id, ord) that holds each distinct row of lines (file, line, ...); later spans win ties."""
-    return lines.join(innermost(lines, spans), ["file", "line"]).select(*lines.columns, "id").distinct()
+    return with_id(lines, innermost(lines, spans))
 
 
 def nearest_span(lines: DataFrame, starts: DataFrame, reach: int = 9) -> DataFrame:
-    """For each line the span whose first line is nearest within reach, the one above first."""
-    around = lines.withColumn("at", F.explode(F.sequence(F.col("line") - reach, F.col("line") + reach)))
-    hits = around.join(starts.select("file", F.col("start").alias("at"), F.col("id"), "ord"), ["file", "at"])
-    gap = F.abs(F.col("line") - F.col("at"))
-    return hits.groupBy(*lines.columns).agg(F.min_by("id", F.struct(gap.alias("gap"), (F.col("at") > F.col("line")).alias("below"), "ord")).alias("id"))
+    """For each line the span whose first line is nearest within reach, the one above first. Distinct places meet the first span of each start."""
+    first = starts.groupBy("file", F.col("start").cast("long").alias("at")).agg(F.min(F.struct("ord", "id")).alias("first"))
+    line = F.col("line").cast("long")
+    around = lines.select("file", "line").distinct().withColumn("at", F.explode(F.sequence(line - reach, line + reach)))
+    best = F.min(F.struct(F.abs(line - F.col("at")).alias("gap"), (F.col("at") > line).alias("below"), "first")).alias("best")
+    found = around.join(first, ["file", "at"]).groupBy("file", "line").agg(best)
+    return with_id(lines, written(found.select("file", "line", "best.first.id")))
 
 
 def fill_forward(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -90,3 +90,11 @@ def test_odd_spans(spark):
     got = sorted(map(tuple, history.attribute(rows, held).collect()))
     assert got == [(k, f, n, id_) for k, _, f, n, _ in lines if (id_ := innermost(spans, f, n)) is not None]
     assert history.attribute(rows, held.limit(0)).count() == 0
+
+
+def test_nearest_in_a_crowd(spark, crowd):
+    lines, spans, line_rows, span_rows = crowd
+    rows = line_rows.select("k", "file", (line_rows.line * 2 - 12).alias("line"))
+    got, most = join_rows(spark, lambda: history.nearest_span(rows, span_rows).collect())
+    assert sorted(map(tuple, got)) == [(k, f, 2 * n - 12, id_) for k, _, f, n, _ in lines if (id_ := nearest(spans, f, 2 * n - 12)) is not None]
+    assert 0 < most <= len(lines)
