@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.storage import cut, shared_dir, written
 
-__all__ = ["NO_ID", "cut", "emptied", "filled", "let", "removed", "settled", "shared_dir", "task_memory", "tasks_for", "written"]
+__all__ = ["NO_ID", "cut", "emptied", "filled", "filtered", "let", "released", "removed", "settled", "shared_dir", "task_memory", "tasks_for", "written"]
 #: Plan nodes that give each task the same rows in the same order whenever it runs.
 SETTLED = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation", "Union"}
 
@@ -36,6 +36,27 @@ def removed(folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Collect the driver's garbage: only then Spark removes the shuffle files of what is written, and the driver holds less itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bits of a filter of hashes, 4 MB at most: 3 million keys fill a tenth of them. With many more it lets more through, and what follows is exact anyway.
+FILTER_BITS = 1 << 25
+
+
+def filtered(rows: DataFrame, hashed: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
+    """rows with __maybe: false only where no row of wanted has the same hash (a long). A bounded bitmap goes to the tasks, so rows needn't travel to be told apart."""
+    place = lambda h: F.pmod(h, F.lit(FILTER_BITS))
+    bits = wanted.select(place(wanted_hash).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+    at = rows.withColumn("__h", place(hashed)).withColumn("__part", F.bitmap_bucket_number("__h"))
+    position = F.bitmap_bit_position("__h")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(position, F.lit(8)))), F.lit(2)) == 1
+    return at.join(F.broadcast(bits), "__part", "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(hit, F.lit(False)).alias("__maybe"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row even if body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, emptied, filled, task_memory, written
+from .common import cut, emptied, filled, filtered, released, task_memory, written
 
 WORDS = 3
 SEED = 42
@@ -226,6 +226,13 @@ def near(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in F_COLUMNS), F.lit(0)) <= FAR
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """key, text of the wanted keys, each once. Only texts whose key may be wanted travel."""
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    some = filtered(texts, F.xxhash64("key"), wanted, F.xxhash64("key")).where("__maybe").drop("__maybe")
+    return some.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
 def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """The pairs u > v of nodes that are alike: by the sizes of their sets and the distance of some fingerprint, then by the texts. pairs: distinct u, v."""
     side = lambda c: prints.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("key", "n", *F_COLUMNS)])
@@ -233,8 +240,7 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str
     fits = 5 * F.least("n_u", "n_v") >= 4 * F.greatest("n_u", "n_v")
     both = written(both.where(fits & near("u", "v")).select("u", "v", "key_u", "key_v"))
     wanted = both.select(F.col("key_u").alias("key")).unionByName(both.select(F.col("key_v").alias("key"))).distinct()
-    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    texts = written(texts)
+    texts = written(texts_of(docs, wanted, text_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, seen = None, set()
@@ -266,15 +272,17 @@ def sharing(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
                 found = [np.unique(np.array([xxh64_intdigest(x, SEED) for x in shingles(t)], "u8")).view("i8") for t in batch["text"]]
                 yield pd.DataFrame({"key": batch["key"], "tokens": found})
 
-    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    texts = texts_of(docs, nodes.select("key"), text_col)
     tokens = texts.select("key", "text").mapInPandas(run, "key binary, tokens array<long>").join(nodes.select("key", "node", "root"), "key")
     tokens = written(tokens.select("node", "root", F.size("tokens").alias("size"), F.explode("tokens").alias("token")))
+    released(docs.sparkSession)
     often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
     shared = tokens.join(often, "token")
     place = W.partitionBy("node").orderBy("df", "token")  # a node has its text's shingles
     shared = shared.withColumns({"place": F.row_number().over(place), "own": F.col("size") - F.count("*").over(W.partitionBy("node"))})
     ahead = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1 - F.col("own")
     first = written(shared.where((F.col("place") <= ahead(0.8)) & (F.col("low") != F.col("high"))).select("token", "node", "root", "size", (F.col("own") + F.col("place")).alias("place"), (F.col("place") <= ahead(8 / 9)).alias("indexed")))
+    released(docs.sparkSession)
     some = first.groupBy("token").agg(F.count_if("indexed").alias("i"), F.min("root").alias("low"), F.max("root").alias("high")).where("i > 0 AND low <> high").select("token")
     first = first.join(some, "token", "left_semi").join(nodes.drop("key", "root"), "node")
     a, b = (first.select("token", "indexed", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "size", "place", "n", *F_COLUMNS)]) for c in "ab")
@@ -292,15 +300,19 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     buckets = prints.select("node", F.explode(F.array(*made)).alias("bucket"))
     whole = W.partitionBy("bucket")  # a row of a bucket is two numbers
     members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size"), F.min("node").over(whole).alias("leader")).where("size > 1"))
+    released(docs.sparkSession)
     stars = written(members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct())
     first = cut(verified(stars, prints, docs, text_col))
+    released(docs.sparkSession)
     roots = components(first).select("node", "root")
+    released(docs.sparkSession)
 
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = stars.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
     left = members.join(apart, (F.col("node") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("bucket").distinct()
     rooted = members.join(left, "bucket", "left_semi").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted)
+    released(docs.sparkSession)
     sides = rooted.where(F.col("size") <= FEW).join(prints.drop("key"), "node")
     a, b = (sides.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", *F_COLUMNS)]) for c in "ab")
     fits = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
@@ -316,8 +328,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes, links = near_copies(docs, text_col)
     roots = nodes.join(components(links), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key")).groupBy("id", "key").agg(F.count("*").alias("rows"))
-    rows = rows.join(roots, "key").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "key", "rows")).alias("kept"))
+    rows = written(rows.join(roots, "key"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "key", "rows")).alias("kept"))
     id_, key = f"__id_{uuid.uuid4().hex}", f"__key_{uuid.uuid4().hex}"
-    keep = cut(rows.select(F.col("kept.id").alias(id_), F.col("kept.key").alias(key), F.col("kept.rows").alias("rows")))
-    out = docs.join(keep.drop("rows"), F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (text_key(F.col(text_col)) == F.col(key)), "left_semi")
+    keep = cut(kept.select(F.col("kept.id").alias(id_), F.col("kept.key").alias(key), F.col("kept.rows").alias("rows")))
+    other = rows.join(keep, F.col("id").eqNullSafe(F.col(id_)) & (F.col("key") == F.col(key)), "left_anti")
+    hashed = F.xxhash64(F.col(id_col).cast("long"), text_key(F.col(text_col)))
+    parted = filtered(docs, hashed, written(other.select("id", "key")), F.xxhash64("id", "key"))
+    unsure = parted.where("__maybe").join(keep.drop("rows"), F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (text_key(F.col(text_col)) == F.col(key)), "left_semi")
+    out = parted.where("NOT __maybe").unionAll(unsure).drop("__maybe")  # a row of no dropped hash stays for sure
     return out if keep.where("rows > 1").isEmpty() else out.withColumn(key, text_key(F.col(text_col))).dropDuplicates([id_col, key]).drop(key)

@@ -279,7 +279,8 @@ def _fit(split: list[list[list[str]]], y: np.ndarray, phrases: list[tuple[str, s
     sure = _sure(clean, bad, y.mean())
     model = Model(_odds(bags, y), 0.0, 0.0, 1.0)
     if phrases:
-        pairs_in = [{p for s in doc for p in zip(s, s[1:])} for doc in split]
+        wanted = set(phrases)
+        pairs_in = [{p for s in doc for p in zip(s, s[1:]) if p in wanted} for doc in split]
         places, marks = _marks([w for p in phrases for w in p])
         model.places, model.parts = places, (marks[:, ::2], marks[:, 1::2])
         bad.update({" ".join(p): sum(p in own for own, label in zip(pairs_in, y) if label) for p in phrases})
@@ -429,7 +430,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def learned(docs: DataFrame, labels: DataFrame, **columns) -> Model:
-    return fit(*sample(docs, labels, **columns))
+    with task_memory():  # the driver's
+        return fit(*sample(docs, labels, **columns))
 
 
 def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

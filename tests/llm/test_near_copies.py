@@ -75,3 +75,23 @@ def test_odd_rows(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
     clashing = docs.withColumns({"__key": F.lit(1), "key": F.lit(2), "rows": F.lit(3), "__id": F.lit(4), "table": F.lit(5)})
     assert simhash.one_of_each(clashing).count() == len(got) and simhash.one_of_each(clashing).columns == clashing.columns
+
+
+def test_texts_without_copies_do_not_travel(spark):
+    """Only what may be a near copy is shuffled with its text; the bytes that shuffles write are those of keys and numbers."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = [(k, " ".join(word() for _ in range(4000))) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " more") for k in range(3)]
+    docs = simhash.written(spark.createDataFrame(rows, "doc_id long, text string"))
+    store = spark._jsc.sc().statusStore()
+
+    def moved():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = moved()
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == list(range(60))
+    total = sum(n for k, n in moved().items() if k not in before)
+    assert total < 63 * 36_000 / 2, total
