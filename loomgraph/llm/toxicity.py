@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import emptied, filled, task_memory
+from .common import emptied, filled, released, task_memory
 
 DECAY, REACH = 0.6, 6
 LETTERS = 26
@@ -150,13 +150,37 @@ def sentences_of(text: str | None) -> list[list[str]]:
     return [w for s in SENTENCE.split(text or "") if (w := words_of(s))]
 
 
-def _odds(bags: list[list[str]], labels: np.ndarray) -> np.ndarray:
+@dataclass
+class Split:
+    """A text as numbers of its words, and where its sentences start and end in them."""
+
+    words: np.ndarray
+    edges: np.ndarray
+
+    def pairs(self) -> np.ndarray:
+        """Neighbours within a sentence, each pair as one number: the first word's times 2^32 and the second's."""
+        inside = np.ones(len(self.words), bool)
+        inside[self.edges[1:] - 1] = False
+        at = np.flatnonzero(inside)
+        return self.words[at].astype("i8") << 32 | self.words[at + 1]
+
+
+def _numbered(texts: list[str | None]) -> tuple[list[str], list[Split]]:
+    """The different words in the order in which they come up, and the texts by numbers of words: a text takes four bytes a word."""
+    number: dict[str, int] = {}
+    split = []
+    for t in texts:
+        own = sentences_of(t)
+        split.append(Split(np.array([number.setdefault(w, len(number)) for s in own for w in s], "i4"), np.cumsum([0] + [len(s) for s in own], dtype="i4")))
+    return list(number), split
+
+
+def _odds(words: list[str], split: list[Split], labels: np.ndarray) -> np.ndarray:
     """Log-odds of each three-letter subsequence by the documents it is in."""
     df = np.ones((2, 1 << 18))
-    for words, y in zip(bags, labels.tolist()):
-        if words:
-            codes, _ = lettered(words)
-            df[int(y), np.unique(np.concatenate([t.ravel() for t, w in triples(codes) if w >= DECAY]))] += 1
+    for doc, y in zip(split, labels.tolist()):
+        codes, _ = lettered([words[k] for k in np.unique(doc.words).tolist()])
+        df[int(y), np.unique(np.concatenate([t.ravel() for t, w in triples(codes) if w >= DECAY]))] += 1
     table = np.log(df[1] / (labels.sum() + 2)) - np.log(df[0] / (len(labels) - labels.sum() + 2))
     table[0] = 0
     return np.maximum(table, -2).astype("f4")
@@ -177,7 +201,9 @@ def _kernel(codes: np.ndarray, places: np.ndarray, marks: np.ndarray) -> np.ndar
 
 def _machine(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
     """Linear squared-hinge machine by Newton steps. y: -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    whole = np.ones((len(x), x.shape[1] + 1))
+    whole[:, :-1] = x
+    x = whole
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
@@ -221,90 +247,114 @@ def _marks(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return places, marks
 
 
-def _in_documents(bags: list, y: np.ndarray) -> tuple[Counter, Counter]:
-    """In how many clean and how many different toxic documents something is."""
-    counts, seen = (Counter(), Counter()), set()
-    for bag, label in zip(bags, y.tolist()):
+def _in_documents(split: list[Split], y: np.ndarray, n: int) -> tuple[np.ndarray, Counter]:
+    """In how many clean and how many different toxic documents each of n words is; those of toxic ones in the order in which they come up."""
+    clean, bad, seen = np.zeros(n, "int64"), Counter(), set()
+    for doc, label in zip(split, y.tolist()):
+        own, first = np.unique(doc.words, return_index=True)
         if not label:
-            counts[0].update(bag)
-        elif (key := frozenset(bag)) not in seen:
+            clean[own] += 1
+        elif (key := own.tobytes()) not in seen:
             seen.add(key)
-            counts[1].update(bag)
-    return counts
+            bad.update(doc.words[np.sort(first)].tolist())
+    return clean, bad
 
 
-def _sure(clean: Counter, bad: Counter, share: float) -> list:
+def _sure(clean: np.ndarray, bad: Counter, share: float) -> list[int]:
     """What is in too many toxic documents, and never in clean ones, for chance."""
-    tries = len(clean.keys() | bad.keys())
-    return [u for u, n in bad.items() if not clean[u] and n * np.log(share) < np.log(0.01 / tries)]
+    return [u for u, n in bad.items() if not clean[u] and n * np.log(share) < np.log(0.01 / len(clean))]
 
 
-def _phrases(split: list[list[list[str]]], y: np.ndarray, model: Model) -> list[tuple[str, str]]:
+def _phrases(words: list[str], split: list[Split], y: np.ndarray, model: Model) -> list[tuple[int, int]]:
     """Pairs of neighbours that explain toxic documents whose words don't: never in clean ones, the most frequent first, each for documents that the earlier ones left."""
-    names = list({w for d in split for s in d for w in s})
-    raw = dict(zip(names, model.raw(names).tolist()))
-    high = np.array([max(raw[w] for s in d for w in s) for d in split])
+    raw = model.raw(words)
+    high = np.array([raw[d.words].max() for d in split])
     usual = np.quantile(high[y == 0], 0.95)
-    left = [d for d, label, x in zip(split, y, high) if label and x <= usual]
-    pairs_in = [{p for s in d for p in zip(s, s[1:])} for d in left]
+    pairs_in = [frozenset(np.unique(d.pairs()).tolist()) for d, label, x in zip(split, y, high) if label and x <= usual]
     candidates = set().union(*pairs_in)
-    clean = {p for d, label in zip(split, y) if not label for s in d for p in zip(s, s[1:]) if p in candidates}
+    some = np.array(sorted(candidates), "i8")
+    clean = {p for d, label in zip(split, y) if not label for p in np.intersect1d(d.pairs(), some).tolist()}
+    named = lambda p: (words[p >> 32], words[p & 0xFFFFFFFF])
     tries, out = max(1, len(candidates)), []
     while pairs_in:
-        counts = Counter(p for own in set(map(frozenset, pairs_in)) for p in own if p not in clean)
-        pair, n = min(counts.items(), key=lambda x: (-x[1], x[0]), default=((), 0))
+        counts = Counter(p for own in set(pairs_in) for p in own if p not in clean)
+        n = max(counts.values(), default=0)
         if n * np.log(y.mean()) >= np.log(0.01 / tries) or len(out) == LANDMARKS // 4:
             break
-        out.append(pair)
+        pair = min((p for p, m in counts.items() if m == n), key=named)
+        out.append((pair >> 32, pair & 0xFFFFFFFF))
         pairs_in = [own for own in pairs_in if pair not in own]
     return out
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
-    same: dict[str, str] = {}  # one object for each word
-    split, y = [[[same.setdefault(w, w) for w in s] for s in sentences_of(t)] for t in texts], np.array(labels, "int64")
-    keep = [k for k, b in enumerate(split) if b]
-    split, y = [split[k] for k in keep], y[keep]
+    words, split = _numbered(texts)
+    keep = [k for k, d in enumerate(split) if len(d.words)]
+    split, y = [split[k] for k in keep], np.array(labels, "int64")[keep]
     if not (0 < y.sum() < len(y)):
         return NOTHING
-    model = _fit(split, y, [], seed)
-    phrases = _phrases(split, y, model)
-    return _fit(split, y, phrases, seed) if phrases else model
-
-
-def _fit(split: list[list[list[str]]], y: np.ndarray, phrases: list[tuple[str, str]], seed: int) -> Model:
+    model = _fit(words, split, y, [], seed)
+    phrases = _phrases(words, split, y, model)
+    return _fit(words, split, y, phrases, seed) if phrases else model
+
+
+def _with_phrases(words: list[str], split: list[Split], looks: np.ndarray) -> tuple[list[str], list[Split], np.ndarray]:
+    """Units, texts by numbers of units (the pairs of a sentence that may be phrases at its end), and the unit of each word. Units are in the order in which they come up."""
+    unit, number, units, out = np.full(len(words), -1), {}, [], []
+    for doc in split:
+        own, edges = [], [0]
+        for a, b in zip(doc.edges.tolist(), doc.edges[1:].tolist()):
+            s = doc.words[a:b]
+            for k in s.tolist():
+                if unit[k] < 0:
+                    unit[k] = len(units)
+                    units.append(words[k])
+            own += unit[s].tolist()
+            for k in np.flatnonzero((looks[s[:-1]] & 1 > 0) & (looks[s[1:]] & 2 > 0)).tolist():
+                pair = f"{words[s[k]]} {words[s[k + 1]]}"
+                if pair not in number:
+                    number[pair] = len(units)
+                    units.append(pair)
+                own.append(number[pair])
+            edges.append(len(own))
+        out.append(Split(np.array(own, "i4"), np.array(edges, "i4")))
+    return units, out, unit
+
+
+def _fit(words: list[str], split: list[Split], y: np.ndarray, phrases: list[tuple[int, int]], seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    bags = [list(dict.fromkeys(w for s in doc for w in s)) for doc in split]
-    clean, bad = _in_documents(bags, y)
+    clean, bad = _in_documents(split, y, len(words))
     sure = _sure(clean, bad, y.mean())
-    model = Model(_odds(bags, y), 0.0, 0.0, 1.0)
+    model = Model(_odds(words, split, y), 0.0, 0.0, 1.0)
+    units, inside = words, split
     if phrases:
-        wanted = set(phrases)
-        pairs_in = [{p for s in doc for p in zip(s, s[1:]) if p in wanted} for doc in split]
-        places, marks = _marks([w for p in phrases for w in p])
+        places, marks = _marks([words[k] for p in phrases for k in p])
         model.places, model.parts = places, (marks[:, ::2], marks[:, 1::2])
-        bad.update({" ".join(p): sum(p in own for own, label in zip(pairs_in, y) if label) for p in phrases})
-        sure += [" ".join(p) for p in phrases]
-    known = dict(zip(names := list(dict.fromkeys(w for b in bags for w in b)), model.looks(names).tolist()))
-    units_in = [[s + [f"{a} {b}" for a, b in zip(s, s[1:]) if known[a] & 1 and known[b] & 2] for s in doc] for doc in split] if phrases else split
-    units = list(dict.fromkeys(u for doc in units_in for s in doc for u in s))
-    number = {u: k for k, u in enumerate(units)}
-    inside = [[np.array([number[u] for u in dict.fromkeys(s)]) for s in doc] for doc in units_in]
+        codes = [a << 32 | b for a, b in phrases]
+        found = Counter(p for doc, label in zip(split, y) if label for p in np.intersect1d(doc.pairs(), codes).tolist())
+        units, inside, unit = _with_phrases(words, split, model.looks(words))
+        number = {u: k for k, u in enumerate(units) if " " in u}
+        bad = Counter({int(unit[k]): n for k, n in bad.items()})
+        sure = [int(unit[k]) for k in sure]
+        for (a, b), code in zip(phrases, codes):
+            if (k := number.get(f"{words[a]} {words[b]}")) is not None:
+                bad[k] += found[code]
+                sure.append(k)
     in_clean = np.zeros(len(units), "int64")
     for doc, label in zip(inside, y.tolist()):
         if not label:
-            in_clean[np.unique(np.concatenate(doc))] += 1
-    sure = [number[u] for u in sure if u in number]
+            in_clean[np.unique(doc.words)] += 1
     toxic, fine = [d for d, label in zip(inside, y) if label], [d for d, label in zip(inside, y) if not label]
 
-    def tops(doc: list[np.ndarray], raw: np.ndarray) -> np.ndarray:
+    def tops(doc: Split, raw: np.ndarray) -> np.ndarray:
         """The highest unit of each sentence, sentences in falling order."""
-        own = np.array([s[np.argmax(raw[s])] for s in doc])
+        high = raw[doc.words]
+        own = doc.words[[a + int(np.argmax(high[a:b])) for a, b in zip(doc.edges.tolist(), doc.edges[1:].tolist())]]
         return own[np.argsort(-raw[own], kind="stable")]
 
     scores = np.where(in_clean > 0, -9.0, model.raw(units))
     witness = [int(tops(d, scores)[0]) for d in toxic]
-    times = np.array([bad[u] for u in units])
+    times = np.array([bad[k] for k in range(len(units))])
     first = list(dict.fromkeys(sorted(sure, key=lambda k: -times[k])[: LANDMARKS // 4] + [w for w, _ in Counter(witness).most_common(LANDMARKS // 2)]))
     seen = np.flatnonzero(in_clean)
     hard_order = seen[np.argsort(-model.raw([units[k] for k in seen]), kind="stable")]
@@ -334,15 +384,15 @@ def _fit(split: list[list[list[str]]], y: np.ndarray, phrases: list[tuple[str, s
         names = [*found, *(g for g, _ in gapped), *less]
         target = np.array([1.0] * (len(found) + len(gapped)) + [-1.0] * len(less))
         weights = np.array([np.sqrt(n) for n in found.values()] + [v for _, v in gapped] + [1.0] * len(less))
-        w, bias = _machine(vectors_of(names).astype("f8"), target, weights)
+        w, bias = _machine(vectors_of(names), target, weights)
         table = np.zeros(1 << 18, "f4")
-        table[used] = marks[places[used]] @ (root @ w)
+        table[used] = marks[1:] @ (root @ w)
         model = Model(table, bias, 0.0, 1.0, model.places, model.parts)
         raw = model.raw(units)
         witness = [int(tops(d, raw)[0]) for d in toxic]
         for d in fine:
             negatives.update(tops(d, raw)[:2].tolist())
-    high, low = np.array([max(raw[s].max() for s in d) for d in toxic]), np.array([max(raw[s].max() for s in d) for d in fine])
+    high, low = np.array([raw[d.words].max() for d in toxic]), np.array([raw[d.words].max() for d in fine])
     edges = np.unique(np.concatenate([high, low]))
     middles = (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges
     errors = np.array([(high < m).mean() + (low >= m).mean() for m in middles])
@@ -430,8 +480,10 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def learned(docs: DataFrame, labels: DataFrame, **columns) -> Model:
+    texts, found = sample(docs, labels, **columns)
+    released(docs.sparkSession)  # the driver holds the heap that the sample took no longer while it fits
     with task_memory():  # the driver's
-        return fit(*sample(docs, labels, **columns))
+        return fit(texts, found)
 
 
 def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

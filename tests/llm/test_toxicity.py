@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -113,3 +115,27 @@ def test_sample_does_not_depend_on_order(spark):
     labels = spark.createDataFrame([(k, n) for k in range(50) for n in (0, 1, None)], "doc_id long, toxic int")
     a, b = toxicity.sample(docs, labels), toxicity.sample(docs.repartition(7, "text"), labels.repartition(5, "toxic"))
     assert a == b and set(a[1]) == {1} and all(t.endswith(" 0") for t in a[0])
+
+
+def test_fit_takes_little_memory_a_word():
+    """Long texts of few words: what the fit holds of them is a few bytes a word, besides the machine's features."""
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "mo", "ri", "tu") for b in ("lan", "ser", "dov") for c in ("a", "en", "is", "o")]
+    texts = [". ".join(" ".join(rng.choices(vocabulary, k=5)) for _ in range(500)) + (" zorblax." if k % 4 == 0 else ".") for k in range(160)]
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(texts, [int(k % 4 == 0) for k in range(160)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.raw(["zorblax"])[0] > model.middle > model.raw(vocabulary).max()
+    assert peak < 18e6  # 400,000 words; with a list entry for each it is 28 MB
+
+
+def test_driver_is_tidied_between_sample_and_fit(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(toxicity, "sample", lambda *a, **k: done.append("sample") or ([], []))
+    monkeypatch.setattr(toxicity, "released", lambda s: done.append("released"))
+    monkeypatch.setattr(toxicity, "fit", lambda *a: done.append("fit"))
+    toxicity.learned(spark.range(0), spark.range(0))
+    assert done == ["sample", "released", "fit"]
