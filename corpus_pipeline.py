@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
-from loomgraph.llm.common import removed, shared_dir
+from loomgraph.llm.common import released, removed, shared_dir
 from loomgraph.llm.queries import table, tokenizer_path
 
 
@@ -21,19 +21,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)
     return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)
     kept = suffix_dedup.without_repeats(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)
     return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    released(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -37,9 +37,11 @@ def removed(folder: str) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Collect the driver's garbage: only then Spark removes the shuffle files of what is written, and the driver holds less itself."""
+    """Collect the garbage of the driver and the executors: only then Spark removes the shuffle files of what is written, and heaps that earlier parts made large shrink."""
     gc.collect()
     spark._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism  # a task for each core, so each executor has some
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
 
 
 #: Bits of a filter of hashes, 4 MB at most: 3 million keys fill a tenth of them. With many more it lets more through, and what follows is exact anyway.

@@ -95,3 +95,16 @@ def test_texts_without_copies_do_not_travel(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == list(range(60))
     total = sum(n for k, n in moved().items() if k not in before)
     assert total < 63 * 36_000 / 2, total
+
+
+def test_executors_collect_garbage_too(spark):
+    """One full collection comes from the driver's call; in a local session the tasks' ones are counted in the same process."""
+    from loomgraph.llm.common import released
+
+    def full():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return max(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName() or "Major" in b.getName())
+
+    before = full()
+    released(spark)
+    assert full() - before >= 2
