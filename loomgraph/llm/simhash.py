@@ -14,9 +14,12 @@ one_of_each() is for texts whose sets of five-word shingles have a Jaccard simil
 it takes PRINTS fingerprints of their words (weights: roots of the counts), the tables of RADIUS bits over each, and decides
 each collision by the distance over all fingerprints, the sizes and then the exact Jaccard of the two texts. Nothing below the bar is
 linked; a pair above it is missed if all its fingerprints are further apart than RADIUS (README: measured recall). A bucket is first
-compared with its least text only; texts that this puts into one component aren't compared again. What is left of buckets
-of up to FEW texts meets pair by pair, and what is left of larger ones by the rarest shingles of each text, which texts at the bar must
-share, so the pairs of a large bucket are never formed.
+compared with one text only, its leader: the least one, or in buckets of more than FEW the one whose buckets are the largest in all,
+which is nearest to the middle of its crowd, so a crowd has few leaders and most of it is linked to them. Texts that this puts into one
+component aren't compared again. What is left of buckets of up to FEW texts meets pair by pair, and what is left of larger ones (the
+crowd, whose texts don't meet each other in small buckets as well) by the rarest shingles of each text, which texts at the bar must
+share. There the members of a shingle's most frequent component meet only texts outside it, and a pair is a row only if the parities
+of its shingles, which tell how many differ at least, allow the bar. So the pairs of a large bucket are never formed.
 
 Components come from rounds of hooking to the least neighbour and pointer jumping, each written to shared storage.
 
@@ -51,6 +54,9 @@ PRINTS, RADIUS = 6, 4
 FAR = 56
 #: Buckets of up to so many texts are compared pair by pair; so at most this many pairs come from a row.
 FEW = 16
+#: Bits of a text's parities of shingles; a pair's differing bits are at most as many as its differing shingles.
+PARITIES = 1024
+P_COLUMNS = [f"p{k}" for k in range(PARITIES // 64)]
 STEPS = np.arange(1, PRINTS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
 ROOTS = [isqrt(256 * k) for k in range(64)]
 F_COLUMNS = [f"f{k}" for k in range(PRINTS)]
@@ -257,11 +263,17 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str
     return held.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of PARITIES bits whether an odd number of the distinct hashes fall on it, as signed longs."""
+    return np.packbits((np.bincount((tokens % np.uint64(PARITIES)).astype("i8"), minlength=PARITIES) & 1).astype("u1")).view("<i8")
+
+
 def sharing(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """node_a, node_b of all pairs of nodes with other roots that share a shingle which texts at the bar must share, are alike in size and near.
 
     With shingles ordered by the number of nodes that have them, the rarest first, two sets at the bar share one of the first
     n - 0.8 n + 1 of the larger and one of the first n - 8/9 n + 1 of the smaller. Shingles of one node come first, so a text with many of its own meets none, however large its crowd.
+    Sets at the bar differ in at most a ninth of the sum of their sizes, and so do their parities: a text just below the bar is no row either.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,11 +282,13 @@ def sharing(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
         with task_memory():
             for batch in batches:
                 found = [np.unique(np.array([xxh64_intdigest(x, SEED) for x in shingles(t)], "u8")).view("i8") for t in batch["text"]]
-                yield pd.DataFrame({"key": batch["key"], "tokens": found})
+                bits = np.array([parities(x.view("u8")) for x in found], "i8").reshape(-1, len(P_COLUMNS))
+                yield pd.DataFrame({"key": batch["key"], "tokens": found} | {c: bits[:, k] for k, c in enumerate(P_COLUMNS)})
 
     texts = texts_of(docs, nodes.select("key"), text_col)
-    tokens = texts.select("key", "text").mapInPandas(run, "key binary, tokens array<long>").join(nodes.select("key", "node", "root"), "key")
-    tokens = written(tokens.select("node", "root", F.size("tokens").alias("size"), F.explode("tokens").alias("token")))
+    schema = "key binary, tokens array<long>, " + ", ".join(f"{c} long" for c in P_COLUMNS)
+    held = written(texts.select("key", "text").mapInPandas(run, schema).join(nodes, "key").drop("key"))
+    tokens = held.select("node", "root", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     released(docs.sparkSession)
     often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
     shared = tokens.join(often, "token")
@@ -283,13 +297,18 @@ def sharing(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     ahead = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1 - F.col("own")
     first = written(shared.where((F.col("place") <= ahead(0.8)) & (F.col("low") != F.col("high"))).select("token", "node", "root", "size", (F.col("own") + F.col("place")).alias("place"), (F.col("place") <= ahead(8 / 9)).alias("indexed")))
     released(docs.sparkSession)
-    some = first.groupBy("token").agg(F.count_if("indexed").alias("i"), F.min("root").alias("low"), F.max("root").alias("high")).where("i > 0 AND low <> high").select("token")
-    first = first.join(some, "token", "left_semi").join(nodes.drop("key", "root"), "node")
-    a, b = (first.select("token", "indexed", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "size", "place", "n", *F_COLUMNS)]) for c in "ab")
+    parts = first.groupBy("token", "root").agg(F.count("*").alias("k"), F.count_if("indexed").alias("i"))
+    some = parts.groupBy("token").agg(F.sum("i").alias("i"), F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("most")).where("i > 0 AND roots > 1")
+    first = first.join(some.select("token", "most"), "token").withColumn("outside", F.col("root") != F.col("most")).join(held.drop("tokens", "root"), "node")
+    a, b = (first.select("token", "indexed", "outside", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "size", "place", "n", *F_COLUMNS, *P_COLUMNS)]) for c in "ab")
+    wants = F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    a, b = a.withColumn("meets", F.explode(wants)).drop("indexed", "outside"), b.where("indexed").withColumn("meets", F.col("outside")).drop("indexed", "outside")
     both_need = F.ceil((F.col("size_a") + F.col("size_b")) * 4 / 9 - 1e-9)  # shingles that the two have in common at the bar
     early = (F.col("place_a") <= F.col("size_a") - both_need + 1) & (F.col("place_b") <= F.col("size_b") - both_need + 1)
     alike_in_size = (F.col("n_b") <= F.col("n_a")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
-    met = a.drop("indexed").join(b.where("indexed").drop("indexed"), "token").where((F.col("root_a") != F.col("root_b")) & alike_in_size & early & near("a", "b"))
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in P_COLUMNS), F.lit(0))
+    at_bar = 9 * differ <= F.col("size_a") + F.col("size_b")
+    met = a.join(b, ["token", "meets"]).where((F.col("root_a") != F.col("root_b")) & alike_in_size & early & near("a", "b") & at_bar)
     return met.select(F.greatest("node_a", "node_b").alias("node_a"), F.least("node_a", "node_b").alias("node_b"))
 
 
@@ -301,24 +320,35 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     whole = W.partitionBy("bucket")  # a row of a bucket is two numbers
     members = written(buckets.select("bucket", "node", F.count("*").over(whole).alias("size"), F.min("node").over(whole).alias("leader")).where("size > 1"))
     released(docs.sparkSession)
-    stars = written(members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct())
-    first = cut(verified(stars, prints, docs, text_col))
+    crowded = members.where(F.col("size") > FEW)
+    weight = written(crowded.groupBy("node").agg(F.sum("size").alias("weight")))
+    central = crowded.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    members = members.where(F.col("size") <= FEW).unionByName(written(crowded.drop("leader").join(central, "bucket")))
+    released(docs.sparkSession)
+    ends = members.where("node <> leader").groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).agg(F.max("size").alias("size"))
+    flag = lambda nodes, c: nodes.select(F.col("node").alias(c), F.lit(True).alias(f"crowd_{c}"))
+    ends = written(ends.join(flag(weight, "u"), "u", "left").join(flag(weight, "v"), "v", "left"))
+    stars = ends.where((F.col("size") > FEW) | F.isnull("crowd_u") | F.isnull("crowd_v")).select("u", "v")
+    bare = prints.where("n = 0").select("node")  # they have no shingle to meet by
+    bare = bare.join(F.broadcast(bare.agg(F.min("node").alias("v"))), F.col("node") > F.col("v")).select(F.col("node").alias("u"), "v")
+    first = cut(verified(stars, prints, docs, text_col).unionByName(bare))
     released(docs.sparkSession)
     roots = components(first).select("node", "root")
     released(docs.sparkSession)
 
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = stars.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    apart = ends.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
     left = members.join(apart, (F.col("node") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("bucket").distinct()
     rooted = members.join(left, "bucket", "left_semi").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted)
     released(docs.sparkSession)
-    sides = rooted.where(F.col("size") <= FEW).join(prints.drop("key"), "node")
-    a, b = (sides.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", *F_COLUMNS)]) for c in "ab")
+    crowd = rooted.where(F.col("size") > FEW).select("node", "root").distinct()
+    sides = rooted.where(F.col("size") <= FEW).join(prints.drop("key"), "node").join(flag(crowd, "node"), "node", "left")
+    a, b = (sides.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", "crowd_node", *F_COLUMNS)]) for c in "ab")
     fits = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
-    both = a.join(b, "bucket").where((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits & near("a", "b")).select("node_a", "node_b")
-    crowd = rooted.where(F.col("size") > FEW).select("node", "root").distinct().join(prints, "node")
-    both = both.unionByName(sharing(written(crowd), docs, text_col))
+    unmet = (F.col("root_a") != F.col("root_b")) & (F.isnull("crowd_node_a") | F.isnull("crowd_node_b"))  # two of the crowd meet by their shingles
+    both = a.join(b, "bucket").where((F.col("node_a") > F.col("node_b")) & unmet & fits & near("a", "b")).select("node_a", "node_b")
+    both = both.unionByName(sharing(written(crowd.join(prints, "node")), docs, text_col))
     rest = both.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return prints.select("node", "key"), first.unionByName(verified(rest, prints, docs, text_col))
 

@@ -67,6 +67,55 @@ def test_crowds_lose_no_pair(spark):
     assert set(want) <= got and len(got) <= len(want) + 2 and 20 < len(want) < len(rows)
 
 
+def crowd(n, rng):
+    """A text, many variants of it at and below the bar, and variants of these."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = [list(base)]
+    for k in range(n):
+        copy = list(rows[rng.randrange(len(rows))] if k % 10 == 0 else base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 3, 4, 5, 7])):
+            copy[at] = word()
+        rows.append(copy)
+    rng.shuffle(rows)
+    return [(k, " ".join(r)) for k, r in enumerate(rows)]
+
+
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    """What is compared besides the leaders of buckets is a few pairs a text, and no link is lost by that."""
+    real, calls = simhash.verified, []
+
+    def counted(pairs, *rest):
+        pairs = simhash.written(pairs)
+        calls.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    rows = crowd(400, random.Random(12))
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows) and 20 < len(got) < len(rows) / 2
+    stars, rest = calls
+    assert rest < 2 * len(rows) and stars < 40 * len(rows), calls
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 20, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype="u8"))
+        for edits in (0, 1, 7, 500):
+            b = np.unique(np.concatenate([a[edits:], rng.integers(0, 1 << 63, edits, dtype="u8")]))
+            bits = sum((int(x) ^ int(y)).bit_count() for x, y in zip(simhash.parities(a).view("u8"), simhash.parities(b).view("u8")))
+            assert bits <= len(np.setxor1d(a, b)) and (edits or not bits) and (edits == 500 or bits > 0.9 * len(np.setxor1d(a, b)) - 2)
+
+
+def test_texts_without_words_are_copies_in_any_crowd(spark):
+    rows = [(k, " " * k) for k in range(30)] + [(100 + k, f"word{k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, *range(100, 130)]
+
+
 def test_odd_rows(spark):
     texts = ["q r s t u v", "other words that are no copy", "q r s t u v", None, ""]
     docs = spark.createDataFrame([(None, t) for t in texts] + [(7, "seven one two"), (7, "something else"), (7, "something else"), (8, "Seven  one two")], "doc_id long, text string")
