@@ -16,9 +16,8 @@ each collision by the distance over all fingerprints, the sizes and then the exa
 linked; a pair above it is missed if all its fingerprints are further apart than RADIUS (README: measured recall). A bucket is first
 compared with one text only, its leader: the least one, or in buckets of more than FEW the one whose buckets are the largest in all,
 which is nearest to the middle of its crowd, so a crowd has few leaders and most of it is linked to them. Texts that this puts into one
-component aren't compared again. What is left of buckets of up to FEW texts meets pair by pair, and what is left of larger ones (the
-crowd, whose texts don't meet each other in small buckets as well) by the rarest shingles of each text, which texts at the bar must
-share. There the members of a shingle's most frequent component meet only texts outside it, and a pair is a row only if the parities
+component aren't compared again. What is left of buckets of up to FEW texts meets pair by pair, and texts of larger ones (the crowd,
+whose texts don't meet each other in small buckets as well) by the rarest shingles of each text, which texts at the bar must share. There the members of a shingle's most frequent component meet only texts outside it, and a pair is a row only if the parities
 of its shingles, which tell how many differ at least, allow the bar. So the pairs of a large bucket are never formed.
 
 Components come from rounds of hooking to the least neighbour and pointer jumping, each written to shared storage.
@@ -323,12 +322,14 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     crowded = members.where(F.col("size") > FEW)
     weight = written(crowded.groupBy("node").agg(F.sum("size").alias("weight")))
     central = crowded.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-    members = members.where(F.col("size") <= FEW).unionByName(written(crowded.drop("leader").join(central, "bucket")))
+    flag = lambda c: weight.select(F.col("node").alias(c), F.lit(True).alias("crowd"))
+    small = members.where(F.col("size") <= FEW).join(flag("leader"), "leader", "left")
+    mixed = small.where("crowd").drop("crowd", "leader").join(flag("node"), "node", "left")  # led by one of the crowd: by another if they have one, or they aren't needed
+    others = mixed.where("crowd IS NULL").groupBy("bucket").agg(F.min("node").alias("leader"))
+    mixed = mixed.drop("crowd").join(others, "bucket")
+    members = small.where("crowd IS NULL").drop("crowd").unionByName(written(mixed)).unionByName(written(crowded.drop("leader").join(central, "bucket")))
     released(docs.sparkSession)
-    ends = members.where("node <> leader").groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).agg(F.max("size").alias("size"))
-    flag = lambda nodes, c: nodes.select(F.col("node").alias(c), F.lit(True).alias(f"crowd_{c}"))
-    ends = written(ends.join(flag(weight, "u"), "u", "left").join(flag(weight, "v"), "v", "left"))
-    stars = ends.where((F.col("size") > FEW) | F.isnull("crowd_u") | F.isnull("crowd_v")).select("u", "v")
+    stars = written(members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct())
     bare = prints.where("n = 0").select("node")  # they have no shingle to meet by
     bare = bare.join(F.broadcast(bare.agg(F.min("node").alias("v"))), F.col("node") > F.col("v")).select(F.col("node").alias("u"), "v")
     first = cut(verified(stars, prints, docs, text_col).unionByName(bare))
@@ -337,17 +338,17 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     released(docs.sparkSession)
 
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = ends.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    apart = stars.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
     left = members.join(apart, (F.col("node") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("bucket").distinct()
     rooted = members.join(left, "bucket", "left_semi").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted)
     released(docs.sparkSession)
-    crowd = rooted.where(F.col("size") > FEW).select("node", "root").distinct()
-    sides = rooted.where(F.col("size") <= FEW).join(prints.drop("key"), "node").join(flag(crowd, "node"), "node", "left")
-    a, b = (sides.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", "crowd_node", *F_COLUMNS)]) for c in "ab")
+    sides = rooted.where(F.col("size") <= FEW).join(prints.drop("key"), "node").join(flag("node"), "node", "left")
+    a, b = (sides.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", "crowd", *F_COLUMNS)]) for c in "ab")
     fits = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
-    unmet = (F.col("root_a") != F.col("root_b")) & (F.isnull("crowd_node_a") | F.isnull("crowd_node_b"))  # two of the crowd meet by their shingles
+    unmet = (F.col("root_a") != F.col("root_b")) & (F.isnull("crowd_a") | F.isnull("crowd_b"))  # two of the crowd meet by their shingles
     both = a.join(b, "bucket").where((F.col("node_a") > F.col("node_b")) & unmet & fits & near("a", "b")).select("node_a", "node_b")
+    crowd = weight.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     both = both.unionByName(sharing(written(crowd.join(prints, "node")), docs, text_col))
     rest = both.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return prints.select("node", "key"), first.unionByName(verified(rest, prints, docs, text_col))
